@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from varloom.llm import quality_rules
+from varloom.llm import line_dedup, mixing, pieces, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_secret_scans": secrets.op7_secret_scans,
+    "op8_sharding": sharding.op8_sharding,
 }
 ORACLES = {"op3_quality_rules": quality_rules.ORACLE}
