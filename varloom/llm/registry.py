@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from varloom.llm import line_dedup, mixing, pieces, quality_rules, secrets, sharding
+from varloom.llm import line_dedup, mixing, ngram_lm, pieces, quality_rules, secrets, sharding
 
 QUERIES = {
+    "op1_lm_scoring": ngram_lm.op1_lm_scoring,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_mixing": mixing.op5_mixing,
