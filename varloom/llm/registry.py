@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from varloom.llm import line_dedup, mixing, ngram_lm, pieces, quality_rules, secrets, sharding
+from varloom.llm import line_dedup, mixing, near_dedup, ngram_lm, pieces, quality_rules, secrets, sharding
 
 QUERIES = {
     "op1_lm_scoring": ngram_lm.op1_lm_scoring,
@@ -12,5 +12,6 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_secret_scans": secrets.op7_secret_scans,
     "op8_sharding": sharding.op8_sharding,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 ORACLES = {"op3_quality_rules": quality_rules.ORACLE}
