@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from varloom.llm.common import components, forget, table, written
 from varloom.llm.tokens import U, mix, slices
 
-SHINGLE, REGISTERS, BAND = 5, 256, 8
+SHINGLE, REGISTERS = 5, 256
 #: Registers are truncated logarithms of exponential minima, to base BASE from RATE.
 BASE, RATE = 1.001, 20.0
 #: Pairs whose most likely similarity lies under the threshold by this much are not verified (six standard errors).
@@ -197,7 +197,9 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     classes = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     reps = some.join(classes, (some["id"] == F.col("rep")) & (some["f1"] == classes["f1"]) & (some["f2"] == classes["f2"]) & (some["n"] == classes["n"]), "left_semi").dropDuplicates(["id", "f1"])
     reps = written(reps, "reps")
-    bands = reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * BAND) + 1, F.lit(2 * BAND)), i))).alias("band"))
+    # a pair at the threshold shares no band with probability under 0.0001
+    wide = 8 if percent >= 85 else 6
+    bands = reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // wide - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * wide) + 1, F.lit(2 * wide)), i))).alias("band"))
     first = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     families = written(components(bands.join(first, "band").select(F.col("id").alias("a"), F.col("first").alias("b")), name="families"), "families")
     members = reps.join(families, reps["id"] == families["node"]).select("id", "f1", "n", "sketch", F.col("component").alias("family"))

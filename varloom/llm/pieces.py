@@ -196,8 +196,11 @@ def encoded(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ..
 
     Every row is encoded whole and decoded again; null is as empty: no ids, empty text. The
     work is by row, so ties, repeats and table size don't matter, and memory is one batch and
-    the bounded caches. model is a path that every worker can open.
+    the bounded caches. model is a path that every worker can open. A kept column that has
+    the name of a result gives way.
     """
+    results = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]]
+    keep = tuple(c for c in keep if c not in results)
     names = [f"__{i}" for i in range(len(keep))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(keep, names)], docs[text].alias("__t"))
     own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[:-1])
@@ -218,7 +221,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ..
             cols = [*batch.columns[: len(names)], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(sums, pa.string())]
             if with_ids:
                 cols += [pa.array([x[0] for x in texts], pa.list_(pa.int32())), pa.array([x[1] for x in texts], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids", "decoded"][: 2 * with_ids]])
+            yield pa.RecordBatch.from_arrays(cols, [*names, *results])
 
     out = rows.mapInArrow(work, f"{own}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
     return out.withColumnsRenamed(dict(zip(names, keep)))

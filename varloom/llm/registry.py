@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from varloom.llm import embedding_dedup, line_dedup, mixing, near_dedup, ngram_lm, pieces, quality_rules, rule_ensemble, secrets, sharding
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_classifier": rule_ensemble.op9_quality_classifier,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op3_quality_rules": quality_rules.ORACLE}
