@@ -88,7 +88,9 @@ def verdicts(docs: DataFrame, text: str = "text", order: list[str] | None = None
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns only."""
     own = [f"`{c}`" for c in docs.columns]
-    return verdicts(docs, text, prefix="__q_").filter("__q_kept").select(*own)
+    # rows go by an empty array, as a filter would be pushed below the measures and repeat them inside itself
+    kept = F.explode(F.when(F.col("__q_kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return verdicts(docs, text, prefix="__q_").select(*own, kept.alias("__q_row")).drop("__q_row")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
