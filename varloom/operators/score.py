@@ -69,6 +69,6 @@ def moe_scores(df: DataFrame, domains: dict[str, list[str]], weights: dict) -> D
             logit, heads = forward({n: np.stack(s.to_list()) if len(s) else np.zeros((0, 1)) for n, s in zip(names, batch)}, weights)
             yield pd.Series(list(np.concatenate([logit[:, None], heads], axis=1)))
 
-    out = df.withColumn("__y", run(*cols))
+    out = df.withColumn("__y", run(*cols, F.lit(0)))  # two columns at least, so that batches are tuples
     out = out.withColumn("overall_logit", F.get("__y", F.lit(0))).withColumn("overall_prob", 1 / (1 + F.exp(-F.col("overall_logit"))))
     return out.withColumns({f"score_{n}": F.get("__y", F.lit(i + 1)) for i, n in enumerate(names)}).drop("__y")
