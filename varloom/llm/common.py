@@ -50,7 +50,7 @@ def slots(spark: SparkSession) -> int:
 
 def words(text):
     """Array of the words of a text; none for null or blank text."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{WHITE}+|{WHITE}+$", "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\v\f\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{WHITE}+"))
 
 
