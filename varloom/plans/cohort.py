@@ -9,6 +9,7 @@ from varloom.functions import repeats
 from varloom.functions.keys import coded_contig, entity_key, is_coded_contig, key_parts, variant_key
 from varloom.operators import annotate, evidence, in_silico, nominate, phenotype, ranks, review, rna, score, vote
 from varloom.operators.ranks import joined_text
+from varloom.sources.sinks import materialised
 from varloom.sources.tables import require_columns
 
 EXPRESSION = ["sampleID", "GeneSymbol", "pValue", "padjust", "zScore", "l2fc", "rawcounts"]
@@ -131,7 +132,8 @@ def report(found: DataFrame, verdicts: dict[str, DataFrame], counts: DataFrame,
     df = df.withColumns({"chrom": p["chrom"], "pos": p["pos"], "ref": p["ref"], "alt": p["alt"]})
     windows = repeats.windows_at(df.select("sample_id", "varId", "geneSymbol", "chrom", "pos"), reference, chunk)
     df = repeats.repeat_flags(df, windows, ["sample_id", "varId", "geneSymbol"]).drop("chrom", "pos", "ref", "alt")
-    df = review.demoted(review.partnered(review.tiered(df, ["Diagnostic_Engine_Rank", "varId", "geneSymbol"])))
+    df = materialised(review.tiered(df, ["Diagnostic_Engine_Rank", "varId", "geneSymbol"]), "tiered")
+    df = review.demoted(review.partnered(df))
     scores, log = vote.pairwise(df, (1,))
     out = df.join(scores, ["sample_id", "geneSymbol", "varId"], "left")
     return ranks.place(out, ["sample_id"], ["Tier", F.col("PairWiseScore").desc_nulls_last(), "Diagnostic_Engine_Rank", "varId", "geneSymbol"], "report_place"), log

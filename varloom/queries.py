@@ -506,13 +506,11 @@ QUERIES["moe_score"] = lambda spark, sf_dir: moe_score(spark.read.parquet(f"{sf_
 
 def scan_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part table written as CSV, tab-separated gzip and Parquet by sample, read again and joined."""
-    import tempfile
     import uuid
 
     from varloom.sources import sinks, tables
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='varloom-')}"
-    root = f"{root.rstrip('/')}/formats-{uuid.uuid4().hex}"
+    root = f"{sinks.shared_folder(spark)}/formats-{uuid.uuid4().hex}"
     part = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("sample_id", F.concat(F.lit("S"), (F.col("p_partkey") % 4).cast("string")))
     sinks.write_by_sample(part.select("sample_id", "p_partkey", "p_brand"), f"{root}/parquet")
     part.select("p_partkey", "p_size").write.option("header", True).csv(f"{root}/out.csv")

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not path:
+        path = f"file://{tempfile.mkdtemp(prefix='varloom-')}"
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a table in the shared folder: written once, however often the plan above uses them."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def todo(df: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not done."""
     return df.join(done.select(*key).distinct(), key, "left_anti")
