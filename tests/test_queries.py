@@ -3,20 +3,21 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 SF = "/root/testdata/sf0.001"
 
 
 def shown(v):
-    if v is None or v != v:
-        return "NULL"
     if hasattr(v, "__len__") and not isinstance(v, str):
         return repr(list(v))
+    if pd.isna(v):
+        return "NULL"
     if isinstance(v, float):
         return str(round(v, 6) + 0.0)
     try:
-        return str(float(v)) if not isinstance(v, (str, bool)) else str(v)
+        return str(round(float(v), 6) + 0.0) if not isinstance(v, (str, bool)) else str(v)
     except (TypeError, ValueError):
         return str(v)
 
