@@ -23,7 +23,7 @@ from varloom.llm.common import shared_dir, table, written
 from varloom.llm.tokens import U, mix, slices, summed, unmix, with_ends
 
 #: Bytes of training text for one key range, and n-grams that a task sums before it sends them.
-RANGE_BYTES, FLUSH = 24 << 20, 3_000_000
+RANGE_BYTES, FLUSH = 24 << 20, 2_000_000
 #: Context of the first token of a text.
 START = (1 << 32) - 1
 WORD = np.dtype([("hash", "<u8"), ("count", "<u8"), ("follows", "<u4"), ("total", "<u8"), ("gamma", "<f4")])
@@ -286,7 +286,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for _, _, h, n in slices(batch.column(len(names)), 4 << 20):
+            for _, _, h, n in slices(batch.column(len(names)), 2 << 20):
                 h, n = with_ends(h, n)
                 p, c = model.log10(h, n)
                 at = np.cumsum(n) - n
