@@ -20,7 +20,7 @@ from varloom.llm.common import table
 
 SPACE = "▁"
 #: Entries of the caches of a worker: speed only, results don't depend on them.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 600_000
+KEPT_WORDS, KEPT_PAIRS = 800_000, 1_000_000
 
 
 def merges(text: str, score: dict[str, float]) -> tuple[list[tuple[float, str, str]], int]:
