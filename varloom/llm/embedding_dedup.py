@@ -16,6 +16,8 @@ from varloom.llm.common import components, slots, table, written
 ORDER_DIMS, BOX_DIMS = 4, 12
 #: Vectors of a block, of an interval that is compared at once, and blocks under one node of the interval tree.
 BLOCK, PART, FAN = 2048, 256, 16
+#: Neighbouring blocks that one task meets with a block, at most.
+CHUNK = 16
 
 
 def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
@@ -173,58 +175,58 @@ def compare(x: dict, y: dict | None, cosine: float, eps: float) -> tuple[np.ndar
 
 
 def packed(rows: DataFrame, width: int) -> DataFrame:
-    """A row per block with its vectors as arrays; a block has at most BLOCK of them."""
+    """A row per block with its vectors as arrays in grid order; a block has at most BLOCK of them."""
 
     def work(key, frame):
-        ids = frame.column("id").to_numpy()
-        order = np.argsort(ids)  # any fixed order; the grid order comes back by rank
-        rank = np.argsort(frame.column("at").to_numpy() + (frame.column("part").to_numpy().astype(np.int64) << 33))
-        frame = frame.take(pa.array(rank if len(rank) else order))
+        frame = frame.take(pa.array(np.lexsort((frame.column("at").to_numpy(), frame.column("part").to_numpy()))))
         data = padded(frame.column("v").combine_chunks(), width)
-        y = np.array(frame.column("y").to_pylist())
-        cols = [frame.column(c).to_numpy() for c in ("id", "weight", "dim")]
-        return pa.table({"block": [key[0].as_py()], "ids": [cols[0].tobytes()], "weights": [cols[1].tobytes()], "dims": [cols[2].astype(np.int64).tobytes()], "vs": [data.tobytes()], "ys": [y.tobytes()]})
+        ids, weights, dims = (frame.column(c).to_numpy().astype(np.int64) for c in ("id", "weight", "dim"))
+        return pa.table({"block": [key[0].as_py()], "ids": [ids.tobytes()], "weights": [weights.tobytes()], "dims": [dims.tobytes()], "vs": [data.tobytes()]})
 
-    return rows.select("block", "part", "at", "id", "weight", "dim", "v", "y").groupBy("block").applyInArrow(work, "block long, ids binary, weights binary, dims binary, vs binary, ys binary")
+    return rows.select("block", "part", "at", "id", "weight", "dim", "v").groupBy("block").applyInArrow(work, "block long, ids binary, weights binary, dims binary, vs binary")
 
 
 def links(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """((id, n) of vectors with links, (a, b) links that join) among distinct vectors (id, weight, v, dim)."""
-    spark = rows.sparkSession
+    """((id, n) of vectors with links, (a, b) links that join) among distinct vectors (id, weight, v, dim).
+
+    A block travels once per chunk of the blocks that it meets, and once per pair on the other side.
+    """
     eps = sqrt(2 - 2 * cosine) + 1e-6
     width, n = rows.agg(F.max("dim").alias("d"), F.count("*").alias("n")).first()
     width = width or 1
     axes = principal(rows, width)
-    dims = axes.shape[1]
     dealt = in_blocks(placed(rows, axes, width, eps), n)
-    boxes = written(packed(dealt, width), "blocks")
-    pairs = near_blocks(dealt, dims, eps)
+    blocks = written(packed(dealt, width), "blocks")
+    pairs = near_blocks(dealt, axes.shape[1], eps).withColumn("chunk", F.floor(F.col("b") / CHUNK))
 
-    def load(row, side: int) -> dict:
-        ids, weights, d, vs, ys = (row[side + k].as_py() for k in range(5))
+    def load(row) -> dict:
+        ids, weights, d, vs = (x.as_py() for x in row)
         out = {"id": np.frombuffer(ids, np.int64), "weight": np.frombuffer(weights, np.int64), "dim": np.frombuffer(d, np.int64)}
         out["u"] = unit(np.frombuffer(vs).reshape(-1, width))
-        out["f"], out["y"] = out["u"].astype(np.float32), np.frombuffer(ys).reshape(-1, dims)
+        out["f"], out["y"] = out["u"].astype(np.float32), out["u"] @ axes
         return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, {}
+        x: dict = {}
         for batch in batches:
-            for row in zip(*batch.columns):
-                a, b = row[0].as_py(), row[1].as_py()
-                if a != last:
-                    last, x = a, load(row, 2)
-                nx, ny, joined = compare(x, None if a == b else load(row, 7), cosine, eps)
-                got = [(i, c) for i, c in zip(x["id"].tolist(), nx.tolist()) if c]
-                if a != b:
-                    got += [(i, c) for i, c in zip(np.frombuffer(row[7].as_py(), np.int64).tolist(), ny.tolist()) if c]
-                rows = [(i, c, None, None) for i, c in got] + [(None, None, s, t) for s, t in joined]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["id", "n", "a", "b"])
-
-    side = lambda k: boxes.select(F.col("block").alias("ab"[k]), *[F.col(c).alias(f"{c}{k}") for c in ("ids", "weights", "dims", "vs", "ys")])
-    fields = [f"{c}{k}" for k in (0, 1) for c in ("ids", "weights", "dims", "vs", "ys")]
-    met = pairs.join(side(0), "a").join(side(1), "b").select("a", "b", *fields)
-    out = written(met.repartition(max(slots(spark), 1), "a", "b").sortWithinPartitions("a").mapInArrow(work, "id long, n long, a long, b long"), "vector-links")
+            for a, b, *row in zip(*batch.columns):
+                a, b = a.as_py(), b.as_py()
+                if b < 0:  # the chunk's own block comes first
+                    x = load(row)
+                    continue
+                y = None if a == b else load(row)
+                nx, ny, joined = compare(x, y, cosine, eps)
+                got = [(i, c, None, None) for i, c in zip(x["id"].tolist(), nx.tolist()) if c]
+                if y is not None:
+                    got += [(i, c, None, None) for i, c in zip(y["id"].tolist(), ny.tolist()) if c]
+                got += [(None, None, s, t) for s, t in joined]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], pa.int64()) for k in range(4)], ["id", "n", "a", "b"])
+
+    fields = ("ids", "weights", "dims", "vs")
+    own = pairs.select("a", "chunk").distinct().join(blocks, F.col("a") == F.col("block")).select("a", F.lit(-1).cast("long").alias("b"), *fields, "chunk")
+    met = pairs.join(blocks, F.col("b") == F.col("block")).select("a", "b", *fields, "chunk")
+    rows = own.unionAll(met).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "b").drop("chunk")
+    out = written(rows.mapInArrow(work, "id long, n long, a long, b long"), "vector-links")
     return out.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n")), out.filter("a is not null").select("a", "b")
 
 
