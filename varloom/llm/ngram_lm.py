@@ -224,17 +224,23 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         out = np.zeros(len(keys), dtype=PAIR)
         out["key"], out["count"] = keys, c
         save(f"{folder}/pair", r, out)
-        plain = unmix(keys)
-        parts = []
-        many = np.stack([c, c == 1, c == 2, c >= 3])
-        for kind, ids, values in (("context", plain >> U(32), many), ("follows", plain & U(START), np.ones((1, len(c)), np.int64))):
-            ids, *values = summed(ids, *values)
+        del out
+        parts, known = [], [int((c == k).sum()) for k in (1, 2, 3, 4)]
+        keys, n, c = unmix(keys), len(keys), c.astype(np.uint32)
+        # one indicator at a time, as all of them at once would take several times the keys' memory
+        many = (lambda: c, lambda: (c == 1).astype(np.uint32), lambda: (c == 2).astype(np.uint32), lambda: (c >= 3).astype(np.uint32))
+        for kind, ids, made in (("context", (keys >> U(32)).astype(np.uint32), many), ("follows", (keys & U(START)).astype(np.uint32), (lambda: np.ones(n, np.uint32),))):
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            values = [np.add.reduceat(v()[order], new, dtype=np.uint32) for v in made]
+            ids = ids[new]
             own = np.searchsorted(base, ids.astype(np.int64), side="right") - 1
             own[ids == START] = ranges
             cut = np.searchsorted(own, np.arange(ranges + 2))
-            values = [v.astype(np.uint32) for v in values] + [np.zeros(len(ids), np.uint32)] * (4 - len(values))
-            parts += [(int(q), kind, *[a[cut[q] : cut[q + 1]].tobytes() for a in (ids.astype(np.uint32), *values)], 0, 0, [0] * 4) for q in range(ranges + 1) if cut[q] < cut[q + 1]]
-        parts.append((-1, "size", b"", b"", b"", b"", b"", r, len(keys), [int((c == k).sum()) for k in (1, 2, 3, 4)]))
+            values += [np.zeros(len(ids), np.uint32)] * (4 - len(values))
+            parts += [(int(q), kind, *[a[cut[q] : cut[q + 1]].tobytes() for a in (ids, *values)], 0, 0, [0] * 4) for q in range(ranges + 1) if cut[q] < cut[q + 1]]
+        parts.append((-1, "size", b"", b"", b"", b"", b"", r, n, known))
         names = ["range", "kind", "keys", "v0", "v1", "v2", "v3", "own", "n", "many"]
         kinds = [pa.int32(), pa.string(), *[pa.binary()] * 5, pa.int32(), pa.int64(), pa.list_(pa.int64())]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*parts), kinds)], names=names)
