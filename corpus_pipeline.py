@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("MinHash near-dedup", near), ("mixing", mix), ("SentencePiece encoding", encode)]
 
-#: Similarity joins, sampled labels and merges are not SQL; tests compare the stages with brute force.
+#: Similarity joins, sampled labels and merges are not SQL; the operators' tests cover the stages.
 ORACLE_SQL = None
 
 
