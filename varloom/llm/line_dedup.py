@@ -5,23 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import NOT_WHITE, table, words, written
+from varloom.llm.common import NOT_WHITE, WHITE, table, words, written
 
 #: A token with a digit is a variable field.
 FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 BLANKS = " \t\n\v\f\r"
-MIN_WORDS, LEADING, SIMILAR, ROUNDS = 3, 4, 0.9, 3
+#: White space that is not one space between words.
+UNEVEN = r"[\x09-\x0D]|\x20\x20"
+MIN_WORDS, LEADING, SIMILAR, ROUNDS = 3, 3, 0.9, 3
 
 
 def masked_line(line):
-    """The line with its variable fields generalised; the pattern runs only where there is a digit."""
-    return F.btrim(F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line), F.lit(BLANKS))
+    """The line with its variable fields generalised and one space between words; a pattern runs only where it has work."""
+    line = F.btrim(line, F.lit(BLANKS))
+    line = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, "<*>")).otherwise(line)
+    return F.when(line.rlike(UNEVEN), F.regexp_replace(line, f"{WHITE}+", " ")).otherwise(line)
 
 
 def lines_of(docs: DataFrame, text: str, key: str, leading: int) -> DataFrame:
     """A row of numbers per line: document, text hash, position, token count, leaf and hash of the masked line.
 
-    The leaf is the line's place in the tree: token count, then leading tokens as single spaces part them.
+    The leaf is the line's place in the tree: token count, then leading tokens.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.col(key).alias("id"), F.xxhash64(t).alias("th"), F.posexplode(F.split(t, "\n")).alias("pos", "line"))
