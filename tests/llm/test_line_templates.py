@@ -17,3 +17,41 @@ def test_lines_that_differ_by_blanks_meet(spark, documents):
 def test_a_varying_fourth_token_meets_its_template(spark, documents):
     texts = [f"written long ago by {TAIL}", f"alone\nwritten long ago in {TAIL}", f"written long since by {TAIL}"]
     assert drops(documents(texts)) == {1: [1]}
+
+
+def test_every_template_of_a_crowded_leaf_is_found(spark, documents):
+    """Three common lines lead three rounds that take nothing in; the templates come after them."""
+    kind = lambda k, end: " ".join(["one", "of", "them", *[f"{k}{c}" for c in "abcdefgh"], end])
+    kind_of = dict(zip(range(9), "pqrstuvwx"))
+    texts = ["\n".join(kind(kind_of[k], "same") for k in range(3))] + [f"{'uvw'[i]} x\n" + "\n".join(kind(kind_of[k], "same") for k in range(3)) for i in range(3)]
+    texts += ["\n".join(kind(kind_of[k], end) for k in range(3, 9)) for end in ("left", "right")]
+    got = drops(documents(texts))
+    assert got == {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 3], 5: [0, 1, 2, 3, 4, 5]}
+
+
+def test_templates_equal_one_leader_at_a_time(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    kinds = {}
+    for leaf in range(12):
+        n = rng.choice([10, 12, 20, 31])
+        for _ in range(rng.randint(1, 60)):
+            tok = [rng.randint(0, 1) if j in (3, 7, 9) else rng.random() < 0.03 for j in range(n)]
+            kinds[leaf, tuple(int(x) for x in tok)] = rng.randint(1, 4)
+    rows = [(leaf, i, times, list(tok)) for i, ((leaf, tok), times) in enumerate(kinds.items())]
+    want = {}
+    for leaf in range(12):
+        left = sorted(((t, m, tok) for f, m, t, tok in rows if f == leaf), reverse=True)
+        while left:
+            lead = left[0]
+            mine = [x for x in left if sum(p == q for p, q in zip(x[2], lead[2])) >= 0.9 * len(lead[2])]
+            want |= {x[1]: lead[1] for x in mine}
+            left = [x for x in left if x not in mine]
+    rest = spark.createDataFrame(rows, "leaf long, masked long, times long, tok array<long>")
+    got = {r.masked: r.template for r in line_dedup.settled(rest, 0.9).collect()}
+    assert len(set(want.values())) > 24 and any(k != v for k, v in want.items())
+    assert got == {k: v for k, v in want.items() if k != v}
+    assert line_dedup.settled(rest.filter(F.col("leaf") < 0), 0.9).count() == 0

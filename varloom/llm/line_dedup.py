@@ -33,8 +33,53 @@ def lines_of(docs: DataFrame, text: str, key: str, leading: int) -> DataFrame:
     return df.select("id", "th", "pos", "n", F.xxhash64("n", F.substring_index("m", " ", leading)).alias("leaf"), F.xxhash64("m").alias("masked"))
 
 
+def agree(a: str, b: str):
+    """The number of positions at which two token columns agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+
+
+def misses(n, similar: float):
+    """How many of n tokens may differ between a line and its template."""
+    return (n - F.ceil(F.lit(float(similar)) * n)).cast("int")
+
+
+def settled(rest: DataFrame, similar: float) -> DataFrame:
+    """(leaf, masked, template) of the kinds that others take in, as if every leaf had a round for each of its kinds.
+
+    Two kinds that differ at d tokens at most are equal on one of d + 1 runs of tokens, so only
+    kinds that share a run are compared. A kind leads if no kind met by more lines that leads takes it in.
+    """
+    crowded = rest.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf")
+    rest = written(rest.join(crowded, "leaf", "left_semi"), "crowded")
+    n = F.size("tok")
+    d = F.greatest(misses(n, similar), F.lit(0))
+    cut = lambda i: F.floor(i * n / (d + 1)).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), d), lambda i: F.xxhash64(i, F.slice("tok", cut(i) + 1, cut(i + 1) - cut(i))))
+    keys = rest.select("leaf", "masked", "times", F.explode(runs).alias("run"))
+    shared = keys.groupBy("leaf", "run").agg(F.count("*").alias("k")).filter("k > 1").select("leaf", "run")
+    keys = written(keys.join(shared, ["leaf", "run"], "left_semi"), "runs")
+    a = keys.select("leaf", "run", F.struct("times", "masked").alias("a"))
+    b = keys.select("leaf", "run", F.struct("times", "masked").alias("b"))
+    pairs = a.join(b, ["leaf", "run"]).filter("a > b").select("leaf", "a", "b").distinct()
+    tokens = lambda x: rest.select("leaf", F.struct("times", "masked").alias(x), F.col("tok").alias(f"{x}_tok"))
+    pairs = pairs.join(tokens("a"), ["leaf", "a"]).join(tokens("b"), ["leaf", "b"])
+    pairs = written(pairs.filter(agree("b_tok", "a_tok") >= similar * F.size("b_tok")).select("leaf", "a", "b"), "pairs")
+    live, taken, k = pairs, None, 0
+    while not live.isEmpty():
+        heads = live.select("leaf", "a").distinct().join(live.select("leaf", F.col("b").alias("a")), ["leaf", "a"], "left_anti")
+        now = written(live.join(heads, ["leaf", "a"], "left_semi").select("leaf", "b").distinct(), f"taken-{k}")
+        taken = now if taken is None else taken.unionAll(now)
+        live = live.join(now, ["leaf", "b"], "left_anti").join(now.select("leaf", F.col("b").alias("a")), ["leaf", "a"], "left_anti")
+        live, k = written(live, f"live-{k}"), k + 1
+    if taken is not None:
+        pairs = pairs.join(taken.select("leaf", F.col("b").alias("a")), ["leaf", "a"], "left_anti")
+    return pairs.groupBy("leaf", F.col("b.masked").alias("masked")).agg(F.max("a").alias("lead")).select("leaf", "masked", F.col("lead.masked").alias("template"))
+
+
 def templates(docs: DataFrame, rows: DataFrame, text: str, key: str, similar: float, rounds: int) -> DataFrame:
     """(leaf, masked, template) of the lines that other lines of their leaf take in."""
+    # where no token may differ, only equal lines agree, and these are one kind
+    rows = rows.filter(misses(F.col("n"), similar) > 0)
     kinds = rows.groupBy("leaf", "masked").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "pos")).alias("at"))
     mixed = kinds.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf")
     # the tokens of one line of each kind are fetched from its document
@@ -50,13 +95,13 @@ def templates(docs: DataFrame, rows: DataFrame, text: str, key: str, similar: fl
     for k in range(rounds):
         lead = rest.groupBy("leaf").agg(F.max(F.struct("times", "masked")).alias("top")).select("leaf", F.col("top.masked").alias("masked"))
         lead = rest.join(lead, ["leaf", "masked"]).select("leaf", F.col("masked").alias("lead"), F.col("tok").alias("lead_tok"))
-        same = F.aggregate(F.zip_with("tok", "lead_tok", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-        met = rest.join(lead, "leaf").withColumn("template", F.when(same >= similar * F.size("tok"), F.col("lead"))).drop("lead", "lead_tok")
+        met = rest.join(lead, "leaf").withColumn("template", F.when(agree("tok", "lead_tok") >= similar * F.size("tok"), F.col("lead"))).drop("lead", "lead_tok")
         met = written(met, f"met-{k}")
         now = met.filter("template is not null").select("leaf", "masked", "template")
         named = now if named is None else named.unionAll(now)
         rest = met.filter("template is null").drop("template")
-    return named
+    rest = settled(rest, similar)
+    return rest if named is None else named.unionAll(rest)
 
 
 def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, leading: int = LEADING, similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
@@ -65,7 +110,9 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     A line descends by its token count and leading tokens (fields with digits as <*>) to a
     leaf. In a leaf that two different texts reach, the template met by the most lines takes
     in every line that agrees with it on a share of tokens of at least `similar`; what is
-    left over does the same in further rounds, and then only equal lines share a template.
+    left over does the same until no line is left that another takes in. The first `rounds`
+    templates of the leaves are found round by round, the others at once; their number
+    changes no result.
     A template that different texts hold recurs: it stays in the text with the smallest id
     and is dropped from all others. Exact copies of a document are one text here, so they
     are left to near-dedup. Lines of fewer than min_words tokens, null and empty texts are
@@ -73,7 +120,7 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     """
     rows = written(lines_of(docs, text, key, leading), "lines").filter(F.col("n") >= min_words)
     leaves = rows.groupBy("leaf").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("leaf")
-    rows = rows.join(leaves, "leaf", "left_semi").drop("n")
+    rows = rows.join(leaves, "leaf", "left_semi")
     named = templates(docs, rows, text, key, similar, rounds)
     rows = rows.join(named, ["leaf", "masked"], "left").withColumn("template", F.coalesce("template", "masked"))
     homes = rows.groupBy("leaf", "template").agg(F.min(F.struct("id", "th")).alias("home"), F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("leaf", "template", F.col("home.th").alias("home"))
