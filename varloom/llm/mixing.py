@@ -14,6 +14,8 @@ LABELLED_ROWS = 4000
 #: Characters whose share of a text tells the domains apart.
 CLASSES = ("éèêçàù", "äöüß", "ñíóáú", "wWkK", "yY", "zZ", "qQuU", "hH", "0-9")
 TARGETS = {"en": 0.62, "de": 0.14, "fr": 0.14, "es": 0.10}
+#: Weights of the query, away from the input's own shares; its budget is the input's tokens, and no gap may be larger than OFF.
+QUERY_TARGETS, OFF = {"en": 0.40, "de": 0.20, "fr": 0.25, "es": 0.15}, 0.05
 
 
 def features(docs: DataFrame, text: str = "text", classes: tuple[str, ...] = CLASSES) -> DataFrame:
@@ -53,14 +55,15 @@ def posteriors(df: DataFrame, model: dict, soften: float = 0.5) -> DataFrame:
     return df.drop("__top", "__z", *[f"__{k}{j}" for j in range(len(names)) for k in "se"])
 
 
-def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], min_rate: float = 0.0, budget: float | None = None, passes: int = 40, close: float = 0.005) -> tuple[Column, dict[str, float], dict[str, float]]:
+def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], min_rate: float = 0.0, budget: float | None = None, passes: int = 40, close: float = 0.005, times: float | None = None) -> tuple[Column, dict[str, float], dict[str, float]]:
     """(rate, reached, targets): nonnegative rates whose expected domain token totals meet the targets.
 
     Minimises the squared relative gaps between the expected totals (rate times tokens times
     posterior) and the targets by projected gradient from rate 1. A pass is one aggregate
     over the table; a document's rate is a fold over the few gradients so far, so no state
-    of the documents is kept between passes. budget: tokens asked for; by default what lets
-    every domain reach its weight without a rate under 1.
+    of the documents is kept between passes. budget: tokens asked for, or times: the same as
+    a multiple of the input's tokens; by default what lets every domain reach its weight
+    without a rate under 1. What the lowest rate leaves of a domain is the least that is tried for.
     """
     p = {d: F.col(f"p_{d}") for d in domains}
     share = {d: max(weights.get(d, 0.0), 0.0) for d in domains}
@@ -72,20 +75,21 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], mi
         return {d: float(got[f"t{j}"] or 0.0) for j, d in enumerate(domains)}
 
     start = reached = totals(rate)
-    tokens = budget or max([start[d] / (share[d] / whole) for d in domains if share[d] > 0 and start[d] > 0], default=0.0)
+    tokens = budget or (times or 0.0) * sum(start.values()) or max([start[d] / (share[d] / whole) for d in domains if share[d] > 0 and start[d] > 0], default=0.0)
     targets = {d: tokens * share[d] / whole for d in domains}
+    goal = {d: max(targets[d], min_rate * start[d]) for d in domains}
     for _ in range(passes):
-        gap = {d: (reached[d] - targets[d]) / (targets[d] or 1.0) for d in domains if start[d] > 0}
+        gap = {d: (reached[d] - goal[d]) / (goal[d] or start[d]) for d in domains if start[d] > 0}
         if all(abs(x) <= close for x in gap.values()):
             break
         # a unit step on domain d moves its total by about start[d], so this scaling is a Newton step on pure documents
-        step = {d: gap[d] * (targets[d] or start[d]) / start[d] * 0.9 for d in gap}
+        step = {d: gap[d] * (goal[d] or start[d]) / start[d] * 0.9 for d in gap}
         rate = F.greatest(F.lit(float(min_rate)), rate - sum((p[d] * F.lit(x) for d, x in step.items()), F.lit(0.0)))
         reached = totals(rate)
     return rate, reached, targets
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, label: str, weights: dict[str, float], text: str = "text", key: str = "doc_id", min_rate: float = 0.0, labelled_rows: int = LABELLED_ROWS, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, label: str, weights: dict[str, float], text: str = "text", key: str = "doc_id", min_rate: float = 0.0, labelled_rows: int = LABELLED_ROWS, budget: float | None = None, times: float | None = None, off: float | None = None) -> DataFrame:
     """(key columns, n_tokens, p_<domain>, rate, copies) of every row of docs.
 
     labelled has the texts with their domain label; at most about labelled_rows of them, chosen
@@ -93,6 +97,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, label: str, weights: dict[str, f
     decided by a hash of the id, so a rerun decides alike. Without labelled rows every rate is
     1; null and empty texts have one token (the end) and posteriors like any other; repeated
     rows are decided alike. Domains without weight get target 0.
+    off: raises ValueError where a domain of documents misses its target by more than this share
+    (of all tokens for target 0).
     """
     n = labelled.count()
     chosen = labelled.filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, labelled_rows / max(n, 1))))
@@ -101,7 +107,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, label: str, weights: dict[str, f
     if not model:
         return rows.drop(*[f"__f{i}" for i in range(len(CLASSES))]).withColumns({"rate": F.lit(1.0), "copies": F.lit(1)})
     rows = written(posteriors(rows, model).drop(*[f"__f{i}" for i in range(len(CLASSES))]), "posteriors")
-    rate, _, _ = fit_rates(rows, list(model), weights, min_rate, budget)
+    rate, reached, targets = fit_rates(rows, list(model), weights, min_rate, budget, times=times)
+    if off is not None and (far := {d: (round(reached[d]), round(t)) for d, t in targets.items() if abs(reached[d] - t) > off * (t or sum(reached.values()))}):
+        raise ValueError(f"targets not reached, tokens reached and asked for: {far}")
     chance = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(1_000_000)) / 1e6
     rows = rows.withColumn("rate", rate)
     return rows.withColumn("copies", (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
@@ -121,4 +129,4 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return mixed(docs, labelled_texts(docs, labels), "domain", TARGETS, min_rate=1.0)
+    return mixed(docs, labelled_texts(docs, labels), "domain", QUERY_TARGETS, times=1.0, off=OFF)
