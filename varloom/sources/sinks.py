@@ -5,16 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folder of each local session that has no shared one.
+_OWN: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session has a folder of its own; on a cluster that would be a
+    different folder on every machine, so it is an error there.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or _OWN.get(context.applicationId)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='varloom-')}"
-        spark.sparkContext.setCheckpointDir(path)
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = _OWN[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='varloom-')}"
     return path.rstrip("/")
 
 
@@ -25,6 +35,12 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a materialised() table that nothing will read again: an empty one takes its place."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+
+
 def todo(df: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not done."""
     return df.join(done.select(*key).distinct(), key, "left_anti")
@@ -37,10 +53,11 @@ def write_by_sample(df: DataFrame, path: str, sample: str = "sample_id", salts:
 
 def write_missing(df: DataFrame, path: str, key: list[str]) -> None:
     """Appends rows whose key the table at path doesn't hold yet; running it again adds none."""
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(target)
-    (todo(df, spark.read.parquet(path), key) if exists else df).write.mode("append").parquet(path)
+    try:
+        done = df.sparkSession.read.parquet(path)
+    except AnalysisException:  # nothing is written yet
+        done = None
+    (df if done is None else todo(df, done, key)).write.mode("append").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, order: list, sample: str = "sample_id") -> None:
