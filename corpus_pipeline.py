@@ -24,9 +24,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated at the rates that bring the languages' tokens to their weights; none goes."""
+    """Documents as often as the rates say that bring good, poor and toxic text to their weights; good ones stay."""
     labelled = mixing.labelled_texts(docs, table(spark, sf_dir, "labels"))
-    return mixing.remix(docs, labelled, "domain", mixing.TARGETS, min_rate=1.0)
+    return mixing.remix(docs, labelled, "domain", mixing.PIPELINE_TARGETS, rise=("good", mixing.PIPELINE_RISE))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
