@@ -66,6 +66,8 @@ def test_publications(spark):
     df = spark.createDataFrame(rows, "gene string, PMID string, title string, abstract string, relevance int")
     got = phenotype.publications(df, ["Disease"]).collect()
     assert [(r["PMID"], r["title"]) for r in got] == [("1", "ABC causes disease")]
+    words = spark.createDataFrame([("because", "x"), ("the Cause.", "x"), ("diagnosis", "x"), ("éCause", "x")], "t string, x string")
+    assert [r[0] for r in words.select(phenotype.says(F.col("t"), phenotype.KEYWORDS)).collect()] == [False, True, True, False]
 
 
 def test_answers(spark):
@@ -142,6 +144,48 @@ def test_scores_equal_numpy(spark):
     assert np.allclose(got, np.stack([logit, heads[:, 0]], axis=1))
 
 
+def test_scoring_imputes_and_takes_empty_batches(spark):
+    w = {"domains": {"A": {"layers": [(np.eye(2), np.zeros(2))], "head": (np.ones((2, 1)), np.zeros(1))}}, "fusion": [], "out": (np.ones((2, 1)), np.zeros(1))}
+    df = spark.createDataFrame([(1, "5", "x"), (2, "bad", "y"), (3, None, None)], "i int, a string, c string")
+    fitted = {"a": (4.0, 2.0)}
+    x = score.features(df, ["a", "absent"], fitted, {"c": ["x"], "gone": ["z"]})
+    got = {r.i: r.overall_logit for r in score.moe_scores(df.withColumn("f", x), {"A": ["f"]}, w).collect()}
+    assert got == {1: 1.5, 2: 0.0, 3: 0.0}
+    none = df.filter("i > 5").withColumn("f", x)
+    assert score.moe_scores(none, {"A": ["f"]}, w).count() == 0 and score.fit_standard(none, ["a"]) == {"a": (0.0, 1.0)}
+
+
+def test_xml_lines(spark):
+    df = spark.createDataFrame([('<a k="v"><b> t </b><c/></a>',), ("<bad",), (None,)], "xml string")
+    assert [r["text"] for r in evidence.submission_texts(df).collect()] == ['a [k="v"]:\n  b: t\n  c', None, None]
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    import pytest
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context, Conf()
+
+    with pytest.raises(ValueError):
+        sinks.shared_folder(Session)
+
+
+def test_forgotten_tables_hold_nothing(spark):
+    df = sinks.materialised(spark.range(5), "gone")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    sinks.forget(df)
+    assert spark.read.schema("id long").parquet(path).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     for s, ids in (("p1", "HP:1\n\nHP:2\n"), ("p2", "HP:3")):
         (tmp_path / f"{s}.hpo.txt").write_text(ids)

@@ -26,7 +26,7 @@ def shown(v):
 def test_queries_equal_their_sql(spark):
     import duckdb
 
-    from varloom import queries
+    from varloom import plan_queries, queries  # noqa: F401
 
     c = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

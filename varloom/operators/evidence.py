@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+from xml.etree.ElementTree import Element, ParseError, fromstring
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from varloom.functions.values import clipped, four_digits, shown
+from varloom.functions.values import clipped, number, shown
 from varloom.operators.ranks import joined_text
 
-# Answers that stand for a missing or unreadable one.
+# Keys of each reviewer's answer, with what stands for a missing one.
 DEFAULTS = {
-    "database": {"reasoning": "", "conclusion": "Neutral", "zygosity": "no_information"},
-    "insilico": {"Reasoning": "", "Conclusion": "Weak"},
-    "hpo": {"Reasoning": "", "Conclusion": "Not Fit"},
-    "omim": {"Reasoning": "", "Conclusion": "Not Fit"},
-    "literature": {"Reasoning": "", "Conclusion": "Not Fit"},
-    "rna": {"Reasoning": "", "Event": "", "Conclusion": "No RNA Evidence"},
+    "database": {"reasoning": "", "conclusion": "Neutral", "zygosity": "no information"},
+    "insilico": {"Reasoning": "parse_error", "Conclusion": "Weak"},
+    "hpo": {"Reasoning": "comply_error", "Conclusion": "Not Fit"},
+    "omim": {"Reasoning": "comply_error", "Conclusion": "Not Fit"},
+    "literature": {"Reasoning": "comply_error", "Conclusion": "Not Fit"},
+    "rna_gene": {"Reasoning": "comply_error", "Event": "No Signal", "Conclusion": "No RNA Evidence"},
+    "rna_variant": {"Reasoning": "comply_error", "Event": "No Signal", "Conclusion": "No RNA Evidence"},
 }
+# What a reviewer may answer.
+FIT = ["Not Fit", "Partial Fit", "Good Fit"]
+SURE = "Stand-Alone Strong Evidence"
+RNA_LEVELS = ["No RNA Evidence", "Weak RNA Evidence", "Strong RNA Evidence"]
+AMOUNTS = ["Moderately Decreased Expression", "Largely Decreased Expression", "Increased Expression"]
 CHOICES = {
-    "database": "Against, Neutral, Supporting, Convincing; zygosity: homozygous, compound_heterozygous, heterozygous, no_information",
-    "insilico": "Weak, Moderate, Strong",
-    "rna": "No RNA Evidence, Weak RNA Evidence, Strong RNA Evidence",
-    "hpo": "Not Fit, Partial Fit, Good Fit, Stand-Alone Strong Evidence",
-    "omim": "Impossible, Not Fit, Partial Fit, Good Fit, Stand-Alone Strong Evidence",
-    "literature": "Not Fit, Partial Fit, Good Fit",
+    "database": {"conclusion": ["Against", "Neutral", "Supporting", "Convincing"], "zygosity": ["homozygous", "compound_heterozygous", "heterozygous", "no_information"]},
+    "insilico": {"Conclusion": ["Weak", "Moderate", "Strong"]},
+    "hpo": {"Conclusion": [*FIT, SURE]},
+    "omim": {"Conclusion": ["Impossible", *FIT, SURE]},
+    "literature": {"Conclusion": FIT},
+    "rna_gene": {"Event": ["No Signal", "Abnormal Splicing", *AMOUNTS], "Conclusion": RNA_LEVELS},
+    "rna_variant": {"Event": ["No Signal", "Exon Skipping", "Intron Retention", "Cryptic Splicing", *AMOUNTS, "Allele Imbalance (Alt High)", "Allele Imbalance (Alt Low)"], "Conclusion": RNA_LEVELS},
 }
+# Kinds of publications, and those whose abstracts are read.
+CATEGORIES = ["functional study", "review", "case report", "patient cohort", "phenotype association"]
 
 
 def told(*parts) -> Column:
@@ -32,8 +45,23 @@ def told(*parts) -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def request(kind: str) -> str:
+    """What is asked of the reviewer: a JSON object with exactly the keys that parsed() reads."""
+    keys = ", ".join(f'"{k}"' for k in DEFAULTS[kind])
+    return f"\nAnswer with one JSON object with the keys {keys} and nothing else." + "".join(f"\n{k}: one of {' | '.join(v)}." for k, v in CHOICES[kind].items())
+
+
 def ask(kind: str, *blocks) -> Column:
-    return told(*blocks, f"\nAnswer as JSON with a reasoning and one conclusion of: {CHOICES[kind]}.")
+    return told(*blocks, request(kind))
+
+
+def four(c: Column) -> Column:
+    """Four significant digits, or NA."""
+    return F.when(number(c).isNull(), F.lit("NA")).otherwise(F.format_string("%.3e", number(c)))
+
+
+def whole(c: Column) -> Column:
+    return F.coalesce(number(c).cast("long").cast("string"), F.lit("NA"))
 
 
 def submissions(rows: DataFrame, key: str, order: str, text: str, size: int = 3000) -> DataFrame:
@@ -41,20 +69,55 @@ def submissions(rows: DataFrame, key: str, order: str, text: str, size: int = 30
     return rows.filter(F.col(text).isNotNull()).groupBy(key).agg(joined_text(F.col(order), clipped(F.col(text), size), "\n---\n").alias("submissions"))
 
 
-def database_prompt(key: Column, record: Column, texts: Column) -> Column:
-    return ask("database", "Variant ", key, "; archive record ", record, ".\nSubmissions:\n", F.coalesce(texts, F.lit("No submissions were found.")))
+def database_prompt(key: Column, change: Column, texts: Column) -> Column:
+    return ask("database", "Variant ", key, "; coding change ", change, ".\nSubmissions:\n", F.coalesce(texts, F.lit("No submissions were found.")))
 
 
-def in_silico_prompt(gene: Column, change: Column, protein: Column, scores: dict[str, Column], splice: Column | None = None, is_splice: Column | None = None) -> Column:
+def in_silico_prompt(gene: Column, change: Column, protein: Column, scores: dict[str, Column], splice: Column | None = None, is_splice: Column | None = None, note: str = "") -> Column:
     """The coding change is told unless the protein change is -; the splice score only for splice variants."""
     lines = [told("\n", name, ": ", shown(c)) for name, c in scores.items()]
     if splice is not None:
-        lines.append(F.when(is_splice, told("\nspliceAI: ", shown(splice))))
-    return ask("insilico", "Gene ", gene, F.when(F.coalesce(protein, F.lit("-")) != "-", told("; cDNA ", change, "; protein ", protein)), ".", *lines)
+        lines.append(F.when(is_splice, told("\nspliceAImax: ", shown(splice))))
+    return ask("insilico", "Gene ", gene, F.when(F.coalesce(protein, F.lit("-")) != "-", told("; cDNA ", change, "; protein ", protein)), ".", *lines, note)
+
+
+def inheritance(recessive: Column, dominant: Column) -> Column:
+    """The patterns that all of a gene's rows allow."""
+    text = F.concat_ws(", ", F.when(recessive == 1, "recessive"), F.when(dominant == 1, "dominant"))
+    return F.when(text == "", "unknown").otherwise(text)
+
+
+def gene_block() -> Column:
+    """Constraint metrics, inheritance and dosage of a gene."""
+    known = F.when((F.col("haploinsufficiency") != "") | (F.col("triplosensitivity") != ""), told("\nHaploinsufficiency: ", F.col("haploinsufficiency"), "\nTriplosensitivity: ", F.col("triplosensitivity")))
+    return told("\nInheritance: ", inheritance(F.col("recessive"), F.col("dominant")), "\npLI: ", four(F.col("gnomadGenePLI")), "\no/e LOF: ", four(F.col("gnomadGeneOELof")), " (upper ", four(F.col("gnomadGeneOELofUpper")), ")", known)
+
+
+def expression_block() -> Column:
+    o = lambda c: F.col(f"Outrider_{c}")
+    return told("\nExpression: raw counts ", whole(o("rawcounts")), ", raw z ", four(o("RawZscore")), ", z ", four(o("zScore")), ", p ", four(o("pValue")))
 
 
-def rna_prompt(gene: Column, values: dict[str, Column]) -> Column:
-    return ask("rna", "RNA evidence of ", gene, ":", *[told("\n", name, ": ", F.coalesce(four_digits(c).cast("string"), F.lit("NA"))) for name, c in values.items()])
+def rna_gene_prompt() -> Column:
+    return ask("rna_gene", "RNA evidence of gene ", F.col("geneSymbol"), ":", gene_block(), "\nSplicing p of the gene: ", four(F.col("Fraser_GenePvalue")), expression_block())
+
+
+JUNCTION = ["jaccard", "predictedMeans_jaccard", "delta_jaccard", "rawOtherCounts_jaccard", "psi5", "rawOtherCounts_psi5", "delta_psi5", "psi3", "rawOtherCounts_psi3", "delta_psi3", "rawCountsJnonsplit"]
+
+
+def rna_variant_prompt() -> Column:
+    """Junction, expression where tested, and allele counts where tested at a heterozygous site."""
+    f = lambda c: F.col(f"Fraser_{c}")
+    junction = told("\nJunction ", F.col("Chromosome"), ":", whole(f("junction_start")), "-", whole(f("junction_end")), ", p ", four(f("pvaluesBetaBinomial_jaccard")), *[x for c in JUNCTION for x in (f", {c} ", four(f(c)))])
+    burden = told("\nHarmful, benign records inside: ", F.col("n_harmful").cast("string"), ", ", F.col("n_benign").cast("string"), ", ratio ", four(F.col("ratio")))
+    ase = F.when(number(F.col("ASE_PVAL")).isNotNull() & (F.col("zyg") == 1), told("\nAlleles: p ", four(F.col("ASE_PVAL")), ", ref ", whole(F.col("ASE_REF_COUNT")), ", alt ", whole(F.col("ASE_ALT_COUNT")), ", alt ratio ", four(F.col("ASE_ALT_RATIO"))))
+    expressed = F.when(number(F.col("Outrider_pValue")).isNotNull(), expression_block())
+    return ask("rna_variant", "RNA evidence of ", F.col("geneSymbol"), " ", F.col("varId"), ":", gene_block(), junction, burden, expressed, ase)
+
+
+def triage_prompt(gene: Column, items: Column) -> Column:
+    """Asks for a table of the publications on rare disease, each in one category."""
+    return told("Gene ", gene, ". Which of these publications are about rare disease, and of which kind: ", ", ".join(CATEGORIES), "?\nAnswer with a tab-separated table with the header PMID, Title, Category and nothing else.\n", items)
 
 
 def phenotype_prompt(kind: str, patient: Column, gene: Column, evidence: Column) -> Column:
@@ -84,3 +147,29 @@ def table_rows(df: DataFrame, keys: list[str], text: str, columns: list[str]) ->
 
 def in_categories(df: DataFrame, column: str, wanted: list[str]) -> DataFrame:
     return df.filter(F.lower(F.trim(column)).isin(*wanted))
+
+
+@F.pandas_udf(StringType())
+def xml_lines(texts: pd.Series) -> pd.Series:
+    """An XML element as indented lines, tag [k="v"]: text, children below their parent; null where it is no XML."""
+
+    def lines(e: Element, depth: int) -> list[str]:
+        own = "  " * depth + e.tag + (" [" + ", ".join(f'{k}="{v}"' for k, v in e.attrib.items()) + "]" if e.attrib else "")
+        text = (e.text or "").strip()
+        out = [f"{own}: {text}" if text else f"{own}:" if len(e) else own]
+        for child in e:
+            out += lines(child, depth + 1)
+        return out
+
+    def one(text: str | None) -> str | None:
+        try:
+            return "\n".join(lines(fromstring(text), 0)) if text else None
+        except ParseError:
+            return None
+
+    return texts.map(one)
+
+
+def submission_texts(rows: DataFrame, xml: str = "xml") -> DataFrame:
+    """Adds text, the record's XML as lines."""
+    return rows.withColumn("text", xml_lines(F.col(xml)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.keys import genes_of, is_locus, key_parts, locus_contig
@@ -29,11 +29,9 @@ def nominated(df: DataFrame, hits: list[Column], gene: str = "geneSymbol", key:
     df = df.withColumns(dict(zip(names, hits)))
     hit = F.greatest(*names)
     df = df.withColumn("__hit", hit)
-    genes = df.groupBy(sample, gene).agg(
-        F.countDistinct(key).alias("__total"),
-        F.countDistinct(F.when(F.col("__hit"), F.col(key))).alias("__strong"),
-        F.max(F.col("__hit") & yes(F.col(recessive) == 1)).alias("__rescue"),
-    )
+    # one row per variant first, so that the counts of distinct variants are plain sums
+    variants = df.groupBy(sample, gene, key).agg(F.max("__hit").alias("h"), F.max(F.col("__hit") & yes(F.col(recessive) == 1)).alias("r"))
+    genes = variants.groupBy(sample, gene).agg(F.count(key).alias("__total"), F.count(F.when(F.col("h"), F.col(key))).alias("__strong"), F.max("r").alias("__rescue"))
     df = df.join(genes, [sample, gene], "left")
     group = yes((F.col("__strong") >= 1) & (F.col("__total") - F.col("__strong") >= 1))
     label = F.concat_ws(", ", *[F.when(F.col(n), F.lit(r)) for n, r in zip(names, RULES)], F.when(F.col("is_compound_het_group"), F.lit(RULES[-1])))
@@ -65,11 +63,21 @@ def interval_hits(points: DataFrame, spans: DataFrame, by: list[str], at: str, s
     return p.join(s, [*by, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
 
 
-def best_junction(variants: DataFrame, junctions: DataFrame, by: list[str], value: str, width: int = 100_000) -> DataFrame:
-    """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later."""
-    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos").distinct(), junctions.filter(F.col(value).isNotNull()), ["sample_id", "Chromosome"], "Pos", "start", "end", width)
-    w = Window.partitionBy(*by).orderBy(value, "start", "end")
-    best = hits.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", "Chromosome", "Pos")
+def bin_width(spans: DataFrame, start: str, end: str, share: float = 0.9) -> int:
+    """A width of bins that most spans fit in; longer ones are dealt to several bins."""
+    got = spans.agg(F.percentile_approx(F.col(end) - F.col(start) + 1, share, 1000).alias("w")).first()["w"]
+    return max(int(got or 1), 1)
+
+
+def best_junction(variants: DataFrame, junctions: DataFrame, by: list[str], value: str, width: int | None = None) -> DataFrame:
+    """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later.
+
+    Bins are as wide as most junctions, so a variant meets few that don't hold it.
+    """
+    known = junctions.filter(F.col(value).isNotNull())
+    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos").distinct(), known, ["sample_id", "Chromosome"], "Pos", "start", "end", width or bin_width(known, "start", "end"))
+    others = [c for c in hits.columns if c not in (*by, "Chromosome", "Pos", value, "start", "end")]
+    best = hits.groupBy(*by).agg(F.min(F.struct(value, "start", "end", *others)).alias("b")).select(*by, "b.*")
     return best.withColumnRenamed("start", "Fraser_junction_start").withColumn("Fraser_junction_end", F.col("end") + 1).drop("end")
 
 

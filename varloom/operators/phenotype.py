@@ -9,6 +9,8 @@ from varloom.functions.labels import frequency, frequency_label
 from varloom.operators.ranks import best_rows, joined_text
 
 ROOT = "HP:0000001"
+# Words of which a publication must hold one.
+KEYWORDS = ["variant", "variants", "mutation", "mutations", "diagnosis", "mendelian", "cause", "causes"]
 
 
 def patient_terms(samples: DataFrame, terms: DataFrame, names: DataFrame) -> DataFrame:
@@ -63,20 +65,27 @@ def mentions(text: Column, gene: Column) -> Column:
     return F.rlike(text, F.concat(F.lit(r"(?<![A-Za-z0-9_\-])\Q"), gene, F.lit(r"\E(?![A-Za-z0-9_\-])")))
 
 
-def publications(rows: DataFrame, keywords: list[str], gene: str = "gene", order: list | None = None, most: int = 50) -> DataFrame:
+def says(text: Column, words: list[str]) -> Column:
+    """Whether the text holds one of the words as a whole word, in any case."""
+    return F.rlike(text, F.lit(r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(words) + r")(?![\p{L}\p{N}_])"))
+
+
+def publications(rows: DataFrame, keywords: list[str] = KEYWORDS, gene: str = "gene", order: list | None = None, most: int = 50) -> DataFrame:
     """Up to `most` publications per gene in order of relevance: with a numeric id and a title, naming the gene and a keyword.
 
     The first title stands for an id that comes more than once.
     """
-    text = F.concat_ws(" ", "title", "abstract")
-    wanted = F.lit(False)
-    for k in keywords:
-        wanted = wanted | F.contains(F.lower(text), F.lit(k.lower()))
-    df = rows.filter(F.col("PMID").rlike("^[0-9]+$") & F.col("title").isNotNull() & mentions(text, F.col(gene)) & wanted)
+    text = F.concat_ws(" ", F.trim("title"), F.trim(F.coalesce("abstract", F.lit(""))))
+    wanted = F.col("PMID").rlike("^[0-9]+$") & (F.trim("title") != "") & mentions(text, F.col(gene)) & says(text, keywords)
     order = order or ["relevance", "PMID"]
-    df = best_rows(df, [gene, "PMID"], [*order, "title"])
+    df = best_rows(rows.filter(wanted), [gene, "PMID"], [*order, "title"])
     return best_rows(df, [gene], order, most, "place")
 
 
-def search_text(gene: Column, keywords: list[str]) -> Column:
-    return F.concat(F.lit('("'), gene, F.lit('"[Title/Abstract]) AND ('), F.lit(" OR ".join(keywords)), F.lit(")"))
+def abstracts(parts: DataFrame) -> DataFrame:
+    """(PMID, abstract): the parts (PMID, part, text) of an abstract in order, as one text."""
+    return parts.filter(F.col("PMID").rlike("^[0-9]+$")).groupBy("PMID").agg(joined_text(F.col("part"), F.col("text"), " ").alias("abstract"))
+
+
+def search_text(gene: Column, keywords: list[str] = KEYWORDS) -> Column:
+    return F.concat(F.lit('("'), gene, F.lit('"[Title/Abstract]) AND (' + " OR ".join(f"{k}[Title/Abstract]" for k in keywords) + ")"))

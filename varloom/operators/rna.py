@@ -48,13 +48,14 @@ def allele_support(variants: DataFrame, bases: DataFrame, by: list[str]) -> Data
     """
     shared = [c for c in by if c in bases.columns]
     counts = bases.groupBy(*shared, "chrom", "pos", F.upper("base").alias("base")).agg(F.count("*").alias("n"))
-    out = variants.select(*by, "chrom", "pos", "ref", "alt").distinct()
-    for side in ("ref", "alt"):
-        offsets = out.select(*by, "chrom", "pos", "ref", "alt", F.posexplode(F.split(F.upper(F.col(side)), "")).alias("i", "base")).filter("base <> ''").withColumnRenamed("pos", "at").withColumn("pos", F.col("at") + F.col("i"))
-        seen = offsets.join(counts, [*shared, "chrom", "pos", "base"], "left").withColumn("n", F.when(F.col("base").rlike("^[ACGT]$"), F.coalesce("n", F.lit(0))).otherwise(0))
-        per = seen.groupBy(*by, "chrom", F.col("at").alias("pos"), "ref", "alt").agg(*[f("n").cast("double").alias(f"{side}_count_{k}") for k, f in (("max", F.max), ("mean", F.avg), ("min", F.min))])
-        out = out.join(per, [*by, "chrom", "pos", "ref", "alt"], "left")
-    return out
+    rows = variants.select(*by, "chrom", F.col("pos").alias("at"), "ref", "alt").distinct()
+    # both alleles go through one join and one aggregate
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.filter(F.split(F.upper(F.col(s)), ""), lambda x: x != "").alias("bases")) for s in ("ref", "alt")])
+    cells = rows.select("*", F.explode(sides).alias("s")).select(*rows.columns, "s.side", F.posexplode_outer("s.bases").alias("i", "base")).withColumn("pos", F.col("at") + F.coalesce("i", F.lit(0)))
+    seen = cells.join(counts, [*shared, "chrom", "pos", "base"], "left")
+    n = F.when(F.col("base").rlike("^[ACGT]$"), F.coalesce("n", F.lit(0))).when(F.col("base").isNotNull(), 0).cast("double")
+    stats = [f(F.when(F.col("side") == s, n)).alias(f"{s}_count_{k}") for s in ("ref", "alt") for k, f in (("max", F.max), ("mean", F.avg), ("min", F.min))]
+    return seen.groupBy(*by, "chrom", F.col("at").alias("pos"), "ref", "alt").agg(*stats)
 
 
 def dosage_of(df: DataFrame, dosage: DataFrame, gene: str = "geneSymbol") -> DataFrame:

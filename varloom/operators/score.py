@@ -13,8 +13,8 @@ from varloom.functions.values import known, number
 
 
 def fit_standard(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """column -> (median, standard deviation) of its numbers; one aggregate."""
-    got = df.agg(*[F.percentile(number(F.col(c)), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(number(F.col(c))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    """column -> (median, standard deviation) of its numbers; one aggregate. The median's rank is right to one in 10,000."""
+    got = df.agg(*[F.percentile_approx(number(F.col(c)), 0.5, 10_000).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(number(F.col(c))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     return {c: (got[f"m{i}"] or 0.0, got[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
 
 
@@ -28,6 +28,14 @@ def one_hot(c: Column, categories: list[str]) -> list[Column]:
     return [F.coalesce((c.cast("string") == x).cast("double"), F.lit(0.0)) for x in categories]
 
 
+def features(df: DataFrame, numbers: list[str], fitted: dict[str, tuple[float, float]], categories: dict[str, list[str]] | None = None) -> Column:
+    """Array of an expert's inputs: numbers imputed and standardised, then categories as 0 or 1. Columns that df lacks give none."""
+    parts = [standard(F.col(c), *fitted[c]) for c in numbers if c in df.columns]
+    for c, values in (categories or {}).items():
+        parts += one_hot(F.col(c), values) if c in df.columns else []
+    return F.array(*parts).cast("array<double>")
+
+
 def relu(x: np.ndarray) -> np.ndarray:
     return np.maximum(x, 0)
 
@@ -66,7 +74,10 @@ def moe_scores(df: DataFrame, domains: dict[str, list[str]], weights: dict) -> D
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for batch in batches:
-            logit, heads = forward({n: np.stack(s.to_list()) if len(s) else np.zeros((0, 1)) for n, s in zip(names, batch)}, weights)
+            if not len(batch[0]):
+                yield pd.Series([], dtype=object)
+                continue
+            logit, heads = forward({n: np.stack(s.to_list()) for n, s in zip(names, batch)}, weights)
             yield pd.Series(list(np.concatenate([logit[:, None], heads], axis=1)))
 
     out = df.withColumn("__y", run(*cols, F.lit(0)))  # two columns at least, so that batches are tuples

@@ -14,7 +14,9 @@ from varloom.sources.tables import require_columns
 
 EXPRESSION = ["sampleID", "GeneSymbol", "pValue", "padjust", "zScore", "l2fc", "rawcounts"]
 SPLICING = ["sampleID", "seqnames", "start", "end", "strand", "hgnc_symbol", "pvaluesBetaBinomial_jaccard", "psi5", "psi3", "rawOtherCounts_psi5", "rawOtherCounts_psi3", "rawCountsJnonsplit", "jaccard", "rawOtherCounts_jaccard", "delta_jaccard", "delta_psi5", "delta_psi3", "predictedMeans_jaccard"]
-CATEGORIES = ["case", "functional", "cohort", "review", "therapy"]
+# Columns of the scored table before its scores and ranks.
+SCORED = ["varId", "identifier", "geneSymbol", "dominant", "recessive", "zyg", "HGVSc", "cons_frameshift_variant", "transcript_id", "HGVSc_core", "HGVSp", "transcript_score", "gnomadGenePLI", "gnomadGeneOELof", "gnomadGeneOELofUpper", "is_causal"]
+CONSTRAINT = ["gnomadGenePLI", "gnomadGeneOELof", "gnomadGeneOELofUpper"]
 
 
 def annotated(predictions: DataFrame, scores: DataFrame, genes: DataFrame, mane: DataFrame, truth: DataFrame | None = None) -> DataFrame:
@@ -33,11 +35,16 @@ def rna_tables(expression: DataFrame, splicing: DataFrame, ase: DataFrame) -> tu
     return require_columns(expression, *EXPRESSION).select(*EXPRESSION, *more), require_columns(splicing, *SPLICING).select(*SPLICING), ase
 
 
-def scored(df: DataFrame, domains: dict[str, list[str]], weights: dict, on_logit: bool = True) -> DataFrame:
-    """Model scores with a rank per expert and the overall rank, by logit or by probability."""
-    df = score.moe_scores(df, domains, weights)
+def scored(df: DataFrame, domains: dict[str, list[str]], weights: dict, fitted: dict[str, tuple[float, float]], categories: dict[str, dict[str, list[str]]] | None = None, on_logit: bool = True) -> DataFrame:
+    """Model scores with a rank per expert and the overall rank, by logit or by probability, and the fixed columns.
+
+    domains and categories give each expert's raw columns; fitted their medians and deviations.
+    """
+    inputs = {f"__{d}": score.features(df, cols, fitted, (categories or {}).get(d)) for d, cols in domains.items()}
+    df = score.moe_scores(df.withColumns(inputs), {d: [f"__{d}"] for d in domains}, weights)
     by = {f"rank_{d}": f"score_{d}" for d in domains} | {"Diagnostic_Engine_Rank": "overall_logit" if on_logit else "overall_prob"}
-    return ranks.max_ranks(df, by)
+    out = ranks.max_ranks(df, by)
+    return out.select("sample_id", *[c for c in SCORED if c in out.columns], "overall_logit", "overall_prob", *[f"score_{d}" for d in domains], *by)
 
 
 def candidates(df: DataFrame, expression: DataFrame, splicing: DataFrame, ase: DataFrame) -> DataFrame:
@@ -57,17 +64,22 @@ def modalities(samples: DataFrame, **tables: DataFrame) -> DataFrame:
 def database_prompts(found: DataFrame, archive: DataFrame, submissions: DataFrame) -> DataFrame:
     """A prompt per archived variant, once for all samples: that of the first sample."""
     first = ranks.best_rows(found.join(archive.select("varId", "VariationID"), "varId"), ["varId"], ["sample_id", "geneSymbol"])
-    df = first.select("varId", "VariationID").join(evidence.submissions(submissions, "varId", "ord", "text"), "varId", "left")
-    return df.select("varId", evidence.database_prompt(F.col("varId"), F.col("VariationID"), F.col("submissions")).alias("prompt"))
+    df = first.select("varId", "HGVSc_core").join(evidence.submissions(submissions, "varId", "ord", "text"), "varId", "left")
+    return df.select("varId", evidence.database_prompt(F.col("varId"), F.col("HGVSc_core"), F.col("submissions")).alias("prompt"))
 
 
 def in_silico_prompts(found: DataFrame, features: DataFrame, names: list[str], most: int = 100) -> DataFrame:
-    """A prompt per candidate variant within the expert's first ranks."""
+    """A prompt per candidate variant within the expert's first ranks. The note on direction looks at all samples."""
     top = found.filter(F.col("rank_InSilico") <= most)
     told = top.groupBy("sample_id", "varId").agg(*[ranks.first_text(F.col(c), F.struct("geneSymbol", "HGVSc")).alias(c) for c in ("geneSymbol", "HGVSc_core", "HGVSp")])
-    df = told.join(in_silico.worst_scores(features, top, names), ["sample_id", "varId"], "left")
+    table = in_silico.worst_scores(features, top, names)
+    df = told.join(table, ["sample_id", "varId"], "left")
+    note = ""
+    if in_silico.BY_SIGN in names:
+        least = table.agg(F.min(in_silico.BY_SIGN).alias("m")).first()["m"]
+        note = f"\n{in_silico.BY_SIGN}: " + ("more negative is worse here." if least is not None and least < 0 else "higher is worse here.")
     splice = F.col("spliceAImax") if "spliceAImax" in df.columns else None
-    prompt = evidence.in_silico_prompt(F.col("geneSymbol"), F.col("HGVSc_core"), F.col("HGVSp"), {c: F.col(c) for c in names if c != "spliceAImax"}, splice, F.col("is_splice") == 1 if splice is not None else None)
+    prompt = evidence.in_silico_prompt(F.col("geneSymbol"), F.col("HGVSc_core"), F.col("HGVSp"), {c: F.col(c) for c in names if c != "spliceAImax"}, splice, F.col("is_splice") == 1 if splice is not None else None, note)
     return df.select("sample_id", "varId", prompt.alias("prompt"))
 
 
@@ -79,14 +91,29 @@ def allele_counts(found: DataFrame, bases: DataFrame) -> DataFrame:
     return found.select(*keys).join(rna.allele_support(placed.drop("geneSymbol", "transcript_id"), bases, ["sample_id", "varId"]).drop("chrom", "pos", "ref", "alt"), ["sample_id", "varId"], "left")
 
 
-def rna_prompts(found: DataFrame, dosage: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per gene, per variant) prompts of rows that pass the RNA gate."""
-    df = rna.dosage_of(rna.gated(found, "Fraser_pvaluesBetaBinomial_jaccard", "Fraser_GenePvalue", "Outrider_zScore", "ASE_PVAL"), dosage)
-    gene = ranks.best_rows(df.filter("gene_report"), ["sample_id", "geneSymbol"], ["Diagnostic_Engine_Rank", "varId"])
-    gene = gene.select("sample_id", "geneSymbol", evidence.rna_prompt(F.col("geneSymbol"), {c: F.col(c) for c in ("Outrider_pValue", "Outrider_zScore", "Fraser_GenePvalue")}).alias("prompt"))
-    variant = ranks.best_rows(df.filter("variant_report"), ["sample_id", "geneSymbol", "varId"], ["HGVSc"])
-    variant = variant.select("sample_id", F.concat("geneSymbol", F.lit("_VarId_"), "varId").alias("key"), evidence.rna_prompt(F.col("geneSymbol"), {c: F.col(c) for c in ("Fraser_pvaluesBetaBinomial_jaccard", "ASE_PVAL", "ASE_ALT_RATIO")}).alias("prompt"))
-    return gene, variant
+def rna_prompts(found: DataFrame, dosage: DataFrame, archive: DataFrame | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(per gene, per variant) prompts of rows that pass the RNA gate.
+
+    A gene's constraint metrics are the first known ones of its rows, its inheritance flags the
+    least. archive (chrom, at, harmful, benign) gives the records inside a junction; without it
+    there are none.
+    """
+    s, g, v = "sample_id", "geneSymbol", "varId"
+    order = ["Diagnostic_Engine_Rank", v, "HGVSc"]
+    df = rna.gated(found, "Fraser_pvaluesBetaBinomial_jaccard", "Fraser_GenePvalue", "Outrider_zScore", "ASE_PVAL")
+    fixed = rna.first_known(df, [s, g], order, CONSTRAINT, ["recessive", "dominant"])
+    df = rna.dosage_of(df.drop(*CONSTRAINT, "recessive", "dominant").join(fixed, [s, g]), dosage)
+    gene = ranks.best_rows(df.filter("gene_report"), [s, g], order).select(s, g, evidence.rna_gene_prompt().alias("prompt"))
+    variant = ranks.best_rows(df.filter("variant_report"), [s, g, v], order)
+    place = ["Chromosome", "Fraser_junction_start", "Fraser_junction_end"]
+    if archive is None:
+        variant = variant.withColumns({"n_harmful": F.lit(0).cast("long"), "n_benign": F.lit(0).cast("long"), "ratio": F.lit(None).cast("double")})
+    else:
+        regions = variant.select(*place).filter("Fraser_junction_start is not null").distinct()
+        width = width or nominate.bin_width(regions, *place[1:])
+        inside = rna.burden(regions, archive.withColumnRenamed("chrom", "Chromosome"), ["Chromosome"], *place[1:], "at", "harmful", "benign", width, [])
+        variant = variant.join(inside, place, "left").fillna(0, ["n_harmful", "n_benign"])
+    return gene, variant.select(s, F.concat(g, F.lit("_VarId_"), v).alias("key"), evidence.rna_variant_prompt().alias("prompt"))
 
 
 def phenotype_tables(found: DataFrame, terms: DataFrame, names: DataFrame, gene_phenotype: DataFrame, disease_text: DataFrame) -> dict[str, DataFrame]:
@@ -109,12 +136,25 @@ def phenotype_prompts(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, Da
     return hpo, omim, both.groupBy("sample_id").agg(F.count(F.when(F.col("texts").isNull(), 1)).alias("n_skipped"))
 
 
-def literature_prompts(t: dict[str, DataFrame], gene_phenotype: DataFrame, publications: DataFrame, keywords: list[str]) -> DataFrame:
-    """A prompt per candidate gene without phenotype annotation, with its best publications."""
+def triage_prompts(t: dict[str, DataFrame], gene_phenotype: DataFrame, publications: DataFrame, keywords: list[str] = phenotype.KEYWORDS) -> tuple[DataFrame, DataFrame]:
+    """((geneSymbol, prompt), the publications told) of candidate genes without phenotype annotation."""
     pairs = phenotype.unannotated(t["pairs"], gene_phenotype.select(F.col("gene_symbol").alias("geneSymbol")))
     found = phenotype.publications(publications.join(pairs.select(F.col("geneSymbol").alias("gene")).distinct(), "gene", "left_semi"), keywords)
-    texts = found.groupBy(F.col("gene").alias("geneSymbol")).agg(joined_text(F.col("place"), F.concat_ws(": ", "title", "abstract"), "\n\n").alias("texts"))
-    df = pairs.join(texts, "geneSymbol").join(t["patients"], "sample_id")
+    items = found.groupBy(F.col("gene").alias("geneSymbol")).agg(joined_text(F.col("place"), F.concat(F.lit("- "), "PMID", F.lit(": "), F.trim("title")), "\n").alias("items"))
+    return items.select("geneSymbol", evidence.triage_prompt(F.col("geneSymbol"), F.col("items")).alias("prompt")), found
+
+
+def literature_prompts(t: dict[str, DataFrame], gene_phenotype: DataFrame, triage: DataFrame, parts: DataFrame) -> DataFrame:
+    """A prompt per sample and candidate gene without annotation, with the abstracts that the triage answer keeps.
+
+    triage: (geneSymbol, response) tables in text; parts: (PMID, part, text) of abstracts. The
+    first title of an id stands for it, and publications come in the answer's order.
+    """
+    pairs = phenotype.unannotated(t["pairs"], gene_phenotype.select(F.col("gene_symbol").alias("geneSymbol")))
+    rows = evidence.in_categories(evidence.table_rows(triage, ["geneSymbol"], "response", ["PMID", "title", "category"]), "category", evidence.CATEGORIES)
+    kept = ranks.best_rows(rows.filter(F.col("PMID").rlike("^[0-9]+$")), ["geneSymbol", "PMID"], ["line"])
+    told = kept.join(phenotype.abstracts(parts), "PMID").groupBy("geneSymbol").agg(joined_text(F.col("line"), F.concat_ws(": ", "title", "abstract"), "\n\n").alias("texts"))
+    df = pairs.join(told, "geneSymbol").join(t["patients"], "sample_id")
     return df.select("sample_id", "geneSymbol", evidence.phenotype_prompt("literature", F.col("term_text"), F.col("geneSymbol"), F.col("texts")).alias("prompt"))
 
 

@@ -29,8 +29,8 @@ def data(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def plain(sql: str) -> str:
-    """The adapter for SQL proper: table names without braces, doubled braces single."""
-    return re.sub(r"\{\{|\}\}|\{|\}", lambda m: m[0][:1] if len(m[0]) == 2 else "", sql)
+    """The adapter for SQL proper: table names without braces, doubled braces single, names in double quotes."""
+    return re.sub(r"\{\{|\}\}|\{|\}", lambda m: m[0][:1] if len(m[0]) == 2 else "", sql).replace("`", '"')
 
 
 def query(oracle: str, **adapters: str):
@@ -45,7 +45,7 @@ def query(oracle: str, **adapters: str):
 
 
 VARIANT = "cast(l_partkey % 24 + 1 as string) || '_' || cast(l_orderkey as string) || '_' || substr('ACGT', cast(l_linenumber % 4 + 1 as int), 1) || '_' || substr('CGTA', cast(l_linenumber % 4 + 1 as int), 1)"
-SAMPLE = "'S' || cast(l_suppkey % 8 as string)"
+SAMPLE = "'S' || cast(l_suppkey as string)"
 GENE = "case when l_partkey % 41 = 0 then '-' else 'G' || cast(l_partkey % 400 as string) end"
 
 SCORED = f"""SELECT {SAMPLE} AS sample_id, {GENE} AS geneSymbol, {VARIANT} AS varId,
@@ -88,13 +88,13 @@ QUERIES["nominate"], ORACLES["nominate"] = QUERIES.pop("nominate_"), ORACLES.pop
 
 
 @query(
-    """, p AS (SELECT o_orderstatus, o_custkey, max(o_totalprice) AS v FROM o GROUP BY ALL),
-r AS (SELECT *, count(*) OVER (PARTITION BY o_orderstatus ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price_rank FROM p)
-SELECT o_orderkey, o_custkey, o_orderstatus, CAST(price_rank AS INT) AS price_rank FROM o JOIN r USING (o_orderstatus, o_custkey)""",
-    o="SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {orders}",
+    """, p AS (SELECT o_custkey, o_orderpriority, max(o_totalprice) AS v FROM o GROUP BY ALL),
+r AS (SELECT *, count(*) OVER (PARTITION BY o_custkey ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price_rank FROM p)
+SELECT o_orderkey, o_custkey, o_orderpriority, CAST(price_rank AS INT) AS price_rank FROM o JOIN r USING (o_custkey, o_orderpriority)""",
+    o="SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM {orders}",
 )
 def rank_max_desc(o: DataFrame) -> DataFrame:
-    return ranks.max_ranks(o, {"price_rank": "o_totalprice"}, "o_custkey", "o_orderstatus").select("o_orderkey", "o_custkey", "o_orderstatus", "price_rank")
+    return ranks.max_ranks(o, {"price_rank": "o_totalprice"}, "o_orderpriority", "o_custkey").select("o_orderkey", "o_custkey", "o_orderpriority", "price_rank")
 
 
 @query(
@@ -127,7 +127,7 @@ def semi_label(scores: DataFrame, genes: DataFrame, truth: DataFrame) -> DataFra
     return annotate.with_causal(df, annotate.truth_keys(truth), ["sample_id", "varId"]).select("sample_id", "geneSymbol", "varId", "price", "is_causal")
 
 
-SPANS = "SELECT 'S' || cast(l_suppkey % 8 as string) AS sampleID, 'chr' || cast(l_partkey % 24 + 1 as string) AS seqnames, l_orderkey AS start, l_orderkey + l_linenumber * 40 AS end, '*' AS strand, case when l_linenumber = 5 then null else 'G' || cast(l_partkey % 400 as string) || ';G' || cast(l_suppkey % 400 as string) end AS hgnc_symbol, case when l_linenumber = 6 then null else l_discount + l_tax end AS pvaluesBetaBinomial_jaccard, l_quantity AS psi5 FROM {lineitem} WHERE l_linenumber > 3"
+SPANS = "SELECT 'S' || cast(l_suppkey as string) AS sampleID, 'chr' || cast(l_partkey % 24 + 1 as string) AS seqnames, l_orderkey AS start, l_orderkey + l_linenumber * 40 AS end, '*' AS strand, case when l_linenumber = 5 then null else 'G' || cast(l_partkey % 400 as string) || ';G' || cast(l_suppkey % 400 as string) end AS hgnc_symbol, case when l_linenumber = 6 then null else l_discount + l_tax end AS pvaluesBetaBinomial_jaccard, l_quantity AS psi5 FROM {lineitem}"
 
 
 @query(
@@ -141,9 +141,9 @@ SELECT v.sample_id, v.geneSymbol, v.varId, v.Chromosome, v.Pos, round(e.pValue,
  h.start AS Fraser_junction_start, h."end" + 1 AS Fraser_junction_end, round(h.p, 6) AS Fraser_pvaluesBetaBinomial_jaccard, a.REF_COUNT AS ASE_REF_COUNT, round(a.PVAL, 6) AS ASE_PVAL
 FROM v LEFT JOIN e ON v.sample_id = e.sample_id AND v.geneSymbol = e.GeneSymbol LEFT JOIN g ON v.sample_id = g.sample_id AND v.geneSymbol = g.geneSymbol
 LEFT JOIN h ON v.sample_id = h.sample_id AND v.varId = h.varId AND h.n = 1 LEFT JOIN a ON v.sample_id = a.sample_id AND v.varId = a.varId""",
-    variants=f"SELECT {SAMPLE} AS sample_id, {GENE} AS geneSymbol, {VARIANT} AS varId FROM {{lineitem}} WHERE l_linenumber <= 3",
+    variants=f"SELECT {SAMPLE} AS sample_id, {GENE} AS geneSymbol, {VARIANT} AS varId FROM {{lineitem}}",
     spans=SPANS,
-    expression="SELECT 'S' || cast(l_suppkey % 8 as string) AS sampleID, 'G' || cast(l_partkey % 400 as string) AS GeneSymbol, min(l_discount) AS pValue, max(l_tax) AS padjust, max(l_quantity) - 25 AS zScore, min(l_tax) AS l2fc, count(*) AS rawcounts FROM {lineitem} WHERE l_partkey % 3 = 0 GROUP BY 1, 2",
+    expression="SELECT 'S' || cast(l_suppkey as string) AS sampleID, 'G' || cast(l_partkey % 400 as string) AS GeneSymbol, min(l_discount) AS pValue, max(l_tax) AS padjust, max(l_quantity) - 25 AS zScore, min(l_tax) AS l2fc, count(*) AS rawcounts FROM {lineitem} GROUP BY 1, 2",
     ase=f"SELECT {SAMPLE} AS sampleID, {VARIANT} AS varId, 'A' AS REF, 'C' AS ALT, cast(max(l_quantity) as int) AS REF_COUNT, cast(min(l_quantity) as int) AS ALT_COUNT, max(l_tax) AS ALT_RATIO, min(l_discount) AS PVAL, 1 AS IS_MAE FROM {{lineitem}} WHERE l_returnflag = 'A' GROUP BY 1, 2",
 )
 def enrich_left(variants: DataFrame, spans: DataFrame, expression: DataFrame, ase: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ SELECT sample_id, varId, round(max(CADD_phred), 6) AS CADD_phred, round(max(CADD
  round(CASE WHEN bool_or(low) THEN min(FATHMM_score) ELSE max(FATHMM_score) END, 6) AS FATHMM_score,
  max((cons_splice_acceptor_variant > 0 OR cons_splice_donor_variant > 0)::INT) AS is_splice, max((cons_frameshift_variant > 0)::INT) AS is_frameshift,
  round(greatest(max(CADD_phred), max(CADD_PHRED_raw)), 6) AS CADD_worst FROM s GROUP BY sample_id, varId""",
-    features=f"SELECT {SAMPLE} AS sample_id, cast(l_orderkey as string) AS varId, l_quantity AS CADD_phred, case when l_linenumber = 2 then null else l_extendedprice end AS CADD_PHRED_raw, l_discount AS SIFT_score, case when l_suppkey % 8 < 4 then l_tax - 0.01 else l_tax end AS FATHMM_score, case when l_linenumber = 3 then 1 else 0 end AS cons_splice_acceptor_variant, case when l_linenumber = 4 then 1 else 0 end AS cons_splice_donor_variant, case when l_returnflag = 'R' then 1 else 0 end AS cons_frameshift_variant FROM {{lineitem}}",
+    features=f"SELECT {SAMPLE} AS sample_id, cast(l_orderkey as string) AS varId, l_quantity AS CADD_phred, case when l_linenumber = 2 then null else l_extendedprice end AS CADD_PHRED_raw, l_discount AS SIFT_score, case when l_suppkey % 2 = 0 then l_tax - 0.01 else l_tax end AS FATHMM_score, case when l_linenumber = 3 then 1 else 0 end AS cons_splice_acceptor_variant, case when l_linenumber = 4 then 1 else 0 end AS cons_splice_donor_variant, case when l_returnflag = 'R' then 1 else 0 end AS cons_frameshift_variant FROM {{lineitem}}",
     candidates=f"SELECT {SAMPLE} AS sample_id, cast(l_orderkey as string) AS varId, cast(l_partkey % 300 as int) AS r FROM {{lineitem}}",
 )
 def worst_directional(features: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -253,46 +253,47 @@ def freq_pool(rows_: DataFrame) -> DataFrame:
 g AS (SELECT sample_id, count(*) AS n, max((hpo_id <> 'HP:0000001')::INT) AS real, string_agg(name, ', ' ORDER BY ord) AS t FROM k GROUP BY sample_id)
 SELECT s.sample_id, coalesce(n, 0) AS n_terms, CASE WHEN real = 1 THEN t ELSE 'All' END AS term_text, coalesce(real, 0) AS has_terms FROM samples s LEFT JOIN g USING (sample_id)""",
     samples="SELECT DISTINCT cast(c_custkey as string) AS sample_id FROM {customer}",
-    terms="SELECT cast(o_custkey as string) AS sample_id, o_orderkey AS ord, case when o_orderkey % 5 = 0 then 'HP:0000001' else 'HP:' || cast(o_orderkey % 60 as string) end AS hpo_id FROM {orders} WHERE o_custkey % 3 <> 1",
-    names="SELECT 'HP:' || cast(p_partkey as string) AS id, p_name AS name FROM {part} WHERE p_partkey < 50 UNION ALL SELECT 'HP:0000001' AS id, 'All' AS name FROM {region} WHERE r_regionkey = 0",
+    terms="SELECT cast(o_custkey as string) AS sample_id, o_orderkey AS ord, case when o_orderpriority < '2' then 'HP:0000001' else 'HP:' || cast(o_orderkey as string) end AS hpo_id FROM {orders}",
+    names="SELECT 'HP:' || cast(p_partkey as string) AS id, p_name AS name FROM {part} UNION ALL SELECT DISTINCT 'HP:0000001' AS id, 'All' AS name FROM {region}",
 )
 def term_default(samples: DataFrame, terms: DataFrame, names: DataFrame) -> DataFrame:
     return phenotype.patient_terms(samples, terms, names)
 
 
 @query(
-    """, t AS (SELECT source, array_agg(source || ' causes ' || coalesce(lang, 'nan') || '.' || chr(10) || 'Clinical Features: ' || trim(replace(features, chr(10) || chr(10), chr(10))) ORDER BY doc_id) AS texts FROM d WHERE features IS NOT NULL GROUP BY source),
-m AS (SELECT c.source AS gene, len(texts) AS n_texts, sha256(array_to_string(texts, '|')) AS digest FROM c LEFT JOIN t USING (source)) SELECT gene, coalesce(n_texts, 0) AS n_texts, digest, (n_texts IS NULL)::INT AS skipped FROM m""",
-    d="SELECT doc_id, source, lang, case when doc_id % 4 = 0 then null else text end AS features FROM {documents} WHERE source <> 'src3'",
-    c="SELECT DISTINCT source FROM {documents}",
+    """, t AS (SELECT gene, array_agg(gene || ' causes ' || coalesce(lang, 'nan') || '.' || chr(10) || 'Clinical Features: ' || trim(replace(features, chr(10) || chr(10), chr(10))) ORDER BY doc_id) AS texts FROM d WHERE features IS NOT NULL GROUP BY gene),
+m AS (SELECT c.gene, len(texts) AS n_texts, sha256(array_to_string(texts, '|')) AS digest FROM c LEFT JOIN t USING (gene)) SELECT gene, coalesce(n_texts, 0) AS n_texts, digest, (n_texts IS NULL)::INT AS skipped FROM m""",
+    d="SELECT doc_id, 'G' || cast(cast(floor(doc_id / 4) as bigint) as string) AS gene, lang, text AS features FROM {documents}",
+    c="SELECT DISTINCT 'G' || cast(cast(floor(doc_id / 4) as bigint) as string) AS gene FROM {documents} UNION SELECT 'B' || cast(item_id as string) AS gene FROM {benchmark}",
 )
 def text_map(d: DataFrame, c: DataFrame) -> DataFrame:
-    texts = phenotype.disease_texts(d, "source", "lang", "features", ["doc_id"])
-    df = c.join(texts, "source", "left")
-    return df.select(F.col("source").alias("gene"), F.when(F.col("texts").isNull(), 0).otherwise(F.size("texts")).alias("n_texts"), F.sha2(F.concat_ws("|", "texts"), 256).alias("d"), F.col("texts").isNull().cast("int").alias("skipped")).withColumn("digest", F.when(F.col("skipped") == 0, F.col("d"))).drop("d")
+    texts = phenotype.disease_texts(d, "gene", "lang", "features", ["doc_id"])
+    df = c.join(texts, "gene", "left")
+    return df.select("gene", F.when(F.col("texts").isNull(), 0).otherwise(F.size("texts")).alias("n_texts"), F.sha2(F.concat_ws("|", "texts"), 256).alias("d"), F.col("texts").isNull().cast("int").alias("skipped")).withColumn("digest", F.when(F.col("skipped") == 0, F.col("d"))).drop("d")
 
 
 @query(
     """, x AS (SELECT DISTINCT sample_id, geneSymbol FROM candidates WHERE geneSymbol NOT IN (SELECT geneSymbol FROM annotated)),
 y AS (SELECT * FROM x EXCEPT SELECT sample_id, geneSymbol FROM finished) SELECT sample_id, geneSymbol FROM y""",
     candidates="SELECT c_mktsegment AS sample_id, cast(c_custkey as string) AS geneSymbol FROM {customer}",
-    annotated="SELECT cast(o_custkey as string) AS geneSymbol FROM {orders} WHERE o_totalprice > 150000",
-    finished="SELECT c_mktsegment AS sample_id, cast(c_custkey as string) AS geneSymbol FROM {customer} WHERE c_custkey % 7 = 0",
+    annotated="SELECT cast(o_custkey as string) AS geneSymbol FROM {orders} WHERE o_totalprice > 400000",
+    finished="SELECT c_mktsegment AS sample_id, cast(c_custkey as string) AS geneSymbol FROM {customer} WHERE c_acctbal < 0",
 )
 def anti_genes(candidates: DataFrame, annotated: DataFrame, finished: DataFrame) -> DataFrame:
     return todo(phenotype.unannotated(candidates, annotated), finished, ["sample_id", "geneSymbol"])
 
 
-KEYWORDS = ["tion", "heit", "mente"]
+KEYWORDS = ["est", "sich", "une", "Que", "are", "para"]
 
 
 @query(
-    """, t AS (SELECT *, concat_ws(' ', title, abstract) AS text FROM p),
-k AS (SELECT * FROM t WHERE regexp_full_match(PMID, '[0-9]+') AND title IS NOT NULL AND list_contains(regexp_split_to_array(text, '[^A-Za-z0-9_-]'), gene) AND (contains(lower(text), 'tion') OR contains(lower(text), 'heit') OR contains(lower(text), 'mente'))),
+    """, t AS (SELECT *, concat_ws(' ', trim(title), trim(coalesce(abstract, ''))) AS text FROM p),
+k AS (SELECT * FROM t WHERE regexp_full_match(PMID, '[0-9]+') AND trim(title) <> '' AND list_contains(regexp_split_to_array(text, '[^A-Za-z0-9_-]'), gene)
+ AND regexp_matches(text, '(^|[^\\p{L}\\p{N}_])(est|sich|une|que|are|para)([^\\p{L}\\p{N}_]|$)', 'i')),
 f AS (SELECT *, row_number() OVER (PARTITION BY gene, PMID ORDER BY relevance, title) AS n FROM k),
 r AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY relevance, PMID) AS place FROM f WHERE n = 1)
 SELECT gene, PMID, relevance, place FROM r WHERE place <= 50""",
-    p="SELECT g.name AS gene, case when d.doc_id % 9 = 0 then 'x' else '' end || cast(d.doc_id % 5000 as string) AS PMID, case when d.doc_id % 11 = 0 then null else substr(d.text, 1, 40) end AS title, d.text AS abstract, cast(d.n_chars % 1000 as int) AS relevance FROM {documents} d JOIN (SELECT 'the' AS name, 'en' AS lang UNION ALL SELECT 'der' AS name, 'de' AS lang UNION ALL SELECT 'que' AS name, 'fr' AS lang UNION ALL SELECT 'and' AS name, 'en' AS lang) g ON d.lang = g.lang",
+    p="SELECT g.name AS gene, case when d.doc_id % 9 = 0 then 'x' else '' end || cast(d.doc_id as string) AS PMID, case when d.doc_id % 11 = 0 then null else substr(d.text, 1, 40) end AS title, d.text AS abstract, cast(d.n_chars as int) AS relevance FROM {documents} d JOIN (SELECT 'the' AS name, 'en' AS lang UNION ALL SELECT 'der' AS name, 'de' AS lang UNION ALL SELECT 'que' AS name, 'fr' AS lang UNION ALL SELECT 'and' AS name, 'en' AS lang) g ON d.lang = g.lang",
 )
 def pub_filter(p: DataFrame) -> DataFrame:
     return phenotype.publications(p, KEYWORDS).select("gene", "PMID", "relevance", "place")
@@ -300,33 +301,34 @@ def pub_filter(p: DataFrame) -> DataFrame:
 
 @query(
     """, j AS (SELECT *, json_valid(response) AS fine FROM a),
-v AS (SELECT gene, varId, cell, coalesce(CASE WHEN fine THEN response ->> 'Conclusion' END, 'Weak') AS conclusion, coalesce(CASE WHEN fine THEN response ->> 'Reasoning' END, '') AS reasoning FROM j),
+v AS (SELECT gene, varId, cell, coalesce(CASE WHEN fine THEN response ->> 'Conclusion' END, 'Weak') AS conclusion, coalesce(CASE WHEN fine THEN response ->> 'Reasoning' END, 'parse_error') AS reasoning FROM j),
 r AS (SELECT gene, varId, conclusion, reasoning, unnest(string_split(replace(cell, '\\t', chr(9)), chr(10))[2:]) AS line FROM v)
-SELECT gene, varId, conclusion, reasoning, trim(split_part(line, chr(9), 1)) AS pmid, trim(split_part(line, chr(9), 2)) AS category FROM r WHERE lower(trim(split_part(line, chr(9), 2))) IN ('case', 'review')""",
+SELECT gene, varId, conclusion, reasoning, trim(split_part(line, chr(9), 1)) AS pmid, trim(split_part(line, chr(9), 2)) AS category FROM r WHERE lower(trim(split_part(line, chr(9), 2))) IN ('functional study', 'review', 'case report', 'patient cohort', 'phenotype association')""",
     a="""SELECT 'u' || cast(user_id as string) AS gene, cast(event_id as string) || '_1_A_C' AS varId,
  case when event_id % 5 = 0 then '{{' when event_id % 5 = 1 then '{{"Reasoning": "x"}}' else '{{"Reasoning": "r' || cast(event_id as string) || '", "Conclusion": "' || event_type || '"}}' end AS response,
- 'PMID' || chr(92) || 'tCategory' || chr(92) || 'tNote' || chr(10) || cast(event_id as string) || chr(92) || 't Case ' || chr(92) || 'tx' || chr(10) || cast(event_id + 1 as string) || chr(9) || case when event_id % 3 = 0 then 'REVIEW' else 'other' end || chr(9) || 'y' AS cell FROM {events}""",
+ 'PMID' || chr(92) || 'tCategory' || chr(92) || 'tNote' || chr(10) || cast(event_id as string) || chr(92) || 't Case report ' || chr(92) || 'tx' || chr(10) || cast(event_id + 1 as string) || chr(9) || case when event_id % 3 = 0 then 'REVIEW' else 'other' end || chr(9) || 'y' AS cell FROM {events}""",
 )
 def response_parse(a: DataFrame) -> DataFrame:
     gene, variant = K.entity_key(F.concat("gene", F.lit("_VarId_"), "varId"))
     df = evidence.parsed(a, "insilico").select(gene.alias("gene"), variant.alias("varId"), F.col("Conclusion").alias("conclusion"), F.col("Reasoning").alias("reasoning"), "cell")
     df = evidence.table_rows(df, ["gene", "varId", "conclusion", "reasoning"], "cell", ["pmid", "category", "note"])
-    return evidence.in_categories(df, "category", ["case", "review"]).drop("line", "note")
+    return evidence.in_categories(df, "category", evidence.CATEGORIES).drop("line", "note")
 
 
 @query(
-    """, t AS (SELECT varId, string_agg(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END, chr(10) || '---' || chr(10) ORDER BY ord) AS submissions FROM s WHERE text IS NOT NULL GROUP BY varId),
+    """, t AS (SELECT varId, string_agg(CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || '...' ELSE text END, chr(10) || '---' || chr(10) ORDER BY ord) AS submissions FROM s WHERE text IS NOT NULL GROUP BY varId),
 m AS (SELECT p.*, coalesce(t.submissions, 'No submissions were found.') AS submissions FROM p LEFT JOIN t USING (varId)),
-q AS (SELECT varId, 'Variant ' || varId || '; archive record ' || record || '.' || chr(10) || 'Submissions:' || chr(10) || submissions || chr(10) || 'Answer as JSON with a reasoning and one conclusion of: Against, Neutral, Supporting, Convincing; zygosity: homozygous, compound_heterozygous, heterozygous, no_information.' AS prompt,
+q AS (SELECT varId, 'Variant ' || varId || '; coding change ' || change || '.' || chr(10) || 'Submissions:' || chr(10) || submissions || chr(10) || 'Answer with one JSON object with the keys "reasoning", "conclusion", "zygosity" and nothing else.' || chr(10)
+ || 'conclusion: one of Against | Neutral | Supporting | Convincing.' || chr(10) || 'zygosity: one of homozygous | compound_heterozygous | heterozygous | no_information.' AS prompt,
  CASE WHEN x IS NULL THEN 'NA' WHEN abs(x) >= 10 THEN printf('%.2f', x) ELSE regexp_replace(regexp_replace(printf('%.4f', x), '0+$', ''), '\\.$', '') END AS shown_x FROM m)
-SELECT varId, sha256(prompt) AS prompt_sha256, shown_x, '("' || varId || '"[Title/Abstract]) AND (tion OR heit OR mente)' AS search FROM q""",
-    p="SELECT cast(p_partkey as string) AS varId, p_brand AS record, case when p_partkey % 6 = 0 then null when p_partkey % 6 < 4 then p_size / 8.0 else p_retailprice end AS x FROM {part}",
-    s="SELECT cast(doc_id % 400 as string) AS varId, doc_id AS ord, text FROM {documents}",
+SELECT varId, sha256(prompt) AS prompt_sha256, shown_x, '("' || varId || '"[Title/Abstract]) AND (variant[Title/Abstract] OR variants[Title/Abstract] OR mutation[Title/Abstract] OR mutations[Title/Abstract] OR diagnosis[Title/Abstract] OR mendelian[Title/Abstract] OR cause[Title/Abstract] OR causes[Title/Abstract])' AS search FROM q""",
+    p="SELECT cast(p_partkey as string) AS varId, p_brand AS change, case when p_partkey % 6 = 0 then null when p_partkey % 6 < 4 then p_size / 8.0 else p_retailprice end AS x FROM {part}",
+    s="SELECT cast(cast(floor(doc_id / 3) as bigint) as string) AS varId, doc_id AS ord, text FROM {documents}",
 )
 def prompt_render(p: DataFrame, s: DataFrame) -> DataFrame:
-    df = p.join(evidence.submissions(s, "varId", "ord", "text", 300), "varId", "left")
-    prompt = evidence.database_prompt(F.col("varId"), F.col("record"), F.col("submissions"))
-    return df.select("varId", F.sha2(prompt, 256).alias("prompt_sha256"), shown(F.col("x")).alias("shown_x"), phenotype.search_text(F.col("varId"), KEYWORDS).alias("search"))
+    df = p.join(evidence.submissions(s, "varId", "ord", "text"), "varId", "left")
+    prompt = evidence.database_prompt(F.col("varId"), F.col("change"), F.col("submissions"))
+    return df.select("varId", F.sha2(prompt, 256).alias("prompt_sha256"), shown(F.col("x")).alias("shown_x"), phenotype.search_text(F.col("varId")).alias("search"))
 
 
 @query(
@@ -359,16 +361,20 @@ def allele_support(v: DataFrame, b: DataFrame) -> DataFrame:
 
 
 @query(
-    """, k AS (SELECT doc_id, upper(s) AS s, unnest(range(1, 7)) AS k FROM w),
-c AS (SELECT *, unnest(range(1, length(s) - 3 * k + 2)) AS st FROM k WHERE length(s) >= 3 * k),
-m AS (SELECT *, substr(s, st, k) AS motif FROM c),
+    """, t AS (SELECT doc_id, x, unnest(range(0, greatest(length(x), 1), 30)) AS o FROM w), v AS (SELECT doc_id, o, upper(substr(x, CAST(o AS BIGINT) + 1, 61)) AS s FROM t),
+k AS (SELECT *, unnest(range(1, 7)) AS k FROM v), c AS (SELECT *, unnest(range(1, length(s) - 3 * k + 2)) AS st FROM k WHERE length(s) >= 3 * k),
+m AS (SELECT *, substr(s, st, k) AS motif FROM c WHERE substr(s, st, k) = substr(s, st + k, k) AND substr(s, st, k) = substr(s, st + 2 * k, k)),
 r AS (SELECT *, list_count(list_filter(range(1, CAST((length(s) - st + 1) / k AS INT) + 2), lambda j: CASE WHEN substr(s, st, k * j) = repeat(motif, j) AND length(substr(s, st, k * j)) = k * j THEN true ELSE false END)) AS copies FROM m WHERE regexp_full_match(motif, '[A-Z]+') AND NOT contains(motif, 'N')),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY copies DESC, k, st) AS n FROM r WHERE copies >= 3)
-SELECT doc_id, motif, CAST(copies AS INT) AS copies, CAST(st AS INT) AS motif_start FROM b WHERE n = 1""",
-    w="SELECT doc_id, substr(replace(replace(replace(text, 'ß', 'ss'), ' ', ''), '.', ''), 1, 61) AS s FROM {documents}",
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY copies DESC, k, o + st) AS n FROM r WHERE copies >= 3)
+SELECT doc_id, motif, CAST(copies AS INT) AS copies, CAST(o + st AS INT) AS motif_start FROM b WHERE n = 1""",
+    w="SELECT doc_id, replace(replace(replace(coalesce(text, ''), 'ß', 'ss'), ' ', ''), '.', '') AS x FROM {documents}",
 )
 def tandem_repeat(w: DataFrame) -> DataFrame:
-    return best_repeat(w, ["doc_id"], "s")
+    """The best repeat of every whole text, found in windows of 61 that overlap by half."""
+    cells = w.select("doc_id", "x", F.explode(F.sequence(F.lit(0), F.greatest(F.length("x") - 1, F.lit(0)), F.lit(30))).alias("o")).select("doc_id", "o", F.substring(F.col("x"), F.col("o") + 1, F.lit(61)).alias("s"))
+    found = best_repeat(cells, ["doc_id", "o"], "s")
+    best = found.groupBy("doc_id").agg(F.min(F.struct((-F.col("copies")).alias("c"), F.length("motif").alias("k"), (F.col("o") + F.col("motif_start")).alias("at"), "motif")).alias("b"))
+    return best.select("doc_id", "b.motif", (-F.col("b.c")).cast("int").alias("copies"), F.col("b.at").cast("int").alias("motif_start"))
 
 
 @query(
@@ -427,8 +433,7 @@ def partner_search(c: DataFrame) -> DataFrame:
     return reviewed(c).select("sample_id", "geneSymbol", "varId", "partner", "find_compound_het", "Tier")
 
 
-# The vote is quadratic in a sample's entities, so the samples here are small: one per supplier.
-VOTERS = CANDIDATES.replace(SAMPLE, "'S' || cast(l_suppkey as string)").replace("'G' || cast(l_partkey % 300 as string)", "'G' || cast(l_partkey % 12 as string)")
+VOTERS = CANDIDATES.replace("'G' || cast(l_partkey % 300 as string)", "'G' || cast(l_partkey % 12 as string)")
 
 VOTED = """, n AS (SELECT *, lower(replace(HPO_Conclusion, '_', ' ')) AS h FROM t4 WHERE Tier = 1),
 m AS (SELECT sample_id, geneSymbol, varId, trim(partner) AS partner, HGVSc, CAST(Diagnostic_Engine_Rank AS DOUBLE) AS rk, CASE h WHEN 'good fit' THEN 2.0 WHEN 'partially fit' THEN 1.0 ELSE 0.0 END AS ph,
@@ -467,7 +472,7 @@ def pairwise_log(c: DataFrame) -> DataFrame:
 
 
 @query(
-    """, n AS (SELECT *, TRY_CAST(size AS DOUBLE) AS x FROM p), f AS (SELECT median(x) AS m, stddev_pop(x) AS s FROM n)
+    """, n AS (SELECT *, TRY_CAST(size AS DOUBLE) AS x FROM p), f AS (SELECT quantile_disc(x, 0.5) AS m, stddev_pop(x) AS s FROM n)
 SELECT p_partkey, round((coalesce(x, m) - m) / s, 6) AS size_standard, (p_brand = 'Brand#11')::INT::DOUBLE AS brand_11, (p_brand = 'Brand#23')::INT::DOUBLE AS brand_23 FROM n, f""",
     p="SELECT p_partkey, p_brand, case when p_partkey % 10 = 0 then 'x' else cast(p_size as string) end AS size FROM {part}",
 )

@@ -23,6 +23,8 @@ def predictions(spark: SparkSession, path: str, pattern: str = r"([^/]+)/[^/]+$"
     """CSV files of predictions, the sample being their folder; the first column is varId."""
     reader = spark.read.option("header", True)
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+    if not df.columns:
+        raise ValueError(f"no columns in {path}")
     return with_sample(df.withColumnRenamed(df.columns[0], "varId"), pattern)
 
 
@@ -39,6 +41,11 @@ def missing_samples(predicted: DataFrame, scored: DataFrame) -> DataFrame:
     return a.join(b, "sample_id", "left_anti").withColumn("lacks", F.lit("scores")).unionAll(b.join(a, "sample_id", "left_anti").withColumn("lacks", F.lit("predictions")))
 
 
+def known_samples(predicted: DataFrame, causes: DataFrame) -> DataFrame:
+    """(sample_id) of samples with a known cause: those that both tables name."""
+    return predicted.select("sample_id").intersect(causes.select(F.col("SampleID").alias("sample_id")))
+
+
 def truth(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(spark.read.option("header", True).csv(path), "SampleID", "chr", "pos", "ref", "alt")
 
@@ -52,9 +59,14 @@ def by_extension(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"neither parquet nor csv: {path}")
 
 
-def patient_term_lists(spark: SparkSession, path: str, samples: DataFrame | None = None) -> DataFrame:
+def annotation(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """Gene, transcript or archive tables: the named columns only, which must be there."""
+    return require_columns(by_extension(spark, path), *names).select(*[F.col(f"`{n}`") for n in names])
+
+
+def patient_term_lists(spark: SparkSession, path: str, samples: DataFrame | None = None, pattern: str = r"([^/]+)\.hpo\.txt$") -> DataFrame:
     """(sample_id, ord, hpo_id) of {sample}.hpo.txt files, blank lines dropped, unknown samples skipped."""
-    df = with_sample(spark.read.text(path, wholetext=True), r"([^/]+)\.hpo\.txt$")
+    df = with_sample(spark.read.text(path, wholetext=True), pattern)
     df = df.select("sample_id", F.posexplode(F.split("value", r"\r?\n")).alias("ord", "hpo_id")).withColumn("hpo_id", F.trim("hpo_id")).filter("hpo_id <> ''")
     return df.join(samples.select("sample_id").distinct(), "sample_id", "left_semi") if samples is not None else df
 
@@ -80,9 +92,9 @@ def dosage(spark: SparkSession, path: str) -> DataFrame:
     return require_columns(spark.read.option("header", True).csv(path), *names).select(*[F.col(f"`{n}`") for n in names])
 
 
-def answers(spark: SparkSession, path: str) -> DataFrame:
+def answers(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.json$") -> DataFrame:
     """(key, response) of a folder of JSON files, the key being the file's stem."""
-    return with_sample(spark.read.text(path, wholetext=True), r"([^/]+)\.json$", "key").select("key", F.col("value").alias("response"))
+    return with_sample(spark.read.text(path, wholetext=True), pattern, "key").select("key", F.col("value").alias("response"))
 
 
 def submission_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
