@@ -140,51 +140,85 @@ def test_word_hashes_tell_words_apart(documents, hard):
 
 
 def brute_scores(train, texts):
-    """Interpolated modified Kneser-Ney with plain dictionaries."""
+    """Interpolated modified Kneser-Ney trigrams with plain dictionaries."""
     cut = lambda t: WORD.findall((t or "").translate(LOW)) + ["</s>"]
-    uni, bi = collections.Counter(), collections.Counter()
+    uni, bi, tri = collections.Counter(), collections.Counter(), collections.Counter()
     for t in train:
-        w = cut(t)
-        uni.update(w)
-        bi.update(zip(["<s>", *w], w))
+        w = ["<s>", *cut(t)]
+        uni.update(w[1:])
+        tri.update(zip(w, w[1:], w[2:]))
+        bi["<s>", w[1]] += 1  # no word stands before the start, so its pairs keep their counts
+    for _, b, c in tri:
+        bi[b, c] += 1
     follows = collections.Counter(b for _, b in bi)
     n, v = sum(uni.values()), len(uni)
     of = lambda c: ngram_lm.discounts([sum(x == k for x in c.values()) for k in (1, 2, 3, 4)])
-    high, low = of(bi), of(follows)
+    d3, d2, d1 = of(tri), of(bi), of(follows)
     d = lambda table, c: 0 if not c else table[min(c, 3) - 1]
-    total, kinds = collections.Counter(), len(bi)
-    gamma = collections.Counter()
-    for (a, _), c in bi.items():
-        total[a] += c
-        gamma[a] += d(high, c)
-    spare = sum(d(low, c) for c in follows.values()) / kinds
-    p1 = lambda b: max(follows[b] - d(low, follows[b]), 0) / kinds + spare / (v + 1)
-    p2 = lambda a, b: (max(bi[a, b] - d(high, bi[a, b]), 0) + gamma[a] * p1(b)) / total[a] if total[a] else p1(b)
-    mass = sum(p2("<s>", b) for b in uni) + gamma["<s>"] * spare / (v + 1) / total["<s>"]
-    assert abs(mass - 1) < 1e-9
+    kinds = len(bi)
+
+    def contexts(table, law):
+        total, left = collections.Counter(), collections.Counter()
+        for k, c in table.items():
+            total[k[:-1]] += c
+            left[k[:-1]] += d(law, c)
+        return total, left
+
+    (t2, g2), (t3, g3) = contexts(bi, d2), contexts(tri, d3)
+    spare = sum(d(d1, c) for c in follows.values()) / kinds
+    p1 = lambda b: max(follows[b] - d(d1, follows[b]), 0) / kinds + spare / (v + 1)
+    p2 = lambda a, b: (max(bi[a, b] - d(d2, bi[a, b]), 0) + g2[a,] * p1(b)) / t2[a,] if t2[a,] else p1(b)
+    p3 = lambda x, a, b: (max(tri[x, a, b] - d(d3, tri[x, a, b]), 0) + g3[x, a] * p2(a, b)) / t3[x, a] if t3[x, a] else p2(a, b)
+    for x, a in [("<s>", w) for w in list(uni)[:3]] + [k[:2] for k in list(tri)[:5]]:
+        assert abs(sum(p3(x, a, b) for b in [*uni, "an unseen word"]) - 1) < 1e-9
     out = []
     for t in texts:
-        w = cut(t)
-        out.append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p2(a, b)) for a, b in zip(["<s>", *w], w))))
+        w = ["<s>", *cut(t)]
+        score = math.log10(p2("<s>", w[1])) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:]))
+        w = w[1:]
+        out.append((len(w), sum(uni[x] > 0 for x in w), sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), score))
     return n, out
 
 
-def test_lm_equals_brute_force(spark, documents, hard):
+def test_lm_equals_brute_force(spark, documents, hard, monkeypatch):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(40)]
-    texts = hard + [" ".join(rng.choice(words[: rng.randint(1, 40)]) for _ in range(rng.randint(0, 50))) for _ in range(120)] + ["unseen words only", "w1 unseen w1"]
+    texts = hard + [" ".join(rng.choice(words[: rng.randint(1, 40)]) for _ in range(rng.randint(0, 50))) for _ in range(120)] + ["unseen words only", "w1 unseen w1", "w1 w2 unseen w3 w4"]
     train = texts[:100]
-    docs = documents(texts)
-    model = ngram_lm.fit(docs.filter("doc_id < 100"), range_bytes=20_000)
-    assert model.ranges > 1
+    docs = documents(texts).withColumn("score", F.lit("mine")).withColumn("n", F.lit(0))
     n, want = brute_scores(train, texts)
-    assert model.tokens == n
-    for r in ngram_lm.scored(docs, model).collect():
-        a = want[r.doc_id]
-        assert (r.n_tokens, r.n_known) == a[:2]
-        assert abs(r.base_score - a[2]) < 1e-6 * max(1, abs(a[2])) and abs(r.score - a[3]) < 1e-4 * max(1, abs(a[3]))
+    for flush, size in ((1 << 30, 20_000), (500, 10_000)):
+        monkeypatch.setattr(ngram_lm, "FLUSH", flush)
+        model = ngram_lm.fit(docs.filter("doc_id < 100"), range_bytes=size)
+        assert model.ranges > 1 and model.tokens == n
+        got = ngram_lm.scored(docs, model, keep=("doc_id", "score", "n")).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            a = want[r.doc_id]
+            assert (r.n_tokens, r.n_known) == a[:2]
+            assert abs(r.base_score - a[2]) < 1e-6 * max(1, abs(a[2])) and abs(r.score - a[3]) < 1e-6 * max(1, abs(a[3]))
     empty = ngram_lm.fit(documents([]))
-    assert [r.score for r in ngram_lm.scored(documents(["a b"]), empty).collect()] == [0.0]
+    assert [round(r.score, 6) for r in ngram_lm.scored(documents(["a b"]), empty).collect()] == [round(3 * math.log10(0.5), 6)]
+    assert ngram_lm.scored(documents([]), model).count() == 0
+    nulls = ngram_lm.scored(documents(["w1", None]).withColumn("doc_id", F.lit(None).cast("long")), model)
+    assert nulls.count() == 2
+
+
+def test_pairs_come_back_and_large_counts_stay():
+    import pyarrow as pa  # noqa: F401
+
+    for v in (1, 5, 1000, 1 << 20, (1 << 31) + 7):
+        p = ngram_lm.Pairs(v)
+        rng = np.random.default_rng(v)
+        a, b = rng.integers(0, v, 200).astype(np.uint64), rng.integers(0, v, 200).astype(np.uint64)
+        a[:3] = ngram_lm.START
+        k = p.keys(a, b)
+        assert (p.first(k) == a).all() and (p.second(k) == b).all()
+        assert len(np.unique(k)) == len({*zip(a.tolist(), b.tolist())})
+    c = np.array([1, 5, 1 << 40], dtype="<u8")
+    assert (ngram_lm.from_planes(ngram_lm.planes(c), "<u8") == c).all()
+    code, rows = ngram_lm.coded([c, c])
+    assert (rows[code][:, 0] == c.astype(np.int64)).all()
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
