@@ -68,6 +68,7 @@ def test_near_dedup_equals_brute_force(spark, documents, hard):
 
 def test_large_groups_are_compared_in_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_MATES", 24)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(100)]
     texts = []
@@ -81,6 +82,39 @@ def test_large_groups_are_compared_in_blocks(spark, documents, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_components(documents(texts)).collect()} == want
 
 
+def test_look_alikes_under_the_threshold_are_not_verified(spark, documents, monkeypatch):
+    """Texts of similarity about 0.55 share bands, but their registers disagree, so their number doesn't bring work."""
+    seen = []
+    kept = near_dedup.group_links
+
+    def spy(rows, compare, *rest):
+        if compare is near_dedup.linked:
+            seen.append(rows.count())
+        return kept(rows, compare, *rest)
+
+    monkeypatch.setattr(near_dedup, "group_links", spy)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(400):
+        w = list(base)
+        for k in rng.sample(range(300), 9):
+            w[k] = f"e{rng.randint(0, 10**9)}"
+        texts.append(" ".join(w))
+    sets = [shingle_set(t) for t in texts[:30]]
+    like = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert 0.45 < min(like) and max(like) < 0.72
+    rows = near_dedup.near_components(documents(texts)).collect()
+    assert all(r.kept for r in rows) and sum(seen) <= 60
+
+
+def test_near_dedup_without_ids(spark, documents):
+    docs = documents(["a b c d e f g"] * 3).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_dedup.near_components(docs).collect())
+    assert got == [(-1, -1, True), (1, 1, True), (2, 1, False)]
+    assert near_dedup.one_of_each(docs).count() == 2
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     x = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))

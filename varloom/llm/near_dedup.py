@@ -18,8 +18,10 @@ SHINGLE, REGISTERS = 5, 256
 BASE, RATE = 1.001, 20.0
 #: Pairs whose most likely similarity lies under the threshold by this much are not verified (six standard errors).
 SLACK = 0.13
-#: Documents and shingles of one side of a comparison block.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+#: Band-mates of one side of a comparison block; documents and shingles of one side of a block that is verified.
+BLOCK_MATES, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 256, 400_000
+#: Standard errors by which the equal registers of band-mates may lie under what the threshold makes expect.
+DOUBT = 6.0
 _RNG = np.random.Generator(np.random.PCG64(7))
 _ODD = _RNG.integers(0, 1 << 63, REGISTERS, dtype=U) * U(2) + U(1)
 _PLACE = _RNG.integers(0, 1 << 63, SHINGLE, dtype=U) * U(2) + U(1)
@@ -123,74 +125,131 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least:
     return fits & (gain > 0)
 
 
-def linked(ids: list[int], chunk: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, percent: int, apart: bool) -> list[tuple[int, int]]:
+class Forest:
+    """Union-find over the rows of a block, of which some are joined already."""
+
+    def __init__(self, joined: list[int]):
+        seen: dict[int, int] = {}
+        self.root = [seen.setdefault(c, i) for i, c in enumerate(joined)]
+
+    def top(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+
+def mates(ids: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, n: np.ndarray, low: list[bytes], _: None, percent: int) -> list[tuple[int, int]]:
+    """Pairs of band-mates with as many equal registers as linked ones have, as few as join what all such pairs join."""
+    regs = np.stack([np.frombuffer(x, np.uint8) for x in low])
+    j = percent / 100
+    least = REGISTERS * j - DOUBT * np.sqrt(REGISTERS * j * (1 - j))
+    forest, out = Forest(comp.tolist()), []
+    for i in left.tolist():
+        others = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= percent * np.maximum(n[right], n[i]))]
+        for k in others[(regs[others] == regs[i]).sum(axis=1) >= least].tolist():
+            a, b = forest.top(i), forest.top(k)
+            if a != b:
+                forest.root[a] = b
+                out.append((int(ids[i]), int(ids[k])))
+    return out
+
+
+def linked(ids: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray, n: np.ndarray, sketch: list[bytes], packed: list[bytes], percent: int) -> list[tuple[int, int]]:
     """Links that join the documents of a block as all its links would; each is verified on the full sets."""
-    n = np.array([len(s) for s in sets], dtype=np.float64)
-    left = np.flatnonzero(chunk == chunk.min()) if apart else np.arange(len(ids))
-    right = np.flatnonzero(chunk != chunk.min()) if apart else left
-    if not len(left) or not len(right):
-        return []
+    regs = np.stack([np.frombuffer(x, np.uint16) for x in sketch])
+    sets = [np.frombuffer(x, U) for x in packed]
+    n = n.astype(np.float64)
     may = likely(regs[left], regs[right], n[left], n[right], percent / 100 - SLACK)
     may &= np.minimum(n[left][:, None], n[right][None, :]) * 100 >= percent * np.maximum(n[left][:, None], n[right][None, :])
+    may &= comp[left][:, None] != comp[right][None, :]
     i, j = np.nonzero(may)
     i, j = left[i], right[j]
-    if not apart:
+    if len(left) == len(right) and (left == right).all():
         i, j = i[i < j], j[i < j]
-    same = (regs[i] == regs[j]).sum(axis=1) if len(i) < 200_000 else np.concatenate([(regs[i[k : k + 100_000]] == regs[j[k : k + 100_000]]).sum(axis=1) for k in range(0, len(i), 100_000)])
-    root = list(range(len(ids)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
+    same = np.concatenate([(regs[i[k : k + 100_000]] == regs[j[k : k + 100_000]]).sum(axis=1) for k in range(0, len(i), 100_000)] or [np.zeros(0)])
+    forest, out = Forest(comp.tolist()), []
     for k in np.argsort(-same, kind="stable").tolist():
         a, b = int(i[k]), int(j[k])
-        if top(a) == top(b):
+        x, y = forest.top(a), forest.top(b)
+        if x == y:
             continue
         s, t = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
         at = np.searchsorted(t, s)
         at[at == len(t)] = 0
         common = int((t[at] == s).sum())
         if 100 * common >= percent * (len(s) + len(t) - common):
-            root[top(a)] = top(b)
-            out.append((ids[a], ids[b]))
+            forest.root[x] = y
+            out.append((int(ids[a]), int(ids[b])))
     return out
 
 
-def block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of each block; rows are sorted by block inside even tasks and read one block at a time."""
+def block_links(rows: DataFrame, compare, percent: int) -> DataFrame:
+    """(a, b) links of each block (g, p, q) of rows (id, chunk, comp, n, x, y); a task reads one block at a time, by its order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(block: list[tuple]) -> pa.RecordBatch:
-            got = linked([x[0] for x in block], np.array([x[1] for x in block]), [np.frombuffer(x[2], U) for x in block], np.stack([np.frombuffer(x[3], np.uint16) for x in block]), percent, apart)
+            ids, chunk, comp, n = (np.array([x[k] for x in block], dtype=np.int64) for k in range(4))
+            left, right = np.flatnonzero(chunk == now[1]), np.flatnonzero(chunk == now[2])
+            got = compare(ids, left, right, comp, n, [x[4] for x in block], [x[5] for x in block], percent) if len(left) and len(right) else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-        now, apart, block = None, False, []
+        now, block = None, []
         for batch in batches:
-            cols = [batch.column(k) for k in range(7)]
-            for family, p, q, *row in zip(*[c.to_pylist() for c in cols[:5]], cols[5], cols[6]):
-                if (family, p, q) != now:
+            heads = zip(*[batch.column(k).to_pylist() for k in range(7)])
+            for (*at, i, chunk, comp, n), x, y in zip(heads, batch.column(7), batch.column(8)):
+                if at != now:
                     if len(block) > 1:
                         yield close(block)
-                    now, apart, block = (family, p, q), p != q, []
-                block.append((row[0], row[1], row[2].as_py(), row[3].as_py()))
+                    now, block = at, []
+                block.append((i, chunk, comp, n, x.as_py(), y.as_py()))
         if len(block) > 1:
             yield close(block)
 
-    return rows.select("family", "p", "q", "id", "chunk", "set", "sketch").repartition("family", "p", "q").sortWithinPartitions("family", "p", "q").mapInArrow(work, "a long, b long")
+    return rows.select("g", "p", "q", "id", "chunk", "comp", "n", "x", "y").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q").mapInArrow(work, "a long, b long")
+
+
+def group_links(rows: DataFrame, compare, percent: int, most: int, weight: int | None, payload, name: str) -> DataFrame:
+    """(a, b) links that join the members of each group as all links between them would.
+
+    rows: (g, id, n). A group is cut into chunks of `most` members (and of `weight` shingles,
+    if given). In a first round a chunk meets itself and the first chunk, so a group of copies,
+    however large, is joined in time that grows with its size. Only groups that are still in
+    parts then have their other chunks meet, and only members of different parts are compared.
+    payload adds x and y, what members are compared by, to rows that have an id.
+    """
+    chunks = F.ceil(F.count("*") / most)
+    size = rows.groupBy("g").agg((F.greatest(chunks, F.ceil(F.sum("n") / weight)) if weight else chunks).cast("int").alias("chunks"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    rows = rows.join(size, "g").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    rows = written(rows, f"{name}-groups")
+    meet = lambda k: F.struct(F.least("chunk", k).alias("p"), F.greatest("chunk", k).alias("q"))
+    to = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    first = F.when(F.col("chunk") == 0, F.transform(to(F.lit(0), F.col("chunks") - 1), meet)).otherwise(F.array(meet(F.lit(0)), meet(F.col("chunk"))))
+    block = lambda df, pairs: payload(df.withColumn("b", F.explode(pairs)).select("g", "b.p", "b.q", "id", "chunk", "comp", "n"))
+    links = written(block_links(block(rows.withColumn("comp", F.col("id")), first), compare, percent), f"{name}-1")
+    large = rows.filter("chunks > 2")
+    if large.isEmpty():
+        forget(rows)
+        return links
+    parts = components(links, name=f"{name}-parts")
+    large = large.join(parts, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
+    open_ = large.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
+    others = F.transform(F.filter(to(F.lit(1), F.col("chunks") - 1), lambda k: k != F.col("chunk")), meet)
+    rest = large.join(open_, "g", "left_semi").filter("chunk > 0")
+    more = written(block_links(block(rest, others), compare, percent), f"{name}-2")
+    forget(rows)
+    return links.unionAll(more)
 
 
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
 
-    Documents with one and the same set are a class and go on as its smallest id. Classes
-    that share a band of registers, directly or through others, are a family; families are
-    compared inside in blocks of bounded size, and links are decided on the full sets. Null,
-    empty and wordless texts have no set and link with nothing; repeated ids are one
-    document; a null id stays alone with a null component.
+    Documents with one and the same set are a class and go on as its smallest id. Classes that
+    share a band of registers are mates if their registers agree as those of linked ones do;
+    classes that mates join, directly or through others, are a family. Families are compared
+    inside in blocks of bounded size, and links are decided on the full sets. Null, empty and
+    wordless texts have no set and link with nothing; repeated ids are one document; a null id
+    stays alone with a null component.
     """
     all_rows = written(sketched(docs, text, key), "sketches")
     some = all_rows.filter("n > 0 and id is not null")
@@ -199,19 +258,23 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     reps = written(reps, "reps")
     # a pair at the threshold shares no band with probability under 0.0001
     wide = 8 if percent >= 85 else 6
-    bands = reps.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // wide - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * wide) + 1, F.lit(2 * wide)), i))).alias("band"))
-    first = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
-    families = written(components(bands.join(first, "band").select(F.col("id").alias("a"), F.col("first").alias("b")), name="families"), "families")
-    members = reps.join(families, reps["id"] == families["node"]).select("id", "f1", "n", "sketch", F.col("component").alias("family"))
-    size = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    members = members.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__t"))
-    held = texts.join(members.withColumnRenamed("n", "n1"), F.col("doc") == F.col("id")).drop("doc")
+    bands = reps.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // wide - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * wide) + 1, F.lit(2 * wide)), i))).alias("g"))
+    shared = bands.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("g")
+    # the lower byte of each register tells equal ones nearly as well
+    low = reps.select(F.col("id").alias("rid"), F.unhex(F.regexp_replace(F.hex("sketch"), "(..)..", "$1")).alias("x"))
+    with_low = lambda df: df.join(low, F.col("id") == F.col("rid")).withColumn("y", F.lit(None).cast("binary"))
+    joined = group_links(bands.join(shared, "g", "left_semi"), mates, percent, BLOCK_MATES, None, with_low, "mates")
+    families = written(components(joined, name="families"), "families")
+    members = reps.join(families, reps["id"] == families["node"]).select(F.col("component").alias("g"), "id", "n")
+    texts = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("__t"))
+    wanted = members.select(F.col("id").alias("mid"), F.col("n").alias("n1")).join(reps.select(F.col("id").alias("rid"), "sketch"), F.col("mid") == F.col("rid")).drop("rid")
+    held = texts.join(wanted, F.col("doc") == F.col("mid")).drop("doc")
     # the set of an id's other text, where ids repeat, is not the one that was sketched
-    held = with_sets(held, "__t").filter(F.octet_length("set") == 8 * F.col("n1"))
-    pairs = held.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = pairs.withColumn("p", F.least("chunk", "k")).withColumn("q", F.greatest("chunk", "k"))
-    links = components(block_links(pairs, percent), name="links").withColumnRenamed("node", "rep")
+    held = written(with_sets(held, "__t").filter(F.octet_length("set") == 8 * F.col("n1")).select("mid", F.col("sketch").alias("x"), F.col("set").alias("y")), "sets")
+    with_set = lambda df: df.join(held, F.col("id") == F.col("mid")).drop("mid")
+    found = group_links(members, linked, percent, BLOCK_DOCS, BLOCK_SHINGLES, with_set, "links")
+    links = components(found, name="linked").withColumnRenamed("node", "rep")
+    forget(held)
     rooted = classes.join(links, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("root"))
     out = all_rows.drop("sketch").join(rooted, ["n", "f1", "f2"], "left")
     root = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
