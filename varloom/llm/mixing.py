@@ -104,39 +104,49 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], mi
     domain's expected tokens (sum of r * __n * p), t its target and T1 its tokens at rate 1.
     In the inner product that weighs a document by its tokens the gradient of a document is
     the sum of p * (T - t) / T1, and its Lipschitz bound is 1, as the matrix behind it is
-    stochastic; so a step of 1 always descends. A pass is one aggregate over the table. The
-    rates are written after every few passes, so a plan holds few gradients.
+    stochastic; so a step of 1 descends, and momentum speeds it up. A pass is one aggregate over
+    the table. The rates are written after every few passes, so a plan holds few gradients.
 
     tokens: the budget, by default the input's tokens. Domains without weight have target 0.
     met says whether every gap is at most `close` of the budget; least squares may leave
     gaps where the lowest rate or mixed documents keep targets out of reach.
     """
     p = [F.get("__p", F.lit(j)) for j in range(len(domains))]
+    low = F.lit(float(min_rate))
 
-    def totals(df: DataFrame) -> list[float]:
+    def totals(df: DataFrame) -> np.ndarray:
         got = df.agg(*[F.sum(F.col("rate") * F.col("__n") * x).alias(f"t{j}") for j, x in enumerate(p)]).first()
-        return [float(x or 0.0) for x in got]
+        return np.array([float(x or 0.0) for x in got])
 
-    share = [max(weights.get(d, 0.0), 0.0) for d in domains]
-    df = rows.withColumn("rate", F.greatest(F.lit(1.0), F.lit(float(min_rate))))
+    share = np.array([max(weights.get(d, 0.0), 0.0) for d in domains])
     base = totals(rows.withColumn("rate", F.lit(1.0)))
-    reached = totals(df)
-    budget = sum(base) if tokens is None else tokens
-    goal = [budget * s / (sum(share) or 1.0) for s in share]
-    met = lambda: all(abs(a - b) <= close * budget for a, b in zip(reached, goal))
-    held = None
+    df = rows.withColumns({"rate": F.greatest(F.lit(1.0), low), "__last": F.greatest(F.lit(1.0), low)})
+    last = reached = totals(df)
+    budget = float(base.sum()) if tokens is None else tokens
+    goal = budget * share / (share.sum() or 1.0)
+    some = base > 0
+    gap = lambda t: np.where(some, (t - goal) / np.where(some, base, 1.0), 0.0)
+    height = lambda t: float((gap(t) * (t - goal)).sum())
+    met = lambda: bool((np.abs(reached - goal) <= close * budget).all())
+    held, pace = None, 1.0
     for k in range(passes):
         if met():
             break
-        step = sum((x * F.lit((a - b) / c) for x, a, b, c in zip(p, reached, goal, base) if c > 0), F.lit(0.0))
-        df = df.withColumn("rate", F.greatest(F.lit(float(min_rate)), F.col("rate") - step))
+        # momentum: a step is taken from ahead of the last rates, and pace starts anew when the gaps grow
+        following = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        push = (pace - 1) / following
+        ahead = F.col("rate") + F.lit(push) * (F.col("rate") - F.col("__last"))
+        step = sum((x * F.lit(float(g)) for x, g in zip(p, gap(reached + push * (reached - last)))), F.lit(0.0))
+        df = df.withColumn("__new", F.greatest(low, ahead - step)).withColumn("__last", F.col("rate")).withColumn("rate", F.col("__new")).drop("__new")
         if k % keep_every == keep_every - 1:
             old, held = held, written(df, f"rates-{k}")
             df = held
             if old is not None:
                 forget(old)
-        reached = totals(df)
-    return df, dict(zip(domains, reached)), dict(zip(domains, goal)), met()
+        last, reached = reached, totals(df)
+        pace = 1.0 if height(reached) > height(last) else following
+    tell = lambda t: dict(zip(domains, map(float, t)))
+    return df.drop("__last"), tell(reached), tell(goal), met()
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, label: str, weights: dict[str, float], text: str = "text", key: str = "doc_id", min_rate: float = 0.0, tokens: float | None = None, rise: tuple[str, float] | None = None) -> DataFrame:
@@ -182,10 +192,10 @@ def remix(docs: DataFrame, labelled: DataFrame, label: str, weights: dict[str, f
     """docs, every row as often as its copies say, with their own columns only."""
     rows = mixed(docs, labelled, label, weights, text, key, min_rate, rise=rise)
     # rows with equal id and text are decided alike
-    chosen = rows.select(F.col(key).alias("__id"), F.col("text_hash").alias("__h"), "copies").groupBy("__id", "__h").agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    df = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    df = df.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
-    return df.withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in docs.columns])
+    chosen = rows.select(F.col(key).alias("__mix_id"), F.col("text_hash").alias("__mix_hash"), "copies").groupBy("__mix_id", "__mix_hash").agg(F.max("copies").alias("__mix_copies")).filter("__mix_copies > 0")
+    df = docs.withColumn("__mix_text", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    df = df.join(chosen, F.col(f"`{key}`").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_text") == F.col("__mix_hash")))
+    return df.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
