@@ -14,6 +14,8 @@ from varloom.llm.common import components, slots, table, written
 
 #: Leading principal dimensions whose grid cells order the vectors, and all that bound a block.
 ORDER_DIMS, BOX_DIMS = 4, 12
+#: Dimensions up to which principal directions are computed.
+WIDEST = 1024
 #: Vectors of a block, of an interval that is compared at once, and blocks under one node of the interval tree.
 BLOCK, PART, FAN = 2048, 256, 16
 #: Neighbouring blocks that one task meets with a block, at most.
@@ -42,7 +44,12 @@ def padded(column: pa.Array, width: int) -> np.ndarray:
 
 
 def principal(rows: DataFrame, width: int) -> np.ndarray:
-    """Leading principal directions of the unit vectors; each task sends one matrix of sums, whatever the rows."""
+    """Leading principal directions of the unit vectors; each task sends one matrix of sums, whatever the rows.
+
+    Beyond WIDEST dimensions random directions take their place: they prune less, and are as right.
+    """
+    if width > WIDEST:
+        return np.linalg.qr(np.random.default_rng(5).normal(size=(width, BOX_DIMS)))[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = np.zeros((width + 1, width))
@@ -187,7 +194,7 @@ def packed(rows: DataFrame, width: int) -> DataFrame:
 
 
 def links(rows: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """((id, n) of vectors with links, (a, b) links that join) among distinct vectors (id, weight, v, dim).
+    """((id, n) of vectors with links, (a, b) links that join) among distinct vectors (id, weight, v, dim) of one dimension.
 
     A block travels once per chunk of the blocks that it meets, and once per pair on the other side.
     """
@@ -242,7 +249,14 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
     classes = written(fine.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.first("dim").alias("dim")), "vectors")
     classes_ = classes.withColumn("node", F.xxhash64("v"))
     # ids may repeat or be null, so nodes are hashes of the vectors themselves
-    counts, joined = links(classes_.select(F.col("node").alias("id"), "weight", "v", "dim"), cosine)
+    rows = classes_.select(F.col("node").alias("id"), "weight", "v", "dim")
+    # only vectors of one dimension link, and a dimension with one vector has no links
+    dims = [r["dim"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).filter("n > 1").collect()]
+    parts = [links(rows.filter(F.col("dim") == d), cosine) for d in sorted(dims)]
+    none = rows.filter("false")
+    counts, joined = none.select("id", F.col("weight").alias("n")), none.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    for n, j in parts:
+        counts, joined = counts.unionAll(n), joined.unionAll(j)
     named = components(joined, name="vector-components")
     tops = classes_.join(named, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = tops.groupBy("root").agg(F.min("id").alias("component_id"))

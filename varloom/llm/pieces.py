@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from varloom.llm.common import table
 
 SPACE = "▁"
+#: Texts that tell other normalisers, prefixes and fallbacks apart.
+PROBES = ("the cat sat on the mat", "  two  spaces  ", "\ufb01 \u2460 \u00a0x\u3000y", "A\nb \n c\t", "\u6f22\U0001f600", "Stra\u00dfe na\u00efve caf\u0065\u0301")
 #: Entries of the caches of a worker: speed only, results don't depend on them.
 KEPT_WORDS, KEPT_PAIRS = 800_000, 1_000_000
 
@@ -39,7 +41,11 @@ def merges(text: str, score: dict[str, float]) -> tuple[list[tuple[float, str, s
 
 
 class PrefixTable:
-    """Encoder and decoder of one model file; ids equal those of the sentencepiece library."""
+    """Encoder and decoder of one model file; ids equal those of the sentencepiece library.
+
+    It takes merge-type models that leave the text as it is, put a space before it, and have no
+    piece that goes on over a space or a line end. Another model is refused.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -66,8 +72,11 @@ class PrefixTable:
                 self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), i))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        over = [p for p in self.score if SPACE in p.lstrip(SPACE) or "\n" in p.lstrip(SPACE)[1:]]
         self.ids_of = _Encoded(self)
         self.text_of = _Decoded(self)
+        if over or any(self.encode(t) != sp.encode(t) for t in PROBES):
+            raise ValueError(f"not a merge-type model that this encoder can take: {path}")
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of tokens a and b encodes to [a, b]: no merge across their boundary comes first."""

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import table, words
+from varloom.llm.common import chosen_by_hash, table, words
 from varloom.llm.quality_rules import measures
 
 #: Labelled rows that the ensemble is fitted on, at most about.
@@ -18,7 +18,7 @@ STATISTICS = ("n_words", "word_length", "symbols", "capitals", "repeated_lines",
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the statistics as __s_<name> doubles. Null, empty and blank texts: all are 0."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     df = measures(docs, text, "__m_")
     m = lambda c: F.col(f"__m_{c}").cast("double")
     n = F.greatest(m("n_words"), F.lit(1.0))
@@ -145,11 +145,18 @@ def compiled(rules: list[tuple[Rule, float]], intercept: float) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = LABELLED_ROWS) -> tuple[list[tuple[Rule, float]], float]:
-    """Fits on at most about `rows` labelled documents, chosen by a hash of their id."""
-    n = labels.count()
-    chosen = labels.filter(F.col(label).isNotNull() & (F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(n, 1))))).select(F.col(key).alias("__key"), F.col(label).cast("double").alias("__y")).dropDuplicates(["__key"])
-    got = statistics(docs.join(F.broadcast(chosen), docs[key] == F.col("__key")).select(key, text, "__y"), text).select(key, "__y", *[f"__s_{s}" for s in STATISTICS]).collect()
-    got.sort(key=lambda r: r[0])
+    """Fits on at most about `rows` labelled documents, chosen by a hash of their id.
+
+    An id with several labels has the least of them; null labels and ids don't count, and
+    every document of a repeated id is a row of its own. Without labelled rows, or with one
+    label only, there are no rules and the score is a constant.
+    """
+    own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(label).cast("double")).alias("__y"))
+    # broadcast of a bounded number of ids
+    chosen = F.broadcast(chosen_by_hash(own, "__key", rows))
+    pairs = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__t")).join(chosen, F.col("__id") == F.col("__key"))
+    got = [tuple(r) for r in statistics(pairs, "__t").select("__id", "__y", *[f"__s_{s}" for s in STATISTICS]).collect()]
+    got.sort()
     return fit(np.array([r[2:] for r in got], dtype=np.float64).reshape(len(got), len(STATISTICS)), np.array([r[1] for r in got], dtype=np.float64))
 
 

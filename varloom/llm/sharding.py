@@ -18,9 +18,9 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     Rows sort by a hash of the text, then by a hash of the id: equal texts stand together
     and are only parted where a splitter falls into them.
     """
-    t = F.coalesce(F.col(text), F.lit("")).cast("string")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("string")
     low = lambda h: F.shiftrightunsigned(h, 2)  # noqa: E731  0 to 2^62 - 1
-    return docs.withColumns({"size": (F.octet_length(t) + 1).cast("long"), "text_crc32": F.crc32(t.cast("binary")), "__k1": low(F.xxhash64(t)), "__k2": low(F.xxhash64(F.col(key), F.lit(1)))})
+    return docs.withColumns({"size": (F.octet_length(t) + 1).cast("long"), "text_crc32": F.crc32(t.cast("binary")), "__k1": low(F.xxhash64(t)), "__k2": low(F.xxhash64(F.col(f"`{key}`"), F.lit(1)))})
 
 
 def splitters(rows: DataFrame, shards: int, tolerance: float) -> list[tuple[int, int]]:
@@ -84,23 +84,35 @@ def shard_of(cuts: list[tuple[int, int]]) -> Column:
 def sharded(rows: DataFrame, shards: int = 16, tolerance: float = 0.002, slice_rows: int = 50_000) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard) to keyed() rows.
 
-    A shard is numbered in slices, so no task holds a whole shard; the slice counts give
-    each slice its first slot. Repeated rows get slots of their own.
+    A shard is numbered by slices of the key's range, so no task holds a whole shard; the slice
+    counts give each slice its first slot. Slots follow the key, so equal texts have slots in a
+    row; only a slice that one text or a few fill beyond slice_rows is cut by the hash of the
+    id. Repeated rows get slots of their own. An empty table gives no rows; null ids and texts
+    have keys like any others.
     """
-    slices = max(1, -(-rows.count() // (shards * slice_rows)))
-    dealt = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("__s", F.pmod(F.xxhash64("__k2", "__k1"), F.lit(slices)).cast("int"))
-    counts = dealt.groupBy("shard", "__s").count()
-    first = counts.withColumn("__first", F.sum("count").over(Window.partitionBy("shard").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "__s", F.coalesce("__first", F.lit(0)).alias("__first"))
-    order = Window.partitionBy("shard", "__s").orderBy("__k1", "__k2")
-    return dealt.withColumn("__n", F.row_number().over(order) - 1).join(first, ["shard", "__s"]).withColumn("slot", (F.col("__first") + F.col("__n")).cast("long")).drop("__s", "__n", "__first", "__k1", "__k2")
+    wide = -(-TOP // max(1, shards * -(-rows.count() // (shards * slice_rows))))
+    dealt = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("__c", F.floor(F.col("__k1") / F.lit(wide)).cast("long"))
+    full = dealt.groupBy("shard", "__c").agg(F.ceil(F.count("*") / slice_rows).cast("long").alias("__cuts")).filter("__cuts > 1")
+    dealt = dealt.join(full, ["shard", "__c"], "left").withColumn("__s", F.when(F.col("__cuts").isNull(), 0).otherwise(F.pmod(F.col("__k2"), F.col("__cuts")))).drop("__cuts")
+    counts = dealt.groupBy("shard", "__c", "__s").count()
+    first = counts.withColumn("__first", F.sum("count").over(Window.partitionBy("shard").orderBy("__c", "__s").rowsBetween(Window.unboundedPreceding, -1))).select("shard", "__c", "__s", F.coalesce("__first", F.lit(0)).alias("__first"))
+    order = Window.partitionBy("shard", "__c", "__s").orderBy("__k1", "__k2")
+    numbered = dealt.withColumn("__n", F.row_number().over(order) - 1).join(first, ["shard", "__c", "__s"])
+    return numbered.withColumn("slot", (F.col("__first") + F.col("__n")).cast("long")).drop("__c", "__s", "__n", "__first", "__k1", "__k2")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.002) -> DataFrame:
-    """Writes the rows, dealt and numbered, as path/shard=N; returns the sizes of the shards."""
-    keys = written(keyed(docs).select("doc_id", "size", "__k1", "__k2"), "shard-keys")
+def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = 0.002, text: str = "text", key: str = "doc_id", file_bytes: int = 256 << 20) -> DataFrame:
+    """Exchanges the rows once and writes them as path/shard=N, in files of about file_bytes; returns the shards' sizes.
+
+    Columns of docs that are named like those of keyed() are replaced.
+    """
+    keys = written(keyed(docs, text, key).select("size", "__k1", "__k2"), "shard-keys")
     cuts = splitters(keys, shards, tolerance)
+    total = keys.agg(F.sum("size").alias("b")).first()["b"] or 0
     forget(keys)
-    keyed(docs).withColumn("shard", shard_of(cuts)).repartition(F.col("shard"), F.pmod("__k2", F.lit(8))).drop("__k1", "__k2").write.partitionBy("shard").parquet(path)
+    files = max(1, -(-total // (shards * file_bytes)))
+    dealt = keyed(docs, text, key).withColumn("shard", shard_of(cuts)).withColumn("__f", F.pmod("__k2", F.lit(files)))
+    dealt.repartition(shards * files, "shard", "__f").drop("__k1", "__k2", "__f").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path).groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-#: Bytes of text that are hashed at a time; a longer text is a slice of its own.
+#: Bytes of text that are hashed at a time; a longer text is hashed in pieces that end between words.
 SLICE = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _RNG.integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
@@ -63,6 +63,27 @@ def words_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[n
     return mix(hashes ^ size.astype(U)), np.searchsorted(at, stops) - np.searchsorted(at, starts)
 
 
+def pieces_of_text(raw: np.ndarray, lo: int, hi: int, most: int) -> Iterator[tuple[int, int]]:
+    """Parts of a text of about `most` bytes that no word crosses; a longer word is a part of its own."""
+    while lo < hi:
+        end = min(hi, lo + most)
+        if end < hi:
+            gaps = np.flatnonzero(SPACE[raw[lo:end]])
+            if len(gaps):
+                end = lo + int(gaps[-1]) + 1
+            while not len(gaps) and end < hi:
+                gaps = np.flatnonzero(SPACE[raw[end : min(hi, end + most)]])
+                end = end + int(gaps[0]) + 1 if len(gaps) else min(hi, end + most)
+        yield lo, end
+        lo = end
+
+
+def words_of_long(raw: np.ndarray, lo: int, hi: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    parts = [words_of(raw[a:b], np.array([0]), np.array([b - a]))[0] for a, b in pieces_of_text(raw, lo, hi, most)]
+    hashes = np.concatenate(parts)
+    return hashes, np.array([len(hashes)])
+
+
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, word hashes, words of each row) over a text column; null is as empty."""
     if column.null_count:
@@ -77,6 +98,10 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.n
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
         lo = at[row]
+        if at[end] - lo > most:
+            yield row, end, *words_of_long(raw, int(lo), int(at[end]), most)
+            row = end
+            continue
         yield row, end, *words_of(raw[lo : at[end]], at[row:end] - lo, at[row + 1 : end + 1] - lo)
         row = end
 
