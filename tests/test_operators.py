@@ -186,6 +186,23 @@ def test_forgotten_tables_hold_nothing(spark):
     assert spark.read.schema("id long").parquet(path).count() == 0
 
 
+def test_scratch_keeps_what_is_taken_out(spark):
+    with sinks.scratch() as made:
+        a, b = sinks.materialised(spark.range(3), "a"), sinks.materialised(spark.range(4), "b")
+        made.pop()
+        folder = a.inputFiles()[0].rsplit("/", 1)[0]
+    assert b.count() == 4 and spark.read.schema("id long").parquet(folder).count() == 0
+
+
+def test_votes_of_a_large_sample_meet_in_chunks(spark, monkeypatch):
+    rows = [candidate(geneSymbol=f"G{i}", varId=f"v{i:02d}", Diagnostic_Engine_Rank=i + 1) for i in range(20)]
+    df = reviewed(frame(spark, rows).withColumn("recessive", F.lit(0)))
+    whole = vote.pairwise(df, (1,))[0].collect()
+    monkeypatch.setattr(vote, "CHUNK", 3)
+    scores, log = vote.pairwise(df, (1,))
+    assert sorted(map(tuple, scores.collect())) == sorted(map(tuple, whole)) and log.count() == 190
+
+
 def test_sources_and_sinks(spark, tmp_path):
     for s, ids in (("p1", "HP:1\n\nHP:2\n"), ("p2", "HP:3")):
         (tmp_path / f"{s}.hpo.txt").write_text(ids)

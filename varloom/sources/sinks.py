@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder of each local session that has no shared one.
+#: Folder of each local session that has no shared one, and the tables of the scratch() scopes that are open.
 _OWN: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,10 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """The same rows from a table in the shared folder: written once, however often the plan above uses them."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """The same rows from a table in the shared folder: written once, however often the plan above uses them.
+
+    All tables of a session are in one folder, named by its application.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/varloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
 
 
 def forget(df: DataFrame) -> None:
@@ -41,6 +51,17 @@ def forget(df: DataFrame) -> None:
         df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables that are materialised inside are forgotten at its end, but for those taken out of the list that it gives."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        for df in _SCOPES.pop():
+            forget(df)
+
+
 def todo(df: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not done."""
     return df.join(done.select(*key).distinct(), key, "left_anti")
