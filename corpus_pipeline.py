@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from varloom.llm import line_dedup, mixing, near_dedup, pieces, quality_rules
-from varloom.llm.common import table, written
+from varloom.llm.common import forget, table, written
+from varloom.sources.sinks import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way, and the stage before it, are deleted once it is done."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch() as made:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.pop()
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
