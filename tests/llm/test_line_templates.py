@@ -55,3 +55,68 @@ def test_templates_equal_one_leader_at_a_time(spark):
     assert len(set(want.values())) > 24 and any(k != v for k, v in want.items())
     assert got == {k: v for k, v in want.items() if k != v}
     assert line_dedup.settled(rest.filter(F.col("leaf") < 0), 0.9).count() == 0
+
+
+def brute_tree(texts):
+    """Drops per document by the tree as described, one line and one leader at a time."""
+    import collections
+    import math
+    import re
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashed = lambda s: signed(xxhash.xxh64(s.encode(), seed=42).intdigest())
+    rows = []
+    for i, t in enumerate(texts):
+        for pos, line in enumerate((t or "").split("\n")):
+            tok = ["<*>" if re.search("[0-9]", w) else w for w in re.findall(r"[^\x20\x09-\x0D]+", line)]
+            if len(tok) >= 3:
+                rows.append((i, hashed(t or ""), pos, (len(tok), *tok[:3]), " ".join(tok)))
+    leaves = collections.defaultdict(set)
+    for _, th, _, leaf, _ in rows:
+        leaves[leaf].add(th)
+    rows = [r for r in rows if len(leaves[r[3]]) > 1]
+    times = collections.Counter((r[3], r[4]) for r in rows)
+    template = {}
+    for leaf in {k[0] for k in times}:
+        left = sorted(((n, hashed(m), m) for (f, m), n in times.items() if f == leaf), reverse=True)
+        while left:
+            lead = left[0][2].split(" ")
+            takes = [x for x in left if sum(a == b for a, b in zip(x[2].split(" "), lead)) >= math.ceil(0.9 * len(lead))]
+            template |= {(leaf, x[2]): left[0][2] for x in takes}
+            left = [x for x in left if x not in takes]
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[3], template[r[3], r[4]]].append(r)
+    out = collections.defaultdict(set)
+    for own in groups.values():
+        home = min((r[0], r[1]) for r in own)[1]
+        if len({r[1] for r in own}) > 1:
+            for r in own:
+                if r[1] != home:
+                    out[r[0]].add(r[2])
+    return {i: sorted(p) for i, p in out.items()}
+
+
+def test_the_whole_tree_equals_brute_force(spark, documents, hard):
+    """Leaves of up to 50 templates with variants each, fields with digits, copies of documents and odd rows."""
+    import random
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    pool = []
+    for leaf in range(5):
+        head, size = [word() for _ in range(3)], rng.choice([5, 10, 20, 31])
+        for _ in range(rng.choice([3, 50])):
+            base = head + [word() for _ in range(size - 3)]
+            for _ in range(3):
+                line = list(base)
+                for k in rng.sample(range(3, size), min(size - 3, rng.choice([0, 1, 1, 2]))):
+                    line[k] = rng.choice([word(), f"{rng.randint(0, 99)}x"])
+                pool.append(rng.choice([" ", "  "]).join(line))
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    texts += texts[:5] + hard
+    want = brute_tree(texts)
+    assert len(want) > 60
+    assert drops(documents(texts)) == want
