@@ -10,28 +10,37 @@ from varloom.sources.sinks import scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
+    """Documents that no rule of the cascade rejects. Null and empty texts have no word and go; repeated rows are judged alike."""
     return quality_rules.keep(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring line templates stay in their first document only; documents emptied by that go."""
+    """Recurring line templates stay in their first document only; documents emptied by that go.
+
+    Null and empty texts stay as they are; a null id is the smallest; copies of a text are one.
+    """
     return line_dedup.drop_recurring(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of similarity 0.8 join: that of the smallest id."""
+    """One document of each group that links of similarity 0.8 join: that of the smallest id.
+
+    Texts without words link with nothing and stay, rows without an id too; of rows with one id, all or none stay.
+    """
     return near_dedup.one_of_each(docs, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates say that bring good, poor and toxic text to their weights; good ones stay."""
+    """Documents as often as the rates say that bring good, poor and toxic text to their weights; good ones stay.
+
+    Rows with equal id and text are repeated alike; without labelled documents every row stays once.
+    """
     labelled = mixing.labelled_texts(docs, table(spark, sf_dir, "labels"))
     return mixing.remix(docs, labelled, "domain", mixing.PIPELINE_TARGETS, rise=("good", mixing.PIPELINE_RISE))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their number of pieces and the digests of ids and decoded text."""
+    """The documents with their number of pieces and the digests of ids and decoded text; columns that had these names give way."""
     return pieces.encoded(docs, pieces.model_path(), keep=tuple(docs.columns))
 
 
