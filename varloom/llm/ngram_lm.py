@@ -27,9 +27,10 @@ from varloom.llm.common import shared_dir, table
 from varloom.llm.tokens import U, mix, slices, summed, with_ends
 
 #: Bytes of training text for one key range, and n-grams that a task sums before it sends them.
-RANGE_BYTES, FLUSH = 16 << 20, 1_500_000
-#: Keys of a directory's cell, on average, and bits of a key behind the directory's that are stored.
-CELL, REST = 8, 32
+RANGE_BYTES, FLUSH = 8 << 20, 1_500_000
+#: Keys of a directory's cell, on average, and bits of a key behind the directory's that are stored: pairs of up to 2^23
+#: words are told apart exactly, and an n-gram that is not there is taken for another one in two million look-ups.
+CELL, REST = 8, 24
 #: Context of the first token of a text.
 START = (1 << 32) - 1
 LOW = U(START)
@@ -96,6 +97,16 @@ def from_planes(data: bytes, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel()
 
 
+def packed(a: np.ndarray) -> bytes:
+    """Numbers from 0 as planes of the narrowest kind that holds them all, after its size."""
+    size = next(x for x in (1, 2, 4, 8) if x == 8 or not len(a) or int(a.max()) < 1 << (8 * x))
+    return bytes([size]) + planes(np.ascontiguousarray(a, dtype=f"<u{size}"))
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return from_planes(data[1:], f"<u{data[0]}").astype("<u8")
+
+
 def steps(keys: np.ndarray) -> bytes:
     """Sorted keys as the differences to the one before."""
     out = keys.copy()
@@ -156,7 +167,9 @@ def write_array(folder: str, r: int, keys: np.ndarray, values: list[np.ndarray])
     bits = max((len(keys) // CELL).bit_length(), 1)
     at = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
     save(folder, r, "at", at.astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
-    save(folder, r, "rest", (keys << U(bits) >> U(64 - REST)).astype(np.uint32))
+    rest = keys << U(bits) >> U(64 - REST)
+    save(folder, r, "low", rest.astype(np.uint16))
+    save(folder, r, "high", (rest >> U(16)).astype(np.uint8))
     write_values(folder, r, values)
 
 
@@ -171,15 +184,16 @@ def find(folder: str, r: int, keys: np.ndarray, kind: str = "") -> tuple[np.ndar
     path = f"{folder}/{r:08d}"
     if not os.path.exists(f"{path}.at.npy"):
         return np.full(len(keys), -1, np.int64), np.zeros((len(keys), 1), np.int64)
-    at, rest, code, rows = (mapped(f"{path}.{x}.npy") for x in ("at", "rest", f"{kind}code", f"{kind}rows"))
+    at, low, high, code, rows = (mapped(f"{path}.{x}.npy") for x in ("at", "low", "high", f"{kind}code", f"{kind}rows"))
     bits = (len(at) - 1).bit_length() - 1
     cell = (keys >> U(64 - bits)).astype(np.int64)
-    want = (keys << U(bits) >> U(64 - REST)).astype(np.uint32)
+    want = keys << U(bits) >> U(64 - REST)
+    want_low, want_high = want.astype(np.uint16), (want >> U(16)).astype(np.uint8)
     place, end = at[cell].astype(np.int64), at[cell + 1].astype(np.int64)
     out = np.full(len(keys), -1, np.int64)
     live = np.flatnonzero(place < end)
     while len(live):
-        hit = rest[place[live]] == want[live]
+        hit = (low[place[live]] == want_low[live]) & (high[place[live]] == want_high[live])
         out[live[hit]] = place[live[hit]]
         live = live[~hit]
         place[live] += 1
@@ -206,12 +220,12 @@ def look_up(folder: str, ranges: int, by: np.ndarray, keys: np.ndarray, width: i
 
 
 def merged(rows: DataFrame, ranges: int, work: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Runs work(range, its rows) for each key range, dealt to as many partitions as there are ranges."""
+    """Runs work(range, its rows) for each key range, dealt to so many partitions that few hold more than one."""
 
     def each(key, frame):
         return work(key[0].as_py(), frame)
 
-    return rows.repartition(max(ranges, 1), "range").groupBy("range").applyInArrow(each, schema)
+    return rows.repartition(4 * max(ranges, 1), "range").groupBy("range").applyInArrow(each, schema)
 
 
 def arrays(frame: pa.Table, column: str, read: Callable[[bytes], np.ndarray], empty: str = "<u8") -> np.ndarray:
@@ -313,7 +327,7 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
             keys, c = summed(np.concatenate(held))
             c = c.astype("<u8")
             own = list(pieces_of(keys, ranges))
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in own], pa.int32()), pa.array([steps(keys[s]) for _, s in own], pa.binary()), pa.array([planes(c[s]) for _, s in own], pa.binary())], ["range", "keys", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in own], pa.int32()), pa.array([steps(keys[s]) for _, s in own], pa.binary()), pa.array([packed(c[s]) for _, s in own], pa.binary())], ["range", "keys", "c"])
 
         held, n = [], 0
         for batch in batches:
@@ -327,7 +341,7 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
             yield block(held)
 
     def merge_words(r: int, frame: pa.Table) -> pa.Table:
-        keys, c = summed(arrays(frame, "keys", from_steps), arrays(frame, "c", lambda b: from_planes(b, "<u8")))
+        keys, c = summed(arrays(frame, "keys", from_steps), arrays(frame, "c", unpacked))
         write_array(f"{folder}/word", r, within(keys, ranges), [c])
         return pa.table({"range": pa.array([r], pa.int32()), "n": [len(keys)], "tokens": [int(c.sum())]})
 
@@ -355,8 +369,8 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
             k, w = k[new], w[new]
             s, sc = summed(np.concatenate(starts))
             sc = sc.astype("<u8")
-            out = [(r, 0, steps(k[x]), planes(w[x]), planes(c[x])) for r, x in pieces_of(k, ranges)]
-            out += [(r, 1, steps(s[x]), b"", planes(sc[x])) for r, x in pieces_of(s, ranges)]
+            out = [(r, 0, steps(k[x]), planes(w[x]), packed(c[x])) for r, x in pieces_of(k, ranges)]
+            out += [(r, 1, steps(s[x]), b"", packed(sc[x])) for r, x in pieces_of(s, ranges)]
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["range", "kind", "keys", "w", "c"])
 
@@ -381,7 +395,6 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         if n:
             yield block(keys, words, starts)
 
-    numbers = lambda b: from_planes(b, "<u8")
     sent = "range int, kind int, keys binary, v0 binary, v1 binary, v2 binary, v3 binary, own int, many array<long>"
     kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int32(), pa.list_(pa.int64()))
     names = ["range", "kind", "keys", "v0", "v1", "v2", "v3", "own", "many"]
@@ -392,7 +405,7 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
     def merge_triples(r: int, frame: pa.Table) -> pa.Table:
         kind = frame.column("kind").to_numpy()
         tri, start = frame.filter(pa.array(kind == 0)), frame.filter(pa.array(kind == 1))
-        k, w, c = arrays(tri, "keys", from_steps), arrays(tri, "w", lambda b: from_planes(b, "<u4"), "<u4"), arrays(tri, "c", numbers)
+        k, w, c = arrays(tri, "keys", from_steps), arrays(tri, "w", lambda b: from_planes(b, "<u4"), "<u4"), arrays(tri, "c", unpacked)
         out: list[tuple] = []
         many = [0] * 4
         if len(k):
@@ -408,26 +421,26 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
             del t, order
             many = how_many(c)
             new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            out.append((r, 2, steps(k[new]), *[planes(v.astype("<u8")) for v in following(c, new)], r, None))
+            out.append((r, 2, steps(k[new]), *[packed(v) for v in following(c, new)], r, None))
             # the pairs that these trigrams end with: each has another first word
             s, n = summed(pairs.keys(pairs.second(k), w.astype(U)))
             n = n.astype("<u8")
-            out += [(q, 3, steps(s[x]), planes(n[x]), b"", b"", b"", r, None) for q, x in pieces_of(s, ranges)]
+            out += [(q, 3, steps(s[x]), packed(n[x]), b"", b"", b"", r, None) for q, x in pieces_of(s, ranges)]
         if start.num_rows:
-            s, n = summed(arrays(start, "keys", from_steps), arrays(start, "c", numbers))
-            out.append((r, 3, steps(s), planes(n.astype("<u8")), b"", b"", b"", r, None))
+            s, n = summed(arrays(start, "keys", from_steps), arrays(start, "c", unpacked))
+            out.append((r, 3, steps(s), packed(n), b"", b"", b"", r, None))
         out.append((r, 4, b"", b"", b"", b"", b"", r, many))
         return message(out)
 
     def merge_pairs(r: int, frame: pa.Table) -> pa.Table:
         kind = frame.column("kind").to_numpy()
         ends, contexts, told = (frame.filter(pa.array(kind == x)) for x in (3, 2, 4))
-        k, c = summed(arrays(ends, "keys", from_steps), arrays(ends, "v0", numbers))
+        k, c = summed(arrays(ends, "keys", from_steps), arrays(ends, "v0", unpacked))
         values = [c.astype(np.int64), *[np.zeros(len(k), np.int64) for _ in range(4)]]
         if contexts.num_rows:
             at = np.searchsorted(k, arrays(contexts, "keys", from_steps))
             for v, name in zip(values[1:], ("v0", "v1", "v2", "v3")):
-                v[at] = arrays(contexts, name, numbers)
+                v[at] = arrays(contexts, name, unpacked)
         write_array(f"{folder}/pair", r, within(k, ranges), values)
         out: list[tuple] = []
         if len(k):
@@ -447,8 +460,8 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         own = np.searchsorted(base, ids.astype(np.int64), side="right") - 1
         own[ids == LOW] = ranges
         new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        data = [ids, *[v.astype("<u8") for v in values]]
-        return [(int(own[i]), kind, steps(data[0][i:j]), *[planes(v[i:j]) for v in data[1:]], *[b""] * (5 - len(data)), 0, None) for i, j in zip(new, [*new[1:], len(ids)])]
+        data = [ids, *values]
+        return [(int(own[i]), kind, steps(data[0][i:j]), *[packed(v[i:j]) for v in data[1:]], *[b""] * (5 - len(data)), 0, None) for i, j in zip(new, [*new[1:], len(ids)])]
 
     def merge_contexts(r: int, frame: pa.Table) -> pa.Table:
         kind = frame.column("kind").to_numpy()
@@ -457,11 +470,11 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         values = [np.zeros(max(n, 1), np.int64) for _ in range(6)]
         first = START if r == ranges else int(base[max(r, 0)])
         if contexts.num_rows:
-            ids, *v = summed(arrays(contexts, "keys", from_steps), *[arrays(contexts, x, numbers) for x in ("v0", "v1", "v2", "v3")])
+            ids, *v = summed(arrays(contexts, "keys", from_steps), *[arrays(contexts, x, unpacked) for x in ("v0", "v1", "v2", "v3")])
             for x, y in zip(values[2:], v):
                 x[ids.astype(np.int64) - first] = y
         if ends.num_rows:
-            ids, v = summed(arrays(ends, "keys", from_steps), arrays(ends, "v0", numbers))
+            ids, v = summed(arrays(ends, "keys", from_steps), arrays(ends, "v0", unpacked))
             values[1][ids.astype(np.int64) - first] = v
         if n:
             code, rows = (np.load(f"{folder}/word/{r:08d}.{x}.npy") for x in ("code", "rows"))
