@@ -22,7 +22,7 @@ SPACE = "▁"
 #: Texts that tell other normalisers, prefixes and fallbacks apart.
 PROBES = ("the cat sat on the mat", "  two  spaces  ", "\ufb01 \u2460 \u00a0x\u3000y", "A\nb \n c\t", "\u6f22\U0001f600", "Stra\u00dfe na\u00efve caf\u0065\u0301")
 #: Entries of the caches of a worker: speed only, results don't depend on them.
-KEPT_WORDS, KEPT_PAIRS = 800_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 450_000, 400_000
 
 
 def merges(text: str, score: dict[str, float]) -> tuple[list[tuple[float, str, str]], int]:
@@ -73,8 +73,7 @@ class PrefixTable:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         over = [p for p in self.score if SPACE in p.lstrip(SPACE) or "\n" in p.lstrip(SPACE)[1:]]
-        self.ids_of = _Encoded(self)
-        self.text_of = _Decoded(self)
+        self.done = _Done(self)
         if over or any(self.encode(t) != sp.encode(t) for t in PROBES):
             raise ValueError(f"not a merge-type model that this encoder can take: {path}")
 
@@ -156,42 +155,31 @@ class PrefixTable:
             out.append(SPACE * (run - 1))
         return out
 
-    def encode_to_text(self, text: str) -> list[str]:
-        """Decimal ids, comma-joined, of each part of the text; none for an empty text."""
-        return list(map(self.ids_of.__getitem__, self.split(text))) if text else []
+    def encode_parts(self, text: str) -> list[tuple[str, str]]:
+        """(decimal ids, comma-joined; their text) of each part of the text; none for an empty text."""
+        return list(map(self.done.__getitem__, self.split(text))) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for part in self.encode_to_text(text) for x in part.split(",")]
-
-    def decode_parts(self, parts: list[str]) -> str:
-        out = "".join(map(self.text_of.__getitem__, parts))
-        return out[1:] if out[:1] == " " else out
+        return [int(x) for ids, _ in self.encode_parts(text) for x in ids.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         out = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if out[:1] == " " else out
 
 
-class _Encoded(dict):
-    def __init__(self, owner: PrefixTable):
-        self.owner = owner
-
-    def __missing__(self, part: str) -> str:
-        ids = ",".join(map(str, self.owner.segment(part if part[:1] == "\n" else SPACE + part)))
-        if len(self) < KEPT_WORDS:
-            self[part] = ids
-        return ids
-
+class _Done(dict):
+    """Part -> its ids and what they decode to: one entry for both, as a worker's memory is small."""
 
-class _Decoded(dict):
     def __init__(self, owner: PrefixTable):
         self.owner = owner
 
-    def __missing__(self, ids: str) -> str:
-        text = b"".join(map(self.owner.surface.__getitem__, map(int, ids.split(",")))).decode("utf-8", "replace")
+    def __missing__(self, part: str) -> tuple[str, str]:
+        ids = self.owner.segment(part if part[:1] == "\n" else SPACE + part)
+        text = b"".join(map(self.owner.surface.__getitem__, ids)).decode("utf-8", "replace")
+        found = (",".join(map(str, ids)), text)
         if len(self) < KEPT_WORDS:
-            self[ids] = text
-        return text
+            self[part] = found
+        return found
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,8 +208,9 @@ def encoded(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ..
         for batch in batches:
             n, ids, sums, texts = [], [], [], []
             for t in batch.column(len(names)):
-                parts = encoder.encode_to_text(t.as_py() or "")
-                joined, decoded = ",".join(parts), encoder.decode_parts(parts)
+                parts = encoder.encode_parts(t.as_py() or "")
+                joined, decoded = ",".join([x[0] for x in parts]), "".join([x[1] for x in parts])
+                decoded = decoded[1:] if decoded[:1] == " " else decoded
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 sums.append(hashlib.sha256(decoded.encode()).hexdigest())
