@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from varloom.llm import embedding_dedup, line_dedup, mixing, near_dedup, ngram_lm, pieces, quality_rules, rule_ensemble, secrets, sharding
+from varloom.llm import collocations, embedding_dedup, filter_audit, line_dedup, mixing, near_dedup, ngram_lm, pieces, quality_rules, rule_ensemble, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_lm_scoring": ngram_lm.op1_lm_scoring,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_quality_classifier": rule_ensemble.op9_quality_classifier,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_url_filter": url_filter.op13_url_filter,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op3_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_phrase_collocations": collocations.ORACLE, "op13_url_filter": url_filter.ORACLE}
