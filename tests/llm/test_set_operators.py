@@ -115,6 +115,10 @@ def test_near_dedup_without_ids(spark, documents):
     assert near_dedup.one_of_each(docs).count() == 2
 
 
+def test_band_width_follows_the_threshold():
+    assert [near_dedup.band_width(x) for x in (0.85, 0.8, 0.6, 0.3)] == [8, 6, 3, 2]
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     x = np.sort(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))

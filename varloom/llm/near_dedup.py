@@ -241,6 +241,11 @@ def group_links(rows: DataFrame, compare, percent: int, most: int, weight: int |
     return links.unionAll(more)
 
 
+def band_width(similarity: float, missed: float = 1e-4) -> int:
+    """Registers of a band: as many as leave a pair of that similarity without a common band with probability `missed` at most."""
+    return next((w for w in range(8, 0, -1) if (1 - similarity**w) ** (REGISTERS // w) <= missed), 1)
+
+
 def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
 
@@ -256,8 +261,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     classes = some.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     reps = some.join(classes, (some["id"] == F.col("rep")) & (some["f1"] == classes["f1"]) & (some["f2"] == classes["f2"]) & (some["n"] == classes["n"]), "left_semi").dropDuplicates(["id", "f1"])
     reps = written(reps, "reps")
-    # a pair at the threshold shares no band with probability under 0.0001
-    wide = 8 if percent >= 85 else 6
+    wide = band_width(percent / 100)
     bands = reps.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // wide - 1)), lambda i: F.xxhash64(F.substring(F.col("sketch"), i * (2 * wide) + 1, F.lit(2 * wide)), i))).alias("g"))
     shared = bands.groupBy("g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("g")
     # the lower byte of each register tells equal ones nearly as well
@@ -277,7 +281,7 @@ def near_components(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     forget(held)
     rooted = classes.join(links, "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("root"))
     out = all_rows.drop("sketch").join(rooted, ["n", "f1", "f2"], "left")
-    root = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id"))
+    root = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
 
 
