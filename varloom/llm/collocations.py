@@ -18,8 +18,8 @@ from varloom.sources.sinks import scratch
 LONGEST = 4
 #: Phrases of one trie at most: more of a level are dealt to several tries, each with a pass of its own.
 TRIE = 1 << 20
-#: Bits of a symbol; a word's code is two symbols, so a trie has at most 4 million words.
-DIGIT = 11
+#: Bits of a symbol: a word's code is three symbols. Nodes with at least so many children are placed one by one.
+DIGIT, WIDE = 8, 16
 #: Bytes that are hashed, positions that are walked, and steps that are summed at a time.
 SLICE, WINDOW, FLUSH = 1 << 21, 1 << 20, 3_000_000
 
@@ -129,7 +129,7 @@ def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Trie:
     """A double-array trie of phrases of one length, given as rows of word hashes.
 
-    A word is two symbols of its code, its place among the trie's words. The child of slot s by
+    A word is three symbols of its code, its place among the trie's words. The child of slot s by
     symbol c is slot base[s] + c if check of that slot is s; slot 0 leads nowhere, slot 1 is the root.
     """
 
@@ -137,106 +137,139 @@ class Trie:
         self.phrases, self.length = phrases, phrases.shape[1]
         self.words, codes = np.unique(phrases, return_inverse=True)
         codes = codes.reshape(phrases.shape)
-        width = 1 << DIGIT
         # logical nodes: the distinct prefixes, symbol by symbol; edges by parent
         node, nodes, edges = np.zeros(len(phrases), np.int64), 1, []
-        for k in range(2 * self.length):
-            symbol = codes[:, k // 2] >> DIGIT if k % 2 == 0 else codes[:, k // 2] & (width - 1)
-            keys, first, back = np.unique(node * width + symbol, return_index=True, return_inverse=True)
-            edges.append((node[first], symbol[first], nodes + np.arange(len(keys))))
-            node, nodes = nodes + back, nodes + len(keys)
+        for k in range(self.length):
+            for symbol in symbols(codes[:, k]):
+                keys, first, back = np.unique((node << DIGIT) + symbol, return_index=True, return_inverse=True)
+                edges.append((node[first], symbol[first], nodes + np.arange(len(keys))))
+                node, nodes = nodes + back, nodes + len(keys)
         parent, symbol, child = (np.concatenate(x) for x in zip(*edges))
         order = np.lexsort((symbol, parent))
         parent, symbol, child = parent[order], symbol[order], child[order]
         first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
-        base = self._placed(symbol, first, np.diff(np.append(first, len(parent))), width)
-        slot = np.ones(nodes, np.int64)
-        of = np.zeros(nodes, np.int64)
-        of[parent[first]] = base
+        slot, of = np.ones(nodes, np.int64), np.zeros(nodes, np.int64)
+        of[parent[first]] = placed(symbol, first, np.diff(np.append(first, len(parent))))
         slot[child] = of[parent] + symbol
-        size = int(slot.max()) + width + 1
+        size = int(slot.max()) + (2 << DIGIT)
         self.base, self.check, self.phrase = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         self.base[slot] = of
         self.check[slot[child]] = slot[parent]
         self.phrase[slot[node]] = np.arange(len(phrases))
+        # the state after the first word, by its code
+        self.first = self.step(np.ones(len(self.words), np.int32), np.arange(len(self.words)))
 
-    @staticmethod
-    def _placed(symbol: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
-        """A base for each node's symbols such that no two children share a slot: wide nodes first, each at the first place that fits."""
-        base, used, low, step = np.zeros(len(first), np.int64), np.zeros(4 * width, dtype=bool), width, 64
-        offsets = np.arange(step)[:, None]
-        for i in np.argsort(-count, kind="stable"):
-            if count[i] < 2:
-                break
-            own, at, looked = symbol[first[i] : first[i] + count[i]], low, 0
-            while True:
-                if at + step + width > len(used):
-                    used = np.concatenate([used, np.zeros(len(used), dtype=bool)])
-                fits = np.flatnonzero(~used[at + offsets + own].any(axis=1))
-                if len(fits):
-                    break
-                at, looked = at + step, looked + 1
-            base[i] = at + fits[0]
-            used[base[i] + own] = True
-            low += step * (looked > 16)
-        lone = np.flatnonzero(count == 1)
-        used = np.concatenate([used, np.zeros(len(lone) + 2 * width, dtype=bool)])
-        base[lone] = 2 * width + np.flatnonzero(~used[2 * width :])[: len(lone)] - symbol[first[lone]]
-        return base
-
-    def codes(self, hashes: np.ndarray) -> np.ndarray:
-        """Code of each word, -1 where the trie has none."""
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states that a word leads to."""
+        for symbol in symbols(code):
+            to = self.base[state] + symbol
+            state = np.where(self.check[to] == state, to, 0)
+        return state
 
     def at(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of the phrase that starts at each position, or -1: all states advance together, symbol by symbol."""
-        codes = self.codes(hashes)
-        state = np.where(codes >= 0, 1, 0)
-        for k in range(min(self.length, len(hashes))):
-            own = codes[k:]
-            state = np.where(own >= 0, state[: len(own)], 0)
-            for symbol in (own >> DIGIT, own & ((1 << DIGIT) - 1)):
-                step = self.base[state] + np.where(state > 0, symbol, 0)
-                state = np.where(self.check[step] == state, step, 0)
+        """Number of the phrase that starts at each position, or -1: all states that are alive advance together, word by word."""
+        codes = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        known = self.words[codes] == hashes
+        live = np.flatnonzero(known[: max(len(hashes) - self.length + 1, 0)])
+        state = self.first[codes[live]]
+        for k in range(1, self.length):
+            on = (state > 0) & known[live + k]
+            live, state = live[on], state[on]
+            state = self.step(state, codes[live + k])
         out = np.full(len(hashes), -1, np.int32)
-        if len(hashes) >= self.length:
-            out[: len(state)] = self.phrase[state]
+        out[live] = self.phrase[state]
         return out
 
 
-def steps(rows: DataFrame, trie, whole: bool, length: int) -> DataFrame:
-    """(w1 ... w{length + 1}, c): how often the phrases of a trie are followed by a word inside a piece, summed per shard.
+def symbols(code: np.ndarray) -> list[np.ndarray]:
+    """The three symbols of word codes, the highest first."""
+    return [code >> (DIGIT * i) & ((1 << DIGIT) - 1) for i in (2, 1, 0)]
 
-    These steps are the candidates of the next level. Where the trie is the whole level, the
-    step's own last words must be a phrase of the level too.
+
+def placed(symbol: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """A base for each node's symbols (count[i] of them from first[i], ascending) such that no two children share a slot.
+
+    Wide nodes come one after another; then the others, by size, are all tried on free slots at
+    once: those that find theirs free and claim them alone stay, the rest try again, and lone
+    children fill what is left.
+    """
+    rng, width = np.random.default_rng(7), 1 << DIGIT
+    base, end = np.zeros(len(first), np.int64), 2 * width
+    wide = np.flatnonzero(count >= WIDE)
+    low, high = symbol[first[wide]], symbol[first[wide] + count[wide] - 1]
+    ends = end + np.cumsum(high - low + 1)
+    base[wide] = ends - 1 - high
+    used = np.zeros((int(ends[-1]) if len(wide) else end) + width, dtype=bool)
+    used[:end] = True
+    for i in wide:
+        used[base[i] + symbol[first[i] : first[i] + count[i]]] = True
+    for size in range(WIDE - 1, 1, -1):
+        todo = np.flatnonzero(count == size)
+        while len(todo):
+            free = np.flatnonzero(~used[:-width])
+            if len(free) < 3 * size * len(todo):
+                used = np.concatenate([used, np.zeros(3 * size * len(todo) + width, dtype=bool)])
+                free = np.flatnonzero(~used[:-width])
+            own = symbol[first[todo][:, None] + np.arange(size)]
+            tried = rng.choice(free, len(todo), replace=False) - own[:, 0]
+            slots = tried[:, None] + own
+            claim = np.full(len(used), -1, np.int64)
+            claim[slots.ravel()] = np.repeat(np.arange(len(todo)), size)
+            good = ~used[slots].any(axis=1) & (claim[slots] == np.arange(len(todo))[:, None]).all(axis=1)
+            base[todo[good]] = tried[good]
+            used[slots[good]] = True
+            todo = todo[~good]
+    lone = np.flatnonzero(count == 1)
+    used = np.concatenate([used, np.zeros(len(lone), dtype=bool)])
+    base[lone] = np.flatnonzero(~used)[: len(lone)] - symbol[first[lone]]
+    return base
+
+
+def steps(rows: DataFrame, trie, whole: bool, length: int, ahead: int) -> DataFrame:
+    """(w1 ... w{length + ahead}, c): how often the phrases of a trie go on by one word (the last columns null) up to `ahead` inside a piece, summed per shard.
+
+    These steps are the candidates of the next levels. Where the trie is the whole level, the
+    words of a step that end in each of its words must be phrases of the level too.
     """
-    names = [f"w{i + 1}" for i in range(length + 1)]
+    names = [f"w{i + 1}" for i in range(length + ahead)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie.value
 
         def flush() -> pa.RecordBatch:
-            words, code = np.unique(np.concatenate([x[1] for x in held]), return_inverse=True)
-            # a candidate's state is its phrase and its word; equal states are one bin
-            keys, state = np.unique(np.concatenate([x[0] for x in held]).astype(np.int64) * len(words) + code, return_inverse=True)
-            path = t.phrases[keys // len(words)]
-            return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(path[:, i]).view(np.int64)) for i in range(length)], pa.array(words[keys % len(words)].view(np.int64)), pa.array(np.bincount(state).astype(np.int64))], [*names, "c"])
+            phrase, *after = (np.concatenate(x) for x in zip(*held))
+            words, code = np.unique(np.concatenate(after), return_inverse=True)
+            # a candidate's state is its phrase and its further words; equal states are one bin
+            key = phrase.astype(np.int64)
+            for c in np.split(code, ahead):
+                key = key * len(words) + c
+            key, state = np.unique(key, return_inverse=True)
+            tail = []
+            rest = key
+            for _ in range(ahead):
+                tail.insert(0, words[rest % len(words)])
+                rest = rest // len(words)
+            path = t.phrases[rest]
+            cols = [pa.array(np.ascontiguousarray(path[:, i]).view(np.int64)) for i in range(length)]
+            cols += [pa.array(x.view(np.int64), mask=x == U(0)) for x in tail]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.bincount(state).astype(np.int64))], [*names, "c"])
 
         held, n = [], 0
         for batch in batches:
             for hashes, pieces, *_ in tokens(batch):
                 for lo in range(0, len(hashes), WINDOW):
-                    h, piece = hashes[lo : lo + WINDOW + length], pieces[lo : lo + WINDOW + length]
+                    h, piece = hashes[lo : lo + WINDOW + length + ahead], pieces[lo : lo + WINDOW + length + ahead]
                     found = t.at(h)
-                    ends = np.arange(min(WINDOW, max(len(h) - length, 0)))
-                    ok = (found[ends] >= 0) & (piece[ends] == piece[ends + length])
-                    if whole:
-                        ok &= found[ends + 1] >= 0
-                    ends = ends[ok]
-                    if len(ends):
-                        held.append((found[ends], h[ends + length]))
-                        n += len(ends)
+                    ends = np.flatnonzero(found[:WINDOW] >= 0)
+                    for k in range(1, ahead + 1):
+                        ends = ends[ends + length + k - 1 < len(h)]
+                        ok = piece[ends] == piece[ends + length + k - 1]
+                        if whole:
+                            ok &= found[ends + k] >= 0
+                        ends = ends[ok]
+                        if len(ends):
+                            held.append((found[ends], *[h[ends + length + i] if i < k else np.zeros(len(ends), U) for i in range(ahead)]))
+                            n += len(ends)
                     if n >= FLUSH:
                         yield flush()
                         held, n = [], 0
@@ -246,11 +279,15 @@ def steps(rows: DataFrame, trie, whole: bool, length: int) -> DataFrame:
     return rows.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "c"]))
 
 
-def next_level(rows: DataFrame, level: DataFrame, length: int, least: int, most: int) -> DataFrame:
-    """Phrases of one word more that occur `least` times: one pass over the texts for each trie of the level."""
+def next_levels(rows: DataFrame, level: DataFrame, length: int, longest: int, least: int, most: int) -> list[DataFrame]:
+    """Phrases of one word more that occur `least` times, and of two words more where one trie holds a whole level of pairs.
+
+    One pass over the texts for each trie of the level.
+    """
     spark, names = rows.sparkSession, [f"w{i + 1}" for i in range(length)]
-    longer = [*names, f"w{length + 1}"]
     tries = max(1, -(-level.count() // most))
+    ahead = 2 if tries == 1 and 1 < length < longest - 1 else 1
+    longer = [f"w{i + 1}" for i in range(length + ahead)]
     own = F.pmod(F.xxhash64(*names), F.lit(tries))
     out = None
     for i in range(tries):
@@ -258,11 +295,15 @@ def next_level(rows: DataFrame, level: DataFrame, length: int, least: int, most:
         if not len(got):
             continue
         sent = spark.sparkContext.broadcast(Trie(np.stack([got.column(c).to_numpy().view(U) for c in names], axis=1)))
-        sums = steps(rows, sent, tries == 1, length).groupBy(*longer).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
+        sums = steps(rows, sent, tries == 1, length, ahead).groupBy(*longer).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
         part = written(sums, f"phrases-{length + 1}")
         sent.destroy()
         out = part if out is None else out.unionAll(part)
-    return out if out is not None else spark.createDataFrame([], ", ".join(f"{x} long" for x in [*longer, "f"]))
+    if out is None:
+        out = spark.createDataFrame([], ", ".join(f"{x} long" for x in [*longer, "f"]))
+    if ahead == 1:
+        return [out]
+    return [out.filter(F.col(longer[-1]).isNull()).drop(longer[-1]), out.filter(F.col(longer[-1]).isNotNull())]
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, top: int | None = 2000, longest: int = LONGEST, share: int = 80, most: int = TRIE) -> DataFrame:
@@ -281,8 +322,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
         if not words.groupBy("h").agg(F.count("*").alias("k"), F.max("f").alias("f")).filter((F.col("k") > 1) & (F.col("f") >= least)).isEmpty():
             raise ValueError("two words share a hash")
         levels = [level.select(F.col("h").alias("w1"), "f")]
-        for k in range(1, longest):
-            levels.append(next_level(rows, levels[-1], k, least, most))
+        while len(levels) < longest:
+            levels += next_levels(rows, levels[-1], len(levels), longest, least, most)
         flat = [x.select(F.array(*[f"w{i + 1}" for i in range(k + 1)]).alias("w"), F.col("f").alias("a")) for k, x in enumerate(levels)]
         known = flat[0]
         for x in flat[1:]:
