@@ -21,7 +21,9 @@ TRIE = 1 << 20
 #: Bits of a symbol: a word's code is three symbols. Nodes with at least so many children are placed one by one.
 DIGIT, WIDE = 8, 16
 #: Bytes that are hashed, positions that are walked, and steps that are summed at a time.
-SLICE, WINDOW, FLUSH = 1 << 21, 1 << 20, 3_000_000
+SLICE, WINDOW, FLUSH = 1 << 21, 1 << 20, 1_500_000
+#: Rows of a batch that a task hands on.
+ROWS = 100_000
 
 # What ends a piece, and what else ends a word.
 BREAKS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -236,23 +238,26 @@ def steps(rows: DataFrame, trie, whole: bool, length: int, ahead: int) -> DataFr
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie.value
 
-        def flush() -> pa.RecordBatch:
-            phrase, *after = (np.concatenate(x) for x in zip(*held))
-            words, code = np.unique(np.concatenate(after), return_inverse=True)
+        def flush() -> Iterator[pa.RecordBatch]:
+            words = np.unique(np.concatenate([w for _, *after in held for w in after]))
             # a candidate's state is its phrase and its further words; equal states are one bin
-            key = phrase.astype(np.int64)
-            for c in np.split(code, ahead):
-                key = key * len(words) + c
-            key, state = np.unique(key, return_inverse=True)
-            tail = []
-            rest = key
-            for _ in range(ahead):
-                tail.insert(0, words[rest % len(words)])
-                rest = rest // len(words)
-            path = t.phrases[rest]
-            cols = [pa.array(np.ascontiguousarray(path[:, i]).view(np.int64)) for i in range(length)]
-            cols += [pa.array(x.view(np.int64), mask=x == U(0)) for x in tail]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(np.bincount(state).astype(np.int64))], [*names, "c"])
+            key = np.concatenate([p for p, *_ in held]).astype(np.int64)
+            for i in range(1, ahead + 1):
+                key = key * len(words) + np.concatenate([np.searchsorted(words, x[i]) for x in held])
+            held.clear()
+            key.sort()
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            c = np.bincount(np.cumsum(new) - 1)
+            key = key[new]
+            for lo in range(0, len(key), ROWS):
+                rest, tail = key[lo : lo + ROWS], []
+                for _ in range(ahead):
+                    rest, last = np.divmod(rest, len(words))
+                    tail.insert(0, words[last])
+                path = t.phrases[rest]
+                cols = [pa.array(np.ascontiguousarray(path[:, i]).view(np.int64)) for i in range(length)]
+                cols += [pa.array(x.view(np.int64), mask=x == U(0)) for x in tail]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(c[lo : lo + ROWS].astype(np.int64))], [*names, "c"])
 
         held, n = [], 0
         for batch in batches:
@@ -271,10 +276,10 @@ def steps(rows: DataFrame, trie, whole: bool, length: int, ahead: int) -> DataFr
                             held.append((found[ends], *[h[ends + length + i] if i < k else np.zeros(len(ends), U) for i in range(ahead)]))
                             n += len(ends)
                     if n >= FLUSH:
-                        yield flush()
-                        held, n = [], 0
+                        yield from flush()
+                        n = 0
         if n:
-            yield flush()
+            yield from flush()
 
     return rows.mapInArrow(count, ", ".join(f"{x} long" for x in [*names, "c"]))
 
