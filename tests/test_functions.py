@@ -93,3 +93,24 @@ def test_windows_cross_chunks(spark):
     got = {(r["chrom"], r["pos"]): r["sequence"] for r in repeats.windows_at(pts, ref, 50).collect()}
     want = {(c, p): seq.upper()[max(0, p - 31) : p + 30] if c == "1" else "" for c, p in got}
     assert got == want
+
+
+def test_four_digits_equal_exact_rounding(spark):
+    import random
+    import struct
+
+    from varloom.functions.values import four_digits, four_text
+
+    rng = random.Random(16)
+    x = [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63)))[0] for _ in range(20000)]
+    x += [rng.choice([-1, 1]) * rng.random() * 10 ** rng.randint(-12, 18) for _ in range(80000)]
+    x += [k / 16 for k in range(-3000, 20000)] + [k / 32 for k in range(20000)]  # ties
+    x += [float(f"{rng.randint(1000, 9999)}5e{rng.randint(-300, 300)}") for _ in range(10000)]  # hardly past or short of the middle
+    x += [10.0**k for k in range(-300, 300)] + [9.9995 * 10.0**k for k in range(-300, 300)] + [0.0, -0.5]
+    x = [v for v in x if abs(v) < 1e307 and (v == 0 or abs(v) > 1e-307)]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for r in df.select("x", four_digits(F.col("x")).alias("d"), four_text(F.col("x")).alias("t")).collect():
+        want = float(f"{r.x:.4g}")
+        assert r.d == want and r.t == repr(want), r.x
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(four_text(F.col("x")).alias("t"), four_digits(F.col("x")).alias("d")).collect()
+    assert all(r.t is None and r.d is None for r in odd)

@@ -31,10 +31,51 @@ def test_interval_join_equals_brute_force(spark):
     spans = [(i, str(rng.randint(1, 3)), a, a + rng.randint(0, 90)) for i in range(80) for a in [rng.randint(0, 500)]]
     p = spark.createDataFrame(pts, "p int, c string, at long")
     s = spark.createDataFrame(spans, "s int, c string, lo long, hi long")
-    got = sorted((r["p"], r["s"]) for r in nominate.interval_hits(p, s, ["c"], "at", "lo", "hi", 40).collect())
+    got = sorted((r["p"], r["s"]) for r in nominate.interval_hits(p, s, ["c"], "at", "lo", "hi").collect())
     assert got == sorted((x[0], y[0]) for x in pts for y in spans if x[1] == y[1] and y[2] <= x[2] <= y[3])
 
 
+def test_long_spans_stay_few_rows(spark):
+    rng = random.Random(6)
+    pts = [(i, "c", rng.randint(0, 10**8)) for i in range(400)] + [(400, "c", 0), (401, None, 5), (402, "c", None)]
+    spans = [(i, "c", a, a + rng.choice([0, 1, 15, 16, 255, 256, 10**4, 10**6, 10**8]) + rng.randint(-1, 1)) for i in range(150) for a in [rng.choice([rng.randint(-50, 10**8), pts[rng.randrange(400)][2] - rng.randint(0, 300)])]]
+    p = spark.createDataFrame(pts, "p int, c string, at long")
+    s = spark.createDataFrame(spans, "s int, c string, lo long, hi long")
+    got = sorted((r["p"], r["s"]) for r in nominate.interval_hits(p, s, ["c"], "at", "lo", "hi").collect())
+    want = sorted((x[0], y[0]) for x in pts for y in spans if x[1] == y[1] and x[2] is not None and y[2] <= x[2] <= y[3])
+    assert got == want and len(want) > 1000
+    assert nominate.interval_hits(p, s.limit(0), ["c"], "at", "lo", "hi").count() == 0
+
+
+def test_rank_of_a_large_group_equals_the_window(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["big"] * 30 + ["a", None]), f"v{i % 1500}", rng.choice([None, float(rng.randint(0, 40)), rng.random()]), float(rng.randint(0, 3)) if i % 9 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "sample_id string, varId string, x double, y double").repartition(6)
+    got = sorted(map(tuple, ranks.ranks_of_any_size(df, {"rx": "x", "ry": "y"}).collect()), key=repr)
+    best = {}
+    for s, v, *xy in rows:
+        for i, x in enumerate(xy):
+            if x is not None:
+                best[s, v, i] = max(x, best.get((s, v, i), x))
+    held = {}
+    for (s, _, i), x in best.items():
+        held.setdefault((s, i), []).append(x)
+    rank = lambda s, v, i: sum(x >= best[s, v, i] for x in held[s, i]) if (s, v, i) in best else None
+    assert got == sorted(((*r, rank(r[0], r[1], 0), rank(r[0], r[1], 1)) for r in rows), key=repr)
+    assert ranks.ranks_of_any_size(df.limit(0), {"rx": "x"}).count() == 0
+
+
+def test_region_counts_equal_brute_force(spark):
+    rng = random.Random(8)
+    pts = [(rng.choice(["1"] * 9 + ["2"]), rng.randint(0, 300), rng.choice([True, False, None]), rng.random() < 0.3) for _ in range(2000)] + [("1", None, True, True), (None, 5, True, True)]
+    regions = [(i, rng.choice("123"), a, a + rng.choice([0, 3, 50, 400, -5])) for i in range(200) for a in [rng.randint(-20, 320)]] + [(900, "1", 7, 9), (901, "1", 7, 9), (902, None, 1, 2), (903, "1", None, 4)]
+    r = spark.createDataFrame(regions, "id int, c string, lo long, hi long")
+    p = spark.createDataFrame(pts, "c string, at long, bad boolean, fine boolean").repartition(5)
+    got = {x["id"]: (x["n_harmful"], x["n_benign"]) for x in rna.burden(r, p, ["c"], "lo", "hi", "at", "bad", "fine", ["id"]).collect()}
+    inside = lambda c, a, b, k: sum(1 for x in pts if c is not None and x[0] == c and a is not None and x[1] is not None and a <= x[1] <= b and x[k])
+    assert got == {i: (inside(c, a, b, 2), inside(c, a, b, 3)) for i, c, a, b in regions}
+
+
 def test_transcripts(spark):
     df = spark.createDataFrame([("s", "v", "G", "NM_1.2:c.1", "p.1"), ("s", "v", "G", "NM_2.1:c.2", "-"), ("s", "w", "G", None, None)], "sample_id string, varId string, geneSymbol string, HGVSc string, HGVSp string")
     mane = spark.createDataFrame([("NM_2.7",)], "transcript_id string")
@@ -86,7 +127,7 @@ def test_allele_support_and_burden(spark):
     assert got == {"v1": (2, 2, 2, 1), "v2": (2, 1, 0, 0), "v3": (0, 0, 0, 0)}
     r = spark.createDataFrame([(1, "1", 0, 10), (2, "1", 20, 30), (3, "1", 0, 10)], "id int, c string, lo long, hi long")
     p = spark.createDataFrame([("1", 0, True, False), ("1", 10, False, True), ("1", 11, True, False)], "c string, at long, bad boolean, fine boolean")
-    got = {x["id"]: (x["n_harmful"], x["n_benign"], x["ratio"]) for x in rna.burden(r, p, ["c"], "lo", "hi", "at", "bad", "fine", 7, ["id"]).collect()}
+    got = {x["id"]: (x["n_harmful"], x["n_benign"], x["ratio"]) for x in rna.burden(r, p, ["c"], "lo", "hi", "at", "bad", "fine", ["id"]).collect()}
     assert got == {1: (1, 1, 1.0), 2: (0, 0, None), 3: (1, 1, 1.0)}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from xml.etree.ElementTree import Element, ParseError, fromstring
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from varloom.functions.values import clipped, number, shown
+from varloom.functions.values import clipped, four_text, let, number, shown
 from varloom.operators.ranks import joined_text
 
 # Keys of each reviewer's answer, with what stands for a missing one.
@@ -55,9 +56,13 @@ def ask(kind: str, *blocks) -> Column:
     return told(*blocks, request(kind))
 
 
-def four(c: Column) -> Column:
-    """Four significant digits, or NA."""
-    return F.when(number(c).isNull(), F.lit("NA")).otherwise(F.format_string("%.3e", number(c)))
+def fours(columns: list[str], text: Callable[[Callable[[str], Column]], Column]) -> Column:
+    """A text out of columns shown with four significant digits, or NA: text gets a function from a column's name to what is shown.
+
+    All go through one expression over their array, so the plan holds the rounding once.
+    """
+    shown_ = F.transform(F.array(*[number(F.col(c)) for c in columns]), lambda x: F.coalesce(four_text(x), F.lit("NA")))
+    return let(shown_, lambda t: text(lambda c: F.get(t, F.lit(columns.index(c)))))
 
 
 def whole(c: Column) -> Column:
@@ -87,32 +92,41 @@ def inheritance(recessive: Column, dominant: Column) -> Column:
     return F.when(text == "", "unknown").otherwise(text)
 
 
-def gene_block() -> Column:
+# Names of columns that the RNA prompts show.
+GENE_NUMBERS = ["gnomadGenePLI", "gnomadGeneOELof", "gnomadGeneOELofUpper"]
+EXPRESSION_NUMBERS = ["Outrider_RawZscore", "Outrider_zScore", "Outrider_pValue"]
+JUNCTION = ["jaccard", "predictedMeans_jaccard", "delta_jaccard", "rawOtherCounts_jaccard", "psi5", "rawOtherCounts_psi5", "delta_psi5", "psi3", "rawOtherCounts_psi3", "delta_psi3", "rawCountsJnonsplit"]
+
+
+def gene_block(four: Callable[[str], Column]) -> Column:
     """Constraint metrics, inheritance and dosage of a gene."""
     known = F.when((F.col("haploinsufficiency") != "") | (F.col("triplosensitivity") != ""), told("\nHaploinsufficiency: ", F.col("haploinsufficiency"), "\nTriplosensitivity: ", F.col("triplosensitivity")))
-    return told("\nInheritance: ", inheritance(F.col("recessive"), F.col("dominant")), "\npLI: ", four(F.col("gnomadGenePLI")), "\no/e LOF: ", four(F.col("gnomadGeneOELof")), " (upper ", four(F.col("gnomadGeneOELofUpper")), ")", known)
+    return told("\nInheritance: ", inheritance(F.col("recessive"), F.col("dominant")), "\npLI: ", four("gnomadGenePLI"), "\no/e LOF: ", four("gnomadGeneOELof"), " (upper ", four("gnomadGeneOELofUpper"), ")", known)
 
 
-def expression_block() -> Column:
-    o = lambda c: F.col(f"Outrider_{c}")
-    return told("\nExpression: raw counts ", whole(o("rawcounts")), ", raw z ", four(o("RawZscore")), ", z ", four(o("zScore")), ", p ", four(o("pValue")))
+def expression_block(four: Callable[[str], Column]) -> Column:
+    return told("\nExpression: raw counts ", whole(F.col("Outrider_rawcounts")), ", raw z ", four("Outrider_RawZscore"), ", z ", four("Outrider_zScore"), ", p ", four("Outrider_pValue"))
 
 
 def rna_gene_prompt() -> Column:
-    return ask("rna_gene", "RNA evidence of gene ", F.col("geneSymbol"), ":", gene_block(), "\nSplicing p of the gene: ", four(F.col("Fraser_GenePvalue")), expression_block())
+    def text(four: Callable[[str], Column]) -> Column:
+        return ask("rna_gene", "RNA evidence of gene ", F.col("geneSymbol"), ":", gene_block(four), "\nSplicing p of the gene: ", four("Fraser_GenePvalue"), expression_block(four))
 
-
-JUNCTION = ["jaccard", "predictedMeans_jaccard", "delta_jaccard", "rawOtherCounts_jaccard", "psi5", "rawOtherCounts_psi5", "delta_psi5", "psi3", "rawOtherCounts_psi3", "delta_psi3", "rawCountsJnonsplit"]
+    return fours([*GENE_NUMBERS, *EXPRESSION_NUMBERS, "Fraser_GenePvalue"], text)
 
 
 def rna_variant_prompt() -> Column:
     """Junction, expression where tested, and allele counts where tested at a heterozygous site."""
     f = lambda c: F.col(f"Fraser_{c}")
-    junction = told("\nJunction ", F.col("Chromosome"), ":", whole(f("junction_start")), "-", whole(f("junction_end")), ", p ", four(f("pvaluesBetaBinomial_jaccard")), *[x for c in JUNCTION for x in (f", {c} ", four(f(c)))])
-    burden = told("\nHarmful, benign records inside: ", F.col("n_harmful").cast("string"), ", ", F.col("n_benign").cast("string"), ", ratio ", four(F.col("ratio")))
-    ase = F.when(number(F.col("ASE_PVAL")).isNotNull() & (F.col("zyg") == 1), told("\nAlleles: p ", four(F.col("ASE_PVAL")), ", ref ", whole(F.col("ASE_REF_COUNT")), ", alt ", whole(F.col("ASE_ALT_COUNT")), ", alt ratio ", four(F.col("ASE_ALT_RATIO"))))
-    expressed = F.when(number(F.col("Outrider_pValue")).isNotNull(), expression_block())
-    return ask("rna_variant", "RNA evidence of ", F.col("geneSymbol"), " ", F.col("varId"), ":", gene_block(), junction, burden, expressed, ase)
+
+    def text(four: Callable[[str], Column]) -> Column:
+        junction = told("\nJunction ", F.col("Chromosome"), ":", whole(f("junction_start")), "-", whole(f("junction_end")), ", p ", four("Fraser_pvaluesBetaBinomial_jaccard"), *[x for c in JUNCTION for x in (f", {c} ", four(f"Fraser_{c}"))])
+        burden = told("\nHarmful, benign records inside: ", F.col("n_harmful").cast("string"), ", ", F.col("n_benign").cast("string"), ", ratio ", four("ratio"))
+        ase = F.when(number(F.col("ASE_PVAL")).isNotNull() & (F.col("zyg") == 1), told("\nAlleles: p ", four("ASE_PVAL"), ", ref ", whole(F.col("ASE_REF_COUNT")), ", alt ", whole(F.col("ASE_ALT_COUNT")), ", alt ratio ", four("ASE_ALT_RATIO")))
+        expressed = F.when(number(F.col("Outrider_pValue")).isNotNull(), expression_block(four))
+        return ask("rna_variant", "RNA evidence of ", F.col("geneSymbol"), " ", F.col("varId"), ":", gene_block(four), junction, burden, expressed, ase)
+
+    return fours([*GENE_NUMBERS, *EXPRESSION_NUMBERS, "Fraser_pvaluesBetaBinomial_jaccard", *[f"Fraser_{c}" for c in JUNCTION], "ratio", "ASE_PVAL", "ASE_ALT_RATIO"], text)
 
 
 def triage_prompt(gene: Column, items: Column) -> Column:

@@ -52,30 +52,35 @@ def min_per_name(df: DataFrame, names: str, value: str, by: list[str], name: str
     return df.filter(F.col(names).isNotNull()).select(*by, F.explode(split).alias(name), value).groupBy(*by, name).agg(F.min(value).alias(out))
 
 
-def interval_hits(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, width: int) -> DataFrame:
-    """Inner join of points and spans with start <= at <= end and equal `by`.
-
-    Spans are dealt to bins of `width`, so the join is on equal keys, and no key holds more
-    than the points of one bin. A point lies in one bin only, so no pair comes twice.
-    """
-    p = points.withColumn("__bin", F.floor(F.col(at) / width))
-    s = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    return p.join(s, [*by, "__bin"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__bin")
+#: Cells of a level of interval_hits() are so many times as wide as those of the level below.
+GROWTH = 16
 
 
-def bin_width(spans: DataFrame, start: str, end: str, share: float = 0.9) -> int:
-    """A width of bins that most spans fit in; longer ones are dealt to several bins."""
-    got = spans.agg(F.percentile_approx(F.col(end) - F.col(start) + 1, share, 1000).alias("w")).first()["w"]
-    return max(int(got or 1), 1)
-
-
-def best_junction(variants: DataFrame, junctions: DataFrame, by: list[str], value: str, width: int | None = None) -> DataFrame:
-    """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later.
+def interval_hits(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Inner join of points and spans with start <= at <= end and equal `by`.
 
-    Bins are as wide as most junctions, so a variant meets few that don't hold it.
+    A span goes to the level whose cells are just as wide as it or wider, there to the cell it
+    starts in and, if it leaves that one, to the next: two rows at most, however long it is.
+    A point looks into its one cell of each level that has spans (of 16 at most), so no pair
+    comes twice, and a long span meets no more points than lie within its own length of it.
     """
+    width = F.col(end) - F.col(start) + 1
+    # whole powers of a power of two, compared as whole numbers
+    powers = [GROWTH**k for k in range(16) if GROWTH**k < 1 << 63]
+    level = sum((F.when(width > p, 1).otherwise(0) for p in powers), F.lit(0))
+    s = spans.filter(F.col(start) <= F.col(end)).withColumn("__level", level)
+    used = sorted(r["__level"] for r in s.select("__level").distinct().collect())
+    cell = lambda c, k: F.floor(F.col(c) / F.element_at(F.array(*[F.lit(float(p)) for p in powers]), k + 1)).cast("long")
+    s = s.withColumn("__cell", F.explode(F.array_distinct(F.array(cell(start, F.col("__level")), cell(end, F.col("__level"))))))
+    cells = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(at) / float(powers[k])).cast("long").alias("cell")) for k in used]) if used else F.array().cast("array<struct<level:int,cell:bigint>>")
+    p = points.withColumn("__in", F.explode(cells)).withColumn("__level", F.col("__in.level")).withColumn("__cell", F.col("__in.cell")).drop("__in")
+    return p.join(s, [*by, "__level", "__cell"]).filter(F.col(at).between(F.col(start), F.col(end))).drop("__level", "__cell")
+
+
+def best_junction(variants: DataFrame, junctions: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later."""
     known = junctions.filter(F.col(value).isNotNull())
-    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos").distinct(), known, ["sample_id", "Chromosome"], "Pos", "start", "end", width or bin_width(known, "start", "end"))
+    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos").distinct(), known, ["sample_id", "Chromosome"], "Pos", "start", "end")
     others = [c for c in hits.columns if c not in (*by, "Chromosome", "Pos", value, "start", "end")]
     best = hits.groupBy(*by).agg(F.min(F.struct(value, "start", "end", *others)).alias("b")).select(*by, "b.*")
     return best.withColumnRenamed("start", "Fraser_junction_start").withColumn("Fraser_junction_end", F.col("end") + 1).drop("end")
@@ -90,7 +95,9 @@ def enriched(df: DataFrame, expression: DataFrame, splicing: DataFrame, ase: Dat
     spl = splicing.withColumnsRenamed({"sampleID": "sample_id", "seqnames": "Chromosome"}).filter(F.col("hgnc_symbol").isNotNull())
     genes = min_per_name(spl, "hgnc_symbol", p, ["sample_id"], "geneSymbol", "Fraser_GenePvalue")
     values = [c for c in spl.columns if c not in ("sample_id", "Chromosome", "start", "end", "strand", "hgnc_symbol")]
-    df = located(df.join(exp, ["sample_id", "geneSymbol"], "left"))
-    best = best_junction(df, spl.drop("strand", "hgnc_symbol").distinct(), ["sample_id", "varId"], p).withColumnsRenamed({c: f"Fraser_{c}" for c in values})
+    # places come from the bare variants, so that expression is joined once
+    df = located(df)
+    best = best_junction(df.select("sample_id", "varId", "Chromosome", "Pos"), spl.drop("strand", "hgnc_symbol"), ["sample_id", "varId"], p).withColumnsRenamed({c: f"Fraser_{c}" for c in values})
+    df = df.join(exp, ["sample_id", "geneSymbol"], "left")
     counts = ase.select(F.col("sampleID").alias("sample_id"), "varId", *[F.col(c).alias(n) for c, n in {"REF": "ASE_REF", "ALT": "ASE_ALT", "REF_COUNT": "ASE_REF_COUNT", "ALT_COUNT": "ASE_ALT_COUNT", "ALT_RATIO": "ASE_ALT_RATIO", "PVAL": "ASE_PVAL", "IS_MAE": "IS_MAE"}.items()])
     return df.join(genes, ["sample_id", "geneSymbol"], "left").join(best, ["sample_id", "varId"], "left").join(counts, ["sample_id", "varId"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.sources.sinks import materialised
+
 
 def best_rows(df: DataFrame, by: list[str], order: list, keep: int = 1, rank: str | None = None) -> DataFrame:
     """The first `keep` rows of each group; rank names the kept position, if wanted."""
@@ -26,6 +28,42 @@ def max_ranks(df: DataFrame, scores: dict[str, str], key: str = "varId", by: str
     return df.join(per.drop(*[f"__{r}" for r in scores]), [by, key])
 
 
+def running_totals(rows: DataFrame, by: list[str], order: list, sums: list[str], name: str = "running") -> DataFrame:
+    """Adds, per column of sums, its total over the group's rows up to this one, for groups of any size.
+
+    Rows are dealt to ranges of (by, order) and written once; each range adds up its own rows
+    and gets the total of the ranges before it, of which a group has as many as there are
+    tasks at most. Rows of equal order are to be one row beforehand.
+    """
+    dealt = materialised(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), name)
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    heads = dealt.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    heads = heads.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__range").alias("__at"), *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = Window.partitionBy("__range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("__range") == F.col("__at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    out = dealt.withColumns({f"__in_{c}": F.sum(c).over(inside) for c in sums}).join(heads, same)
+    return out.select(*rows.columns, *[(F.col(f"__in_{c}") + F.col(f"__{c}")).alias(f"{c}_so_far") for c in sums])
+
+
+def ranks_of_any_size(df: DataFrame, scores: dict[str, str], key: str = "varId", by: str = "sample_id") -> DataFrame:
+    """max_ranks() where a group may be too large for a task: no window holds more than a range of it.
+
+    Equal scores of a group are one row with their number, so a rank is a running total of
+    numbers, the same for all that tie, and ties over the edge of a range can't occur.
+    """
+    names = list(scores)
+    per = df.groupBy(by, key).agg(*[F.max(s).alias(r) for r, s in scores.items()])
+    cells = per.select(by, key, F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(r).alias("score")) for i, r in enumerate(names)])).alias("s")).select(by, key, "s.*").filter("score is not null")
+    counts = cells.groupBy(by, "which", "score").agg(F.count("*").alias("n"))
+    ranked = running_totals(counts, [by, "which"], [F.col("score").desc()], ["n"], "ranks")
+    ranked = ranked.select(F.col(by).alias("__by"), F.col("which").alias("__which"), F.col("score").alias("__score"), F.col("n_so_far").cast("int").alias("rank"))
+    at = cells.join(ranked, F.col(by).eqNullSafe(F.col("__by")) & (F.col("which") == F.col("__which")) & (F.col("score") == F.col("__score")))
+    wide = at.groupBy(F.col(by).alias("__by"), F.col(key).alias("__key")).agg(*[F.max(F.when(F.col("which") == i, F.col("rank"))).alias(r) for i, r in enumerate(names)])
+    return df.join(wide, F.col(by).eqNullSafe(F.col("__by")) & F.col(key).eqNullSafe(F.col("__key")), "left").drop("__by", "__key")
+
+
 def place(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
     """1, 2, ... in each group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

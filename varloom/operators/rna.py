@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.values import known, number, yes
+from varloom.functions.values import known, yes
+from varloom.operators.ranks import running_totals
 
 
 def gated(df: DataFrame, variant_splice: str, gene_splice: str, z: str, ase: str, p: float = 0.1, outlier: float = 1.5) -> DataFrame:
@@ -26,17 +27,27 @@ def first_known(df: DataFrame, by: list[str], order, first: list[str], least: li
     return df.groupBy(*by).agg(*[F.min_by(known(F.col(c)), F.when(known(F.col(c)).isNotNull(), o)).alias(c) for c in first], *[F.min(c).alias(c) for c in least])
 
 
-def burden(regions: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, bad: str, benign: str, width: float, keys: list[str]) -> DataFrame:
+def burden(regions: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, bad: str, benign: str, keys: list[str]) -> DataFrame:
     """Per distinct region the counts of harmful and of benign points inside [start, end], and their ratio; null over none.
 
-    Regions are dealt to bins like interval_hits, whose join this is, and counted before they meet their rows again.
+    Points and the edges of regions are one sorted sequence with running counts: a region's
+    count is the one at its end less the one before its start, so no region meets its points.
+    A point counts once per row, null marks count as no; a region that ends before it starts holds none.
     """
-    r = regions.select(*by, start, end).distinct().withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    p = points.withColumn("__bin", F.floor(F.col(at) / width))
-    hit = r.join(p, [*by, "__bin"], "left")
-    inside = F.col(at).between(F.col(start), F.col(end))
-    per = hit.groupBy(*by, start, end).agg(F.count(F.when(inside & F.col(bad), 1)).alias("n_harmful"), F.count(F.when(inside & F.col(benign), 1)).alias("n_benign"))
-    return regions.select(*keys, *by, start, end).join(per, [*by, start, end]).withColumn("ratio", F.try_divide("n_harmful", "n_benign"))
+    asked = regions.select(*by, start, end).distinct()
+    # at one place: first the starts, then the points, then the ends
+    edges = F.array(F.struct(F.col(start).alias("at"), F.lit(0).alias("kind")), F.struct(F.greatest(start, end).alias("at"), F.lit(2).alias("kind")))
+    none = F.lit(0).cast("long")
+    stops = asked.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, F.explode(edges).alias("e")).select(*by, F.col("e.at").cast("long").alias("at"), "e.kind", none.alias("bad"), none.alias("benign")).distinct()
+    seen = points.filter(F.col(at).isNotNull()).groupBy(*by, F.col(at).cast("long").alias("at")).agg(F.count(F.when(F.col(bad), 1)).alias("bad"), F.count(F.when(F.col(benign), 1)).alias("benign")).select(*by, "at", F.lit(1).alias("kind"), "bad", "benign")
+    totals = running_totals(stops.unionByName(seen), by, ["at", "kind"], ["bad", "benign"], "burden").filter("kind <> 1").select(*by, F.col("at").alias("__at"), F.col("kind").alias("__kind"), "bad_so_far", "benign_so_far")
+    sides = asked.select(*by, start, end, F.explode(edges).alias("e")).select(*by, start, end, F.col("e.at").cast("long").alias("__at"), F.col("e.kind").alias("__kind"))
+    sign = F.when(F.col("__kind") == 2, 1).otherwise(-1)
+    per = sides.join(totals, [*by, "__at", "__kind"]).groupBy(*by, start, end).agg(F.sum(sign * F.col("bad_so_far")).alias("n_harmful"), F.sum(sign * F.col("benign_so_far")).alias("n_benign"))
+    empty = F.col(start) > F.col(end)
+    per = per.withColumns({c: F.when(empty, 0).otherwise(F.col(c)) for c in ("n_harmful", "n_benign")})
+    out = regions.select(*keys, *by, start, end).join(per, [*by, start, end], "left").fillna(0, ["n_harmful", "n_benign"])
+    return out.withColumn("ratio", F.try_divide("n_harmful", "n_benign"))
 
 
 def allele_support(variants: DataFrame, bases: DataFrame, by: list[str]) -> DataFrame:

@@ -32,7 +32,7 @@ FOUND = f"""SELECT {SAMPLE} AS sample_id, 'G' || cast(l_partkey % 400 as string)
 
 
 def four(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN 'NA' ELSE printf('%.3e', CAST({x} AS DOUBLE)) END"
+    return f"CASE WHEN {x} IS NULL THEN 'NA' ELSE CAST(CAST(printf('%.3e', CAST({x} AS DOUBLE)) AS DOUBLE) AS VARCHAR) END"
 
 
 def whole(x: str) -> str:
@@ -137,7 +137,7 @@ JUNCTION_SQL = " || ".join(f"', {c} ' || {four('Fraser_' + c)}" for c in ("jacca
     RNA_ROWS + f""", u AS (SELECT Chromosome, Fraser_junction_start AS s, Fraser_junction_end AS e, count(*) FILTER (WHERE harmful) AS h, count(*) FILTER (WHERE benign) AS b FROM (SELECT DISTINCT Chromosome, Fraser_junction_start, Fraser_junction_end FROM j) x JOIN archive ON chrom = Chromosome AND archive.at BETWEEN Fraser_junction_start AND Fraser_junction_end GROUP BY ALL),
 w AS (SELECT j.*, coalesce(h, 0) AS h, coalesce(b, 0) AS b FROM j LEFT JOIN u ON u.Chromosome = j.Chromosome AND s = Fraser_junction_start AND e = Fraser_junction_end WHERE sv OR ae)
 SELECT sample_id, geneSymbol || '_VarId_' || varId AS key, sha256('RNA evidence of ' || geneSymbol || ' ' || varId || ':' || {GENE_BLOCK} || {NL} || 'Junction ' || Chromosome || ':' || {whole('Fraser_junction_start')} || '-' || {whole('Fraser_junction_end')} || ', p ' || {four('Fraser_pvaluesBetaBinomial_jaccard')} || {JUNCTION_SQL}
- || {NL} || 'Harmful, benign records inside: ' || h || ', ' || b || ', ratio ' || CASE WHEN b = 0 THEN 'NA' ELSE printf('%.3e', h / b) END || CASE WHEN Outrider_pValue IS NOT NULL THEN {EXPRESSION_BLOCK} ELSE '' END
+ || {NL} || 'Harmful, benign records inside: ' || h || ', ' || b || ', ratio ' || CASE WHEN b = 0 THEN 'NA' ELSE CAST(CAST(printf('%.3e', h / b) AS DOUBLE) AS VARCHAR) END || CASE WHEN Outrider_pValue IS NOT NULL THEN {EXPRESSION_BLOCK} ELSE '' END
  || CASE WHEN ASE_PVAL IS NOT NULL AND zyg = 1 THEN {NL} || 'Alleles: p ' || {four('ASE_PVAL')} || ', ref ' || {whole('ASE_REF_COUNT')} || ', alt ' || {whole('ASE_ALT_COUNT')} || ', alt ratio ' || {four('ASE_ALT_RATIO')} ELSE '' END || {ASKED['rna_variant']}) AS prompt_sha256 FROM w""",
     found=FOUND,
     dosage=DOSAGE,
@@ -151,7 +151,7 @@ PATIENTS = {
     "found": "SELECT DISTINCT 'S' || cast(l_suppkey as string) AS sample_id, 'G' || cast(l_partkey % 400 as string) AS geneSymbol FROM {lineitem}",
     "terms": "SELECT 'S' || cast(s_suppkey as string) AS sample_id, s_nationkey AS ord, case when s_acctbal < 0 then 'HP:0000001' else 'HP:' || cast(s_nationkey as string) end AS hpo_id FROM {supplier}",
     "names": "SELECT 'HP:' || cast(n_nationkey as string) AS id, n_name AS name FROM {nation} UNION ALL SELECT DISTINCT 'HP:0000001' AS id, 'All' AS name FROM {region}",
-    "gene_phenotype": "SELECT DISTINCT 'G' || cast(p_partkey % 800 as string) AS gene_symbol, 'HP:' || cast(p_size as string) AS hpo_id, 'term' || cast(p_size as string) AS hpo_name, case when p_size < 20 then '-' else '3/' || cast(p_size as string) end AS frequency FROM {part} WHERE p_size > 5",
+    "gene_phenotype": "SELECT DISTINCT 'G' || cast(p_partkey % 800 as string) AS gene_symbol, 'HP:' || cast(p_size as string) AS hpo_id, 'term' || cast(p_size as string) AS hpo_name, case when p_size < 20 then '-' else '3/' || cast(p_size as string) end AS frequency FROM {part} WHERE p_size > 5 AND p_partkey % 800 % 16 <> 5",
     "disease_text": "SELECT 'G' || cast(p_partkey % 900 as string) AS gene_symbol, p_name AS Phenotypes, p_type || chr(10) || chr(10) || p_brand AS `Clinical Features` FROM {part} WHERE p_size < 30",
 }
 PATIENT_SQL = """, k AS (SELECT sample_id, ord, hpo_id, name FROM terms JOIN names ON hpo_id = id), z AS (SELECT sample_id, max((hpo_id <> 'HP:0000001')::INT) AS real, string_agg(name, ', ' ORDER BY ord) AS t FROM k GROUP BY sample_id),

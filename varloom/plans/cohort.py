@@ -91,7 +91,7 @@ def allele_counts(found: DataFrame, bases: DataFrame) -> DataFrame:
     return found.select(*keys).join(rna.allele_support(placed.drop("geneSymbol", "transcript_id"), bases, ["sample_id", "varId"]).drop("chrom", "pos", "ref", "alt"), ["sample_id", "varId"], "left")
 
 
-def rna_prompts(found: DataFrame, dosage: DataFrame, archive: DataFrame | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+def rna_prompts(found: DataFrame, dosage: DataFrame, archive: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(per gene, per variant) prompts of rows that pass the RNA gate.
 
     A gene's constraint metrics are the first known ones of its rows, its inheritance flags the
@@ -110,8 +110,7 @@ def rna_prompts(found: DataFrame, dosage: DataFrame, archive: DataFrame | None =
         variant = variant.withColumns({"n_harmful": F.lit(0).cast("long"), "n_benign": F.lit(0).cast("long"), "ratio": F.lit(None).cast("double")})
     else:
         regions = variant.select(*place).filter("Fraser_junction_start is not null").distinct()
-        width = width or nominate.bin_width(regions, *place[1:])
-        inside = rna.burden(regions, archive.withColumnRenamed("chrom", "Chromosome"), ["Chromosome"], *place[1:], "at", "harmful", "benign", width, [])
+        inside = rna.burden(regions, archive.withColumnRenamed("chrom", "Chromosome"), ["Chromosome"], *place[1:], "at", "harmful", "benign", [])
         variant = variant.join(inside, place, "left").fillna(0, ["n_harmful", "n_benign"])
     return gene, variant.select(s, F.concat(g, F.lit("_VarId_"), v).alias("key"), evidence.rna_variant_prompt().alias("prompt"))
 

@@ -97,6 +97,17 @@ def rank_max_desc(o: DataFrame) -> DataFrame:
     return ranks.max_ranks(o, {"price_rank": "o_totalprice"}, "o_orderpriority", "o_custkey").select("o_orderkey", "o_custkey", "o_orderpriority", "price_rank")
 
 
+@query(
+    """, p AS (SELECT flag, key, max(quantity) AS q, max(price) AS v FROM l GROUP BY ALL),
+r AS (SELECT *, CASE WHEN q IS NOT NULL THEN count(*) OVER (PARTITION BY flag ORDER BY q DESC NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS quantity_rank, count(*) OVER (PARTITION BY flag ORDER BY v DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price_rank FROM p)
+SELECT flag, key, CAST(quantity_rank AS INT) AS quantity_rank, CAST(price_rank AS INT) AS price_rank FROM l JOIN r USING (flag, key)""",
+    l="SELECT case when l_linestatus = 'O' then 'all' else l_returnflag end AS flag, cast(l_orderkey as string) || '_' || cast(l_linenumber as string) AS key, case when l_linenumber = 7 then null else l_quantity end AS quantity, l_extendedprice AS price FROM {lineitem}",
+)
+def rank_any_group(l: DataFrame) -> DataFrame:  # noqa: E741
+    """Few groups, one with half of all rows, and a score that many rows share."""
+    return ranks.ranks_of_any_size(l, {"quantity_rank": "quantity", "price_rank": "price"}, "key", "flag").select("flag", "key", "quantity_rank", "price_rank")
+
+
 @query(
     """, s AS (SELECT *, coalesce(split_part(split_part(HGVSc, ':', 1), '.', 1), '-') AS transcript_id,
  coalesce(CASE WHEN contains(HGVSc, ':') THEN substr(HGVSc, instr(HGVSc, ':') + 1) END, '-') AS HGVSc_core FROM scores),
@@ -159,7 +170,7 @@ SELECT p.event_id, p.user_id, h.span_id, round(h.value, 6) AS value FROM points
     spans="SELECT event_id AS span_id, user_id, cast(extract(epoch from ts) as bigint) AS start, cast(extract(epoch from ts) as bigint) + 86400 AS stop, value FROM {events} WHERE event_type = 'error'",
 )
 def interval_best_hit(points: DataFrame, spans: DataFrame) -> DataFrame:
-    hits = nominate.interval_hits(points, spans, ["user_id"], "at", "start", "stop", 86400)
+    hits = nominate.interval_hits(points, spans, ["user_id"], "at", "start", "stop")
     best = ranks.best_rows(hits, ["event_id"], ["value", "span_id"]).select("event_id", "span_id", F.round("value", 6).alias("value"))
     return points.join(best, "event_id", "left").select("event_id", "user_id", "span_id", "value")
 
@@ -335,16 +346,29 @@ def prompt_render(p: DataFrame, s: DataFrame) -> DataFrame:
     """, c AS (SELECT chrom, start, stop, count(*) FILTER (WHERE harmful) AS n_harmful, count(*) FILTER (WHERE benign) AS n_benign FROM (SELECT DISTINCT chrom, start, stop FROM r) r JOIN v USING (chrom) WHERE v.at BETWEEN start AND stop GROUP BY ALL),
 g AS (SELECT gene, min(h) AS haploinsufficiency FROM dosage GROUP BY gene)
 SELECT r.id, r.line, chrom, start, stop, coalesce(n_harmful, 0) AS n_harmful, coalesce(n_benign, 0) AS n_benign, round(CASE WHEN n_benign > 0 THEN n_harmful / n_benign END, 6) AS ratio, coalesce(haploinsufficiency, '') AS haploinsufficiency FROM r LEFT JOIN c USING (chrom, start, stop) LEFT JOIN g ON upper(r.gene) = g.gene""",
-    r="SELECT l_orderkey AS id, l_linenumber AS line, cast(l_partkey % 24 + 1 as string) AS chrom, l_orderkey AS start, l_orderkey + l_linenumber * 100 AS stop, 'g' || cast(l_partkey % 50 as string) AS gene FROM {lineitem} WHERE l_returnflag = 'R'",
+    r="SELECT l_orderkey AS id, l_linenumber AS line, cast(l_partkey % 24 + 1 as string) AS chrom, l_orderkey AS start, l_orderkey + l_linenumber * 100 AS stop, 'g' || cast(l_partkey % 50 as string) AS gene FROM {lineitem}",
     v="SELECT cast(o_custkey % 24 + 1 as string) AS chrom, o_orderkey AS at, o_orderstatus = 'F' AS harmful, o_orderstatus = 'O' AS benign FROM {orders}",
     dosage="SELECT 'G' || cast(p_partkey % 40 as string) AS gene, p_brand AS h FROM {part}",
 )
 def region_burden(r: DataFrame, v: DataFrame, dosage: DataFrame) -> DataFrame:
-    df = rna.burden(r, v, ["chrom"], "start", "stop", "at", "harmful", "benign", 1000, ["id", "line", "gene"])
+    df = rna.burden(r, v, ["chrom"], "start", "stop", "at", "harmful", "benign", ["id", "line", "gene"])
     d = dosage.select(F.col("gene").alias("GENE SYMBOL"), F.col("h").alias("HAPLOINSUFFICIENCY"), F.col("h").alias("TRIPLOSENSITIVITY"))
     return rna.dosage_of(df, d, "gene").select("id", "line", "chrom", "start", "stop", "n_harmful", "n_benign", F.round("ratio", 6).alias("ratio"), "haploinsufficiency")
 
 
+@query(
+    """, g AS (SELECT supp, site, count(*) FILTER (WHERE returned) AS h, count(*) FILTER (WHERE NOT returned) AS b FROM p GROUP BY ALL), s AS (SELECT *, sum(h) OVER w AS hs, sum(b) OVER w AS bs FROM g WINDOW w AS (PARTITION BY supp ORDER BY site)),
+x AS (SELECT id, r.supp, start, stop, e.hs AS eh, e.bs AS eb FROM r ASOF LEFT JOIN s e ON r.supp = e.supp AND r.stop >= e.site), y AS (SELECT x.*, o.hs AS oh, o.bs AS ob FROM x ASOF LEFT JOIN s o ON x.supp = o.supp AND x.start > o.site)
+SELECT id, supp, start, stop, CAST(coalesce(eh, 0) - coalesce(oh, 0) AS BIGINT) AS n_harmful, CAST(coalesce(eb, 0) - coalesce(ob, 0) AS BIGINT) AS n_benign FROM y""",
+    r="SELECT o_orderkey AS id, o_custkey % 3 AS supp, o_orderkey - o_custkey AS start, o_orderkey + o_custkey * 10 AS stop FROM {orders}",
+    p="SELECT l_suppkey % 3 AS supp, l_orderkey AS site, l_returnflag = 'R' AS returned FROM {lineitem}",
+)
+def region_prefix_counts(r: DataFrame, p: DataFrame) -> DataFrame:
+    """Three contigs only, and regions that hold a large part of all points."""
+    df = rna.burden(r, p.withColumn("kept", ~F.col("returned")), ["supp"], "start", "stop", "site", "returned", "kept", ["id"])
+    return df.select("id", "supp", "start", "stop", "n_harmful", "n_benign")
+
+
 @query(
     """, n AS (SELECT chrom, pos, upper(base) AS base, count(*) AS n FROM b GROUP BY ALL),
 o AS (SELECT DISTINCT varId, chrom, pos, ref, alt FROM v),
