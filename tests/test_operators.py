@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from varloom.operators import annotate, evidence, in_silico, nominate, phenotype, ranks, review, rna, score, vote
@@ -269,3 +270,74 @@ def test_pairs_meet_once_with_mirrored_votes(spark):
         df = spark.createDataFrame([(a, b)], "a double, b double")
         x, y = df.select(labels.vote(F.col("a"), F.col("b"), low), labels.vote(F.col("b"), F.col("a"), low)).first()
         assert {"A": "B", "B": "A", "tie": "tie"}[x] == y
+
+
+def test_tally_equals_the_pairs(spark):
+    rng = random.Random(21)
+    measures = ", ".join(f"{c} double" for c in vote.SCORES)
+    labels = ", ".join(f"{c} string" for c in vote.LABELS)
+    schema = f"sample_id string, pairwise_entity_id string, pairwise_entity_type string, mean struct<{measures.replace(' double', ': double')}, {labels.replace(' string', ': string')}>, best struct<{measures.replace(' double', ': double')}, {labels.replace(' string', ': string')}>, best_member string, member_variant_ids string"
+    value = lambda: (rng.choice([1.0, 2.0, 3.5, float("inf"), float(rng.randint(1, 60))]), *[rng.choice([0.0, 0.5, 1.0]) for _ in vote.SCORES[1:-1]], rng.choice([None, 0.0, 2.0]), "", "", "", "")
+    rows = []
+    for i in range(260):
+        pair = rng.random() < 0.3
+        one = value()
+        rows.append((rng.choice(["big"] * 9 + ["small"]), f"e{i}", "compound" if pair else "single", value() if pair else one, one, "v", "v|w"))
+    rows.append(("alone", "e", "single", value(), value(), "v", "v"))
+    found = spark.createDataFrame(rows, schema)
+    show = lambda df: sorted(tuple(r[c] for c in ("sample_id", "pairwise_entity_id", "PairWiseWins", "PairWiseLosses", "PairWiseTies", "PairWiseEntityRank")) for r in df.collect())
+    assert show(vote.tally(found)) == show(vote.tallied(found, vote.compared(found)))
+
+
+def test_medians_are_exact(spark):
+    rng = random.Random(22)
+    rows = [(rng.lognormvariate(0, 40), float(rng.randint(0, 3)), None if i % 3 else rng.random(), None, 5.0 if i < 1900 else rng.random()) for i in range(4001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(5)
+    got = score.medians(df, ["a", "b", "c", "d", "e"], few=20)
+    for i, c in enumerate("abcde"):
+        x = sorted(r[i] for r in rows if r[i] is not None)
+        assert got[c] == (x[(len(x) - 1) // 2] if x else None), c
+    wide = spark.range(1_000_000).select((F.pmod(F.col("id") * 7919, F.lit(1_000_003)) + F.col("id") / 1e7).alias("x"))
+    assert score.medians(wide, ["x"])["x"] == wide.agg(F.expr("percentile_disc(0.5) within group (order by x)").alias("m")).first()["m"]
+
+
+def test_gene_names_equal_the_patterns(spark):
+    rng = random.Random(23)
+    genes = ["BRCA1", "A-B", "B", "HLA.X", "(p53)", "der", "..", "", None, "B"]
+    bits = ["BRCA1", "xBRCA1", "A-B", "A", "B", "HLA.X", "HLA", "(p53)", "p53", "der", "é", "B_", "..", ".", "-"]
+    texts = [(i, rng.choice([" ", ","]).join(rng.choice(bits) for _ in range(rng.randint(0, 6)))) for i in range(150)] + [(200, None), (201, "")]
+    t, g = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in genes], "gene string")
+    got = sorted(tuple(r) for r in phenotype.named_genes(t, g, "id", "text").collect())
+    want = sorted((r["id"], r["gene"]) for r in t.crossJoin(g.filter("gene <> '' and gene rlike '[A-Za-z0-9]'").distinct()).filter(phenotype.mentions(F.col("text"), F.col("gene"))).select("id", "gene").collect())
+    assert got == want and len(want) > 50
+
+
+def test_broken_lines_and_first_files(spark, tmp_path):
+    for name, lines in {"a/1.csv": ["1,0.5", "2,x", "3,1,9", "4", "5,"], "a/2.csv": ["9,9"], "b/1.csv": ["7,7"], "c/1.csv": []}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("\n".join(["varId,overall_logit", *lines, ""]))
+    rows = tables.declared(spark, f"{tmp_path}/*", tables.KINDS["predictions"])
+    assert sorted(r["line"] for r in tables.rejects(rows).collect()) == ["2,x", "3,1,9", "4"]
+    assert sorted((r["varId"], r["overall_logit"]) for r in tables.good(rows).collect()) == [("1", 0.5), ("5", None), ("7", 7.0), ("9", 9.0)]
+    assert {(r["sample_id"], r["file"][-5:]): (r["n_good"], r["n_rejected"]) for r in tables.reject_counts(rows).collect()} == {("a", "1.csv"): (2, 3), ("a", "2.csv"): (1, 0), ("b", "1.csv"): (1, 0)}
+    assert sorted(r["varId"] for r in tables.good(tables.first_match(rows)).collect()) == ["1", "5", "7"]
+    with pytest.raises(FileNotFoundError, match="no predictions of z"):
+        tables.require_inputs(spark.createDataFrame([("a",), ("z",)], "sample_id string"), rows, "predictions")
+
+
+def test_manifest_survives_a_killed_run(spark, tmp_path):
+    rows = spark.createDataFrame([(s, i) for s in "abc" for i in range(5)], "sample_id string, x int")
+    path, make = str(tmp_path / "out"), lambda df: df.groupBy("sample_id").agg(F.sum("x").alias("total")).filter("total > 0")
+    assert sinks.finished(spark, path) is None
+    with pytest.raises(ZeroDivisionError):
+        sinks.resume(rows, lambda df: 1 // 0, path)
+    assert sinks.resume(rows.filter("sample_id = 'a'"), make, path) == 1
+    make(rows.filter("sample_id = 'b' and x < 3")).write.mode("append").partitionBy("sample_id").parquet(f"{path}/rows")
+    assert [r["sample_id"] for r in sinks.finished(spark, path).collect()] == ["a"]
+    assert sinks.resume(rows, make, path) == 2 and sinks.resume(rows, make, path) == 0
+    show = lambda: sorted((r["sample_id"], r["total"]) for r in sinks.finished(spark, path).collect())
+    assert show() == [("a", 10), ("b", 10), ("c", 10)]
+    # order is no change; another row is; a sample that has no rows any more shows none
+    assert sinks.resume(rows.orderBy(F.desc("x")), make, path) == 0
+    changed = rows.withColumn("x", F.when(F.col("sample_id") == "c", 0).otherwise(F.col("x")))
+    assert sinks.resume(changed, make, path) == 1 and show() == [("a", 10), ("b", 10)]

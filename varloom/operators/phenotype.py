@@ -70,6 +70,29 @@ def says(text: Column, words: list[str]) -> Column:
     return F.rlike(text, F.lit(r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(words) + r")(?![\p{L}\p{N}_])"))
 
 
+#: What a gene name is made of, and so a word of a text that may be one.
+NAME = r"[A-Za-z0-9_\-]+"
+
+
+def named_genes(texts: DataFrame, genes: DataFrame, key: str, text: str, gene: str = "gene") -> DataFrame:
+    """(key, gene): the genes that each text names as mentions() tells, without meeting every gene with every text.
+
+    A text is cut once into its distinct words, which join the names on equality. Names that
+    hold other characters go by their longest word first, and then by their pattern; names
+    without a word are none.
+    """
+    cut = texts.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("__t"))
+    words = cut.select(key, F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(f"({NAME})"), F.lit(1)))).alias("__w"))
+    names = genes.select(F.col(gene).alias("__g")).filter("__g <> ''").distinct()
+    simple = names.filter(F.col("__g").rlike(f"^{NAME}$"))
+    out = words.join(simple, F.col("__w") == F.col("__g")).select(key, F.col("__g").alias(gene))
+    odd = names.filter(~F.col("__g").rlike(f"^{NAME}$")).withColumn("__w", F.get(F.array_sort(F.regexp_extract_all("__g", F.lit(f"({NAME})"), F.lit(1)), lambda a, b: F.length(b) - F.length(a)), F.lit(0)))
+    if odd.isEmpty():
+        return out
+    near = words.join(odd.filter("__w is not null"), "__w").select(key, "__g").distinct().join(cut, key)
+    return out.unionAll(near.filter(mentions(F.col("__t"), F.col("__g"))).select(key, F.col("__g").alias(gene))).distinct()
+
+
 def publications(rows: DataFrame, keywords: list[str] = KEYWORDS, gene: str = "gene", order: list | None = None, most: int = 50) -> DataFrame:
     """Up to `most` publications per gene in order of relevance: with a numeric id and a title, naming the gene and a keyword.
 

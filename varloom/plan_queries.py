@@ -377,6 +377,44 @@ def sample_files(predictions: DataFrame, scores: DataFrame, truth: DataFrame) ->
     return out.select("sample_id", "predicted", F.coalesce("k", F.lit(0)).alias("known"), F.coalesce("u", F.lit(0)).alias("unscored"))
 
 
+@query(
+    " SELECT sample_id, count(*) FILTER (WHERE NOT broken) AS n_good, count(*) FILTER (WHERE broken) AS n_rejected, round(coalesce(sum(f) FILTER (WHERE NOT broken), 0), 2) AS total FROM (SELECT *, id % 5 < 2 AS broken FROM p) GROUP BY sample_id",
+    p="SELECT 'N' || cast(c_nationkey as string) AS sample_id, c_custkey AS id, c_acctbal AS f FROM {customer}",
+)
+def input_rejects(p: DataFrame) -> DataFrame:
+    """Predictions as files with lines that don't fit: a word for a number, or a value too many."""
+    spark = p.sparkSession
+    root = f"{sinks.shared_folder(spark)}/rejects-{uuid.uuid4().hex}"
+    number = F.when(F.col("id") % 5 == 0, "n/a?").when(F.col("id") % 5 == 1, F.concat(F.col("f").cast("string"), F.lit(",extra"))).otherwise(F.col("f").cast("string"))
+    lines = p.select("sample_id", F.concat_ws(",", F.col("id").cast("string"), number).alias("value"))
+    heads = p.select("sample_id").distinct().select("sample_id", F.lit("varId,overall_logit").alias("value"))
+    lines.unionAll(heads).repartition("sample_id").sortWithinPartitions("sample_id", F.col("value").desc()).write.partitionBy("sample_id").text(root)
+    rows = tables.declared(spark, f"{root}/*", tables.KINDS["predictions"], pattern=r"sample_id=([^/]+)/[^/]+$")
+    tables.require_inputs(p, rows, "predictions")
+    sums = tables.good(rows).groupBy("sample_id").agg(F.sum("overall_logit").alias("total"))
+    return tables.reject_counts(rows).join(sums, "sample_id", "left").select("sample_id", "n_good", "n_rejected", F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
+
+
+@query(
+    " SELECT sample_id, kind, count(*) AS n, round(sum(price), 2) AS total FROM l GROUP BY ALL",
+    l="SELECT 'S' || cast(l_suppkey % 20 as string) AS sample_id, l_returnflag AS kind, l_linenumber AS line, l_extendedprice AS price FROM {lineitem}",
+)
+def resume_manifest(l: DataFrame) -> DataFrame:  # noqa: E741
+    """A table made in four runs, one of which was killed while it wrote and one of which saw other inputs, equals that of one clean run."""
+    spark = l.sparkSession
+    path = f"{sinks.shared_folder(spark)}/resume-{uuid.uuid4().hex}"
+    make = lambda rows: rows.groupBy("sample_id", "kind").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    early = F.col("sample_id").isin(*[f"S{i}" for i in range(8)])
+    sinks.resume(l.filter(early & (F.col("line") < 4)), make, path)
+    # killed: rows of some samples are there, half of them, without a record
+    make(l.filter(F.col("sample_id").isin("S8", "S9") & (F.col("line") == 1))).write.mode("append").partitionBy("sample_id").parquet(f"{path}/rows")
+    sinks.resume(l.filter(early), make, path)
+    sinks.resume(l, make, path)
+    if sinks.resume(l, make, path):
+        raise AssertionError("a finished sample was made again")
+    return sinks.finished(spark, path).select("sample_id", "kind", "n", "total")
+
+
 @query(
     """ SELECT 'terms' AS kind, s AS key, string_agg(h, '|' ORDER BY h) AS value FROM patients GROUP BY s UNION ALL SELECT 'ontology', id, name FROM names UNION ALL SELECT 'gene_phenotype', gene_symbol, string_agg(hpo_id || '=' || frequency, '|' ORDER BY hpo_id, frequency) FROM gene_phenotype GROUP BY 2
 UNION ALL SELECT 'disease', gene_symbol, string_agg("Clinical Features", '|' ORDER BY "Clinical Features") FROM disease_text GROUP BY 2 UNION ALL SELECT 'dosage', "GENE SYMBOL", string_agg(HAPLOINSUFFICIENCY, '|' ORDER BY HAPLOINSUFFICIENCY) FROM dosage GROUP BY 2

@@ -310,6 +310,37 @@ def pub_filter(p: DataFrame) -> DataFrame:
     return phenotype.publications(p, KEYWORDS).select("gene", "PMID", "relevance", "place")
 
 
+@query(
+    """, w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_-]+')) AS gene FROM t) SELECT doc_id, gene FROM w JOIN (SELECT DISTINCT gene FROM g) USING (gene)""",
+    t="SELECT doc_id, text FROM {documents}",
+    g="SELECT 'G' || cast(p_partkey as string) AS gene FROM {part} UNION ALL SELECT substr(text, 1, instr(text, ' ') - 1) AS gene FROM {documents} WHERE instr(text, ' ') > 1 AND NOT regexp_like(substr(text, 1, instr(text, ' ') - 1), '[^A-Za-z0-9_-]')",
+)
+def gene_mentions(t: DataFrame, g: DataFrame) -> DataFrame:
+    """Every word that starts a document, and thousands of names more, in all documents of every language."""
+    return phenotype.named_genes(t.groupBy("doc_id").agg(F.max("text").alias("text")), g, "doc_id", "text")
+
+
+QUERIES["gene_mentions"], ORACLES["gene_mentions"] = QUERIES["gene_mentions"], ORACLES["gene_mentions"].replace("regexp_like(", "regexp_matches(")
+
+
+@query(
+    " SELECT id, line, CASE WHEN ref >= 50 AND alt >= 50 AND ref / alt > 1.2 THEN 1 WHEN ref >= 50 AND alt >= 50 AND ref / alt < 0.8 THEN -1 ELSE 0 END AS side FROM a",
+    a="SELECT l_orderkey AS id, l_linenumber AS line, cast(l_quantity * 4 as double) AS ref, cast((l_suppkey % 7 + 1) * 20 as double) AS alt FROM {lineitem}",
+)
+def ratio_sides(a: DataFrame) -> DataFrame:
+    return a.select("id", "line", L.ratio_side(F.col("ref"), F.col("alt")).alias("side"))
+
+
+@query(
+    """, n AS (SELECT quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS my, quantile_disc(z, 0.5) AS mz FROM r) SELECT 'x' AS name, mx AS median FROM n UNION ALL SELECT 'y', my FROM n UNION ALL SELECT 'z', mz FROM n""",
+    r="SELECT cast(l_extendedprice as double) + cast(l_orderkey as double) / 1000003 AS x, cast(l_quantity as double) AS y, case when l_linenumber = 1 then cast(l_suppkey as double) end AS z FROM {lineitem}",
+)
+def exact_medians(r: DataFrame) -> DataFrame:
+    """Distinct values, values that thousands of rows share, and mostly missing ones."""
+    got = score.medians(r, ["x", "y", "z"])
+    return r.sparkSession.createDataFrame(list(got.items()), "name string, median double")
+
+
 @query(
     """, j AS (SELECT *, json_valid(response) AS fine FROM a),
 v AS (SELECT gene, varId, cell, coalesce(CASE WHEN fine THEN response ->> 'Conclusion' END, 'Weak') AS conclusion, coalesce(CASE WHEN fine THEN response ->> 'Reasoning' END, 'parse_error') AS reasoning FROM j),
@@ -401,6 +432,18 @@ def tandem_repeat(w: DataFrame) -> DataFrame:
     return best.select("doc_id", "b.motif", (-F.col("b.c")).cast("int").alias("copies"), F.col("b.at").cast("int").alias("motif_start"))
 
 
+@query(
+    """, k AS (SELECT doc_id, x, unnest(range(1, 7)) AS k FROM w), m AS (SELECT doc_id, x, k, unnest(list_filter(range(1, length(x) - 3 * k + 2), lambda i: substr(x, i, k) = substr(x, i + k, k) AND substr(x, i, k) = substr(x, i + 2 * k, k) AND regexp_full_match(substr(x, i, k), '[A-MO-Z]+'))) AS st FROM k WHERE length(x) >= 3 * k),
+r AS (SELECT doc_id, k, st, substr(x, st, k) AS motif, length(regexp_extract(substr(x, st), '^(' || substr(x, st, k) || ')+')) // k AS copies FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY copies DESC, k, st) AS n FROM r)
+SELECT doc_id, motif, CAST(copies AS INT) AS copies, CAST(st AS INT) AS motif_start FROM b WHERE n = 1""",
+    w="SELECT c_custkey AS doc_id, upper(replace(replace(replace(c_name || c_mktsegment || c_mktsegment || c_mktsegment || 'ATATATATCACACACA' || c_mktsegment, '#', ''), '0', 'A'), '1', 'AC')) AS x FROM {customer}",
+)
+def period_runs(w: DataFrame) -> DataFrame:
+    """The best repeat of each row's text, whole."""
+    return best_repeat(w, ["doc_id"], "x").select("doc_id", "motif", "copies", "motif_start")
+
+
 @query(
     """, f AS (SELECT *, coalesce(vs <= 0.1, false) AS splice_variant, coalesce(gs <= 0.1, false) AS splice_gene, coalesce(abs(z) >= 1.5, false) AS outlier, coalesce(ase <= 0.1, false) AS ase_ FROM r)
 SELECT id, line, splice_variant, splice_gene, outlier, ase_ AS ase_hit, outlier OR splice_gene AS gene_report, splice_variant OR ase_ AS variant_report, CAST(printf('%.3e', z) AS DOUBLE) AS z FROM f WHERE splice_variant OR splice_gene OR outlier OR ase_""",
@@ -489,6 +532,15 @@ def pairwise_vote(c: DataFrame) -> DataFrame:
     return vote.pairwise(reviewed(c), (1,))[0]
 
 
+def copeland_tally(c: DataFrame) -> DataFrame:
+    """pairwise_vote without any pair."""
+    return vote.pairwise(reviewed(c), (1,), log=False)[0]
+
+
+QUERIES["copeland_tally"] = lambda spark, sf_dir: copeland_tally(data(spark, sf_dir, VOTERS))
+ORACLES["copeland_tally"] = ORACLES["pairwise_vote"]
+
+
 @query(TIERED + PARTNERED + VOTED + " SELECT sample_id, ea AS A_entity, eb AS B_entity, va AS votes_A, vb AS votes_B, 6 - va - vb AS votes_tie, winner, tie_breaker FROM z", c=VOTERS)
 def pairwise_log(c: DataFrame) -> DataFrame:
     log = vote.pairwise(reviewed(c), (1,))[1]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "sample string, digest string, n_rows long, at timestamp"
 #: Folder of each local session that has no shared one, and the tables of the scratch() scopes that are open.
 _OWN: dict[str, str] = {}
 _SCOPES: list[list[DataFrame]] = []
@@ -81,6 +82,59 @@ def write_missing(df: DataFrame, path: str, key: list[str]) -> None:
     (df if done is None else todo(df, done, key)).write.mode("append").parquet(path)
 
 
+def digests(inputs: DataFrame, sample: str) -> DataFrame:
+    """(sample, digest) of each sample's input rows, whatever their order and place."""
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in inputs.columns])
+    return inputs.groupBy(F.col(sample).cast("string").alias("sample")).agg(F.sha2(F.concat_ws("|", F.count("*"), F.sum(row.cast("decimal(38,0)")), F.bit_xor(row)), 256).alias("digest"))
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """(sample, digest, n_rows, at): the last record of each sample, or nothing before the first."""
+    try:
+        records = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    except AnalysisException:
+        return None
+    return records.groupBy("sample").agg(F.max(F.struct("at", "digest", "n_rows")).alias("r")).select("sample", "r.digest", "r.n_rows", "r.at")
+
+
+def due(inputs: DataFrame, path: str, sample: str = "sample_id") -> DataFrame:
+    """(sample, digest) of samples without a record of just these inputs."""
+    own, done = digests(inputs, sample), manifest(inputs.sparkSession, path)
+    return own if done is None else own.join(done.select("sample", "digest"), ["sample", "digest"], "left_anti")
+
+
+def resume(inputs: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, sample: str = "sample_id") -> int:
+    """Makes and writes the samples that are due; their number.
+
+    A sample's folder is replaced as a whole, and its record follows once all rows are
+    committed. So a run that was killed leaves folders without a record, which the next run
+    makes again and finished() doesn't show; changed inputs are made again; two writers of one
+    sample replace each other and never add up.
+    """
+    spark = inputs.sparkSession
+    todo_ = materialised(due(inputs, path, sample), "due")
+    rows = make(inputs.join(todo_.select(F.col("sample").alias("__s")), F.col(f"`{sample}`").cast("string") == F.col("__s"), "left_semi"))
+    made = materialised(rows, "made")
+    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(sample).parquet(f"{path}/rows")
+    counts = made.groupBy(F.col(sample).cast("string").alias("sample")).agg(F.count("*").alias("n_rows"))
+    records = todo_.join(counts, "sample", "left").select("sample", "digest", F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.current_timestamp().alias("at"))
+    n = todo_.count()
+    if n:
+        records.write.mode("append").parquet(f"{path}/manifest")
+    forget(made)
+    forget(todo_)
+    return n
+
+
+def finished(spark: SparkSession, path: str, sample: str = "sample_id") -> DataFrame | None:
+    """Rows of samples with a record; a sample that was made again without rows has none."""
+    done = manifest(spark, path)
+    if done is None:
+        return None
+    rows = spark.read.option("partitionColumnTypeInference.enabled", False).parquet(f"{path}/rows").withColumn(sample, F.col(sample).cast("string"))
+    return rows.join(done.filter("n_rows > 0").select(F.col("sample").alias(sample)), sample, "left_semi")
+
+
 def write_report(df: DataFrame, path: str, order: list, sample: str = "sample_id") -> None:
     """One ordered CSV per sample."""
     df.repartition(sample).sortWithinPartitions(sample, *order).write.mode("overwrite").partitionBy(sample).option("header", True).csv(path)

@@ -19,6 +19,68 @@ def with_sample(df: DataFrame, pattern: str, name: str = "sample_id") -> DataFra
     return df.withColumn(name, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
+#: What the columns of each input are; columns that are not named are text.
+KINDS = {
+    "predictions": {"overall_logit": "double", "overall_prob": "double", "recessive": "int", "dominant": "int", "zyg": "int"},
+    "scores": {},
+    "truth": {"pos": "long"},
+    "expression": {"pValue": "double", "padjust": "double", "zScore": "double", "l2fc": "double", "rawcounts": "long"},
+    "splicing": {"start": "long", "end": "long", "pvaluesBetaBinomial_jaccard": "double"},
+    "allele_counts": {"position": "long", "refCount": "long", "altCount": "long", "PVAL": "double"},
+    "dosage": {},
+    "gene_phenotypes": {},
+    "disease_descriptions": {},
+}
+BROKEN = "_broken"
+
+
+def declared(spark: SparkSession, path: str, kinds: dict[str, str], sep: str = ",", pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+    """Delimited files with the columns of their header, typed as declared; a broken line keeps its text in _broken.
+
+    A line is broken if a value doesn't fit its type or it has too few or too many values. Only
+    headers are read beforehand. Adds sample_id and file; files of one path share a header.
+    """
+    reader = spark.read.option("header", True).option("sep", sep)
+    names = reader.csv(path).columns
+    if not names:
+        raise ValueError(f"no columns in {path}")
+    schema = ", ".join([*[f"`{n}` {kinds.get(n, 'string')}" for n in names], f"`{BROKEN}` string"])
+    df = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).option("columnPruning", False).csv(path)
+    df = with_sample(df, pattern).withColumn("file", F.col("_metadata.file_path"))
+    # only columns that are asked for are tried, so whether a line is broken asks for all that have a type
+    typed = [F.substring(F.col(f"`{n}`").cast("string"), 1, 0) for n in names if n in kinds or n == names[0]]
+    return df.withColumn(BROKEN, F.when(F.col(BROKEN).isNotNull(), F.concat_ws("", F.col(BROKEN), *typed)))
+
+
+def good(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def rejects(rows: DataFrame) -> DataFrame:
+    """(sample_id, file, line) of the lines that were not read."""
+    return rows.filter(F.col(BROKEN).isNotNull()).select("sample_id", "file", F.col(BROKEN).alias("line"))
+
+
+def reject_counts(rows: DataFrame) -> DataFrame:
+    """(sample_id, file, n_good, n_rejected) of every file with a line."""
+    return rows.groupBy("sample_id", "file").agg(F.count(F.when(F.col(BROKEN).isNull(), 1)).alias("n_good"), F.count(BROKEN).alias("n_rejected"))
+
+
+def first_match(rows: DataFrame) -> DataFrame:
+    """The rows of each sample's first file, by its path: others of the sample are copies or older runs."""
+    firsts = rows.groupBy("sample_id").agg(F.min("file").alias("__first"))
+    return rows.join(firsts, "sample_id").filter(F.col("file") == F.col("__first")).drop("__first")
+
+
+def require_inputs(expected: DataFrame, found: DataFrame, what: str, shown: int = 20) -> DataFrame:
+    """found, or an error that names samples of expected that it lacks, `shown` of them at most."""
+    lacking = expected.select("sample_id").distinct().join(found.select("sample_id"), "sample_id", "left_anti").orderBy("sample_id").limit(shown + 1).collect()
+    if lacking:
+        more = ", ..." if len(lacking) > shown else ""
+        raise FileNotFoundError(f"no {what} of {', '.join(str(r['sample_id']) for r in lacking[:shown])}{more}")
+    return found
+
+
 def predictions(spark: SparkSession, path: str, pattern: str = r"([^/]+)/[^/]+$", schema: str | None = None) -> DataFrame:
     """CSV files of predictions, the sample being their folder; the first column is varId."""
     reader = spark.read.option("header", True)
