@@ -269,3 +269,13 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "text", "lang", "source", "n_chars", "n_tokens"} <= set(out.columns)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and out.count() > 0
+
+
+def test_whole_keys_take_no_other_word_for_their_own(tmp_path):
+    rng = np.random.default_rng(17)
+    keys = np.unique(rng.integers(0, 1 << 64, 200_000, dtype=np.uint64))
+    ngram_lm.write_array(str(tmp_path), 0, keys, [np.arange(len(keys))], whole=True)
+    place, values = ngram_lm.find(str(tmp_path), 0, keys, whole=True)
+    assert (place == np.arange(len(keys))).all() and (values[:, 0] == place).all()
+    other = np.setdiff1d(np.concatenate([keys ^ np.uint64(1), keys ^ np.uint64(1 << 20), rng.integers(0, 1 << 64, 2_000_000, dtype=np.uint64)]), keys)
+    assert (ngram_lm.find(str(tmp_path), 0, other, whole=True)[0] == -1).all()

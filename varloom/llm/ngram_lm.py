@@ -28,8 +28,9 @@ from varloom.llm.tokens import U, mix, slices, summed, with_ends
 
 #: Bytes of training text for one key range, and n-grams that a task sums before it sends them.
 RANGE_BYTES, FLUSH = 8 << 20, 1_500_000
-#: Keys of a directory's cell, on average, and bits of a key behind the directory's that are stored: pairs of up to 2^23
-#: words are told apart exactly, and an n-gram that is not there is taken for another one in two million look-ups.
+#: Keys of a directory's cell, on average, and bits of an n-gram's key behind the directory's that are stored: pairs of up
+#: to 2^23 words are told apart exactly, and an n-gram that is not there is taken for another one in two million look-ups.
+#: Words are stored with whole keys, so which words training saw, and how often, is exact.
 CELL, REST = 8, 24
 #: Context of the first token of a text.
 START = (1 << 32) - 1
@@ -160,16 +161,19 @@ def coded(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(narrow), np.stack([v[first].astype(np.int64) for v in values], axis=1)
 
 
-def write_array(folder: str, r: int, keys: np.ndarray, values: list[np.ndarray]) -> None:
-    """Sorted distinct keys, spread over 64 bits, with their values. A range without keys has no files."""
+def write_array(folder: str, r: int, keys: np.ndarray, values: list[np.ndarray], whole: bool = False) -> None:
+    """Sorted distinct keys, spread over 64 bits, with their values; whole ones if so asked. A range without keys has no files."""
     if not len(keys):
         return
     bits = max((len(keys) // CELL).bit_length(), 1)
     at = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
     save(folder, r, "at", at.astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
-    rest = keys << U(bits) >> U(64 - REST)
-    save(folder, r, "low", rest.astype(np.uint16))
-    save(folder, r, "high", (rest >> U(16)).astype(np.uint8))
+    if whole:
+        save(folder, r, "keys", keys)
+    else:
+        rest = keys << U(bits) >> U(64 - REST)
+        save(folder, r, "low", rest.astype(np.uint16))
+        save(folder, r, "high", (rest >> U(16)).astype(np.uint8))
     write_values(folder, r, values)
 
 
@@ -179,21 +183,26 @@ def write_values(folder: str, r: int, values: list[np.ndarray], kind: str = "")
     save(folder, r, f"{kind}rows", rows)
 
 
-def find(folder: str, r: int, keys: np.ndarray, kind: str = "") -> tuple[np.ndarray, np.ndarray]:
+def find(folder: str, r: int, keys: np.ndarray, kind: str = "", whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(place in the range or -1, value rows or zeros) of keys of a range."""
     path = f"{folder}/{r:08d}"
     if not os.path.exists(f"{path}.at.npy"):
         return np.full(len(keys), -1, np.int64), np.zeros((len(keys), 1), np.int64)
-    at, low, high, code, rows = (mapped(f"{path}.{x}.npy") for x in ("at", "low", "high", f"{kind}code", f"{kind}rows"))
+    at, code, rows = (mapped(f"{path}.{x}.npy") for x in ("at", f"{kind}code", f"{kind}rows"))
     bits = (len(at) - 1).bit_length() - 1
     cell = (keys >> U(64 - bits)).astype(np.int64)
-    want = keys << U(bits) >> U(64 - REST)
-    want_low, want_high = want.astype(np.uint16), (want >> U(16)).astype(np.uint8)
+    if whole:
+        stored = [(mapped(f"{path}.keys.npy"), keys)]
+    else:
+        want = keys << U(bits) >> U(64 - REST)
+        stored = [(mapped(f"{path}.low.npy"), want.astype(np.uint16)), (mapped(f"{path}.high.npy"), (want >> U(16)).astype(np.uint8))]
     place, end = at[cell].astype(np.int64), at[cell + 1].astype(np.int64)
     out = np.full(len(keys), -1, np.int64)
     live = np.flatnonzero(place < end)
     while len(live):
-        hit = (low[place[live]] == want_low[live]) & (high[place[live]] == want_high[live])
+        hit = np.ones(len(live), dtype=bool)
+        for part, wanted in stored:
+            hit &= part[place[live]] == wanted[live]
         out[live[hit]] = place[live[hit]]
         live = live[~hit]
         place[live] += 1
@@ -203,7 +212,7 @@ def find(folder: str, r: int, keys: np.ndarray, kind: str = "") -> tuple[np.ndar
     return out, values
 
 
-def look_up(folder: str, ranges: int, by: np.ndarray, keys: np.ndarray, width: int, kind: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def look_up(folder: str, ranges: int, by: np.ndarray, keys: np.ndarray, width: int, kind: str = "", whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(range, place in it or -1, values or zeros) of keys, each in the range of its `by`."""
     own = range_of(by, ranges).astype(np.int64)
     order = np.argsort(own, kind="stable")
@@ -212,7 +221,7 @@ def look_up(folder: str, ranges: int, by: np.ndarray, keys: np.ndarray, width: i
     for i, j in zip(new, [*new[1:], len(own)]):
         at = order[i:j]
         k, back = np.unique(keys[at], return_inverse=True)
-        p, v = find(folder, int(own[at[0]]), k, kind)
+        p, v = find(folder, int(own[at[0]]), k, kind, whole)
         place[at] = p[back]
         if v.shape[1] == width:
             values[at] = v[back]
@@ -271,14 +280,14 @@ class Model:
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of known words, -1 for others."""
-        own, place, _ = look_up(f"{self.folder}/word", self.ranges, hashes, within(hashes, self.ranges), 1)
+        own, place, _ = look_up(f"{self.folder}/word", self.ranges, hashes, within(hashes, self.ranges), 1, whole=True)
         return np.where(place >= 0, place + mapped(f"{self.folder}/base.npy")[own], -1)
 
     def log10(self, hashes: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability, training count) of every token of the texts."""
         first = np.zeros(len(hashes), dtype=bool)
         first[np.cumsum(tokens) - tokens] = True
-        own, place, word = look_up(f"{self.folder}/word", self.ranges, hashes, within(hashes, self.ranges), 6, "all")
+        own, place, word = look_up(f"{self.folder}/word", self.ranges, hashes, within(hashes, self.ranges), 6, "all", whole=True)
         known = place >= 0
         ids = np.where(known, place + mapped(f"{self.folder}/base.npy")[own], 0).astype(U)
         count, follows, after = word[:, 0], word[:, 1], word[:, 2:]
@@ -342,7 +351,7 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
 
     def merge_words(r: int, frame: pa.Table) -> pa.Table:
         keys, c = summed(arrays(frame, "keys", from_steps), arrays(frame, "c", unpacked))
-        write_array(f"{folder}/word", r, within(keys, ranges), [c])
+        write_array(f"{folder}/word", r, within(keys, ranges), [c], whole=True)
         return pa.table({"range": pa.array([r], pa.int32()), "n": [len(keys)], "tokens": [int(c.sum())]})
 
     got = merged(rows.mapInArrow(count_words, "range int, keys binary, c binary"), ranges, merge_words, "range int, n long, tokens long").collect()
