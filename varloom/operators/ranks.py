@@ -33,7 +33,7 @@ def running_totals(rows: DataFrame, by: list[str], order: list, sums: list[str],
 
     Rows are dealt to ranges of (by, order) and written once; each range adds up its own rows
     and gets the total of the ranges before it, of which a group has as many as there are
-    tasks at most. Rows of equal order are to be one row beforehand.
+    tasks at most. Of rows of equal order one only may add anything.
     """
     dealt = materialised(rows.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), name)
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

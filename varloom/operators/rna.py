@@ -38,12 +38,12 @@ def burden(regions: DataFrame, points: DataFrame, by: list[str], start: str, end
     # at one place: first the starts, then the points, then the ends
     edges = F.array(F.struct(F.col(start).alias("at"), F.lit(0).alias("kind")), F.struct(F.greatest(start, end).alias("at"), F.lit(2).alias("kind")))
     none = F.lit(0).cast("long")
-    stops = asked.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, F.explode(edges).alias("e")).select(*by, F.col("e.at").cast("long").alias("at"), "e.kind", none.alias("bad"), none.alias("benign")).distinct()
+    # an edge adds nothing and keeps its region's name, so its own running count is all that is needed
+    stops = asked.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, F.col(start).alias("__start"), F.col(end).alias("__end"), F.explode(edges).alias("e")).select(*by, "__start", "__end", F.col("e.at").cast("long").alias("at"), "e.kind", none.alias("bad"), none.alias("benign"))
     seen = points.filter(F.col(at).isNotNull()).groupBy(*by, F.col(at).cast("long").alias("at")).agg(F.count(F.when(F.col(bad), 1)).alias("bad"), F.count(F.when(F.col(benign), 1)).alias("benign")).select(*by, "at", F.lit(1).alias("kind"), "bad", "benign")
-    totals = running_totals(stops.unionByName(seen), by, ["at", "kind"], ["bad", "benign"], "burden").filter("kind <> 1").select(*by, F.col("at").alias("__at"), F.col("kind").alias("__kind"), "bad_so_far", "benign_so_far")
-    sides = asked.select(*by, start, end, F.explode(edges).alias("e")).select(*by, start, end, F.col("e.at").cast("long").alias("__at"), F.col("e.kind").alias("__kind"))
-    sign = F.when(F.col("__kind") == 2, 1).otherwise(-1)
-    per = sides.join(totals, [*by, "__at", "__kind"]).groupBy(*by, start, end).agg(F.sum(sign * F.col("bad_so_far")).alias("n_harmful"), F.sum(sign * F.col("benign_so_far")).alias("n_benign"))
+    totals = running_totals(stops.unionByName(seen, allowMissingColumns=True), by, ["at", "kind"], ["bad", "benign"], "burden").filter("kind <> 1")
+    sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
+    per = totals.groupBy(*by, F.col("__start").alias(start), F.col("__end").alias(end)).agg(F.sum(sign * F.col("bad_so_far")).alias("n_harmful"), F.sum(sign * F.col("benign_so_far")).alias("n_benign"))
     empty = F.col(start) > F.col(end)
     per = per.withColumns({c: F.when(empty, 0).otherwise(F.col(c)) for c in ("n_harmful", "n_benign")})
     out = regions.select(*keys, *by, start, end).join(per, [*by, start, end], "left").fillna(0, ["n_harmful", "n_benign"])
