@@ -1,5 +1,6 @@
 import collections
 import math
+import os
 import random
 import re
 
@@ -260,8 +261,6 @@ def test_pairs_come_back_and_large_counts_stay():
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path):
-    import os
-
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no test tables")
     import corpus_pipeline
@@ -279,3 +278,15 @@ def test_whole_keys_take_no_other_word_for_their_own(tmp_path):
     assert (place == np.arange(len(keys))).all() and (values[:, 0] == place).all()
     other = np.setdiff1d(np.concatenate([keys ^ np.uint64(1), keys ^ np.uint64(1 << 20), rng.integers(0, 1 << 64, 2_000_000, dtype=np.uint64)]), keys)
     assert (ngram_lm.find(str(tmp_path), 0, other, whole=True)[0] == -1).all()
+    ngram_lm.write_array(str(tmp_path), 1, keys[:0], [keys[:0]])
+    assert (ngram_lm.find(str(tmp_path), 1, other)[0] == -1).all()
+    with pytest.raises(FileNotFoundError):
+        ngram_lm.find(str(tmp_path), 2, other)
+
+
+def test_long_and_repeated_rows_are_scored_alike_and_the_model_goes(spark, documents):
+    docs = documents(["a b a c " * 60_000, "a b", "a b", "x" * 300_000])
+    model = ngram_lm.fit(docs, range_bytes=200_000)
+    rows = {r.doc_id: r for r in ngram_lm.scored_once(docs, model).collect()}
+    assert [rows[i].n_tokens for i in range(4)] == [240_001, 3, 3, 2] and all(r.n_known == r.n_tokens for r in rows.values())
+    assert rows[1].score == rows[2].score and not os.path.exists(model.folder)

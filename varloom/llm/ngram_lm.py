@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm.common import shared_dir, table
+from varloom.llm.common import shared_dir, table, written
 from varloom.llm.tokens import U, mix, slices, summed, with_ends
 
 #: Bytes of training text for one key range, and n-grams that a task sums before it sends them.
 RANGE_BYTES, FLUSH = 8 << 20, 1_500_000
 #: Keys of a directory's cell, on average, and bits of an n-gram's key behind the directory's that are stored: pairs of up
-#: to 2^23 words are told apart exactly, and an n-gram that is not there is taken for another one in two million look-ups.
+#: to 2^27 words are told apart exactly, and an n-gram that is not there is taken for another one in 500 million look-ups.
 #: Words are stored with whole keys, so which words training saw, and how often, is exact.
-CELL, REST = 8, 24
+CELL, REST = 8, 32
 #: Context of the first token of a text.
 START = (1 << 32) - 1
 LOW = U(START)
@@ -162,9 +163,9 @@ def coded(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def write_array(folder: str, r: int, keys: np.ndarray, values: list[np.ndarray], whole: bool = False) -> None:
-    """Sorted distinct keys, spread over 64 bits, with their values; whole ones if so asked. A range without keys has no files."""
+    """Sorted distinct keys, spread over 64 bits, with their values; whole ones if so asked. A range without keys has an empty directory only."""
     if not len(keys):
-        return
+        return save(folder, r, "at", np.zeros(3, np.uint32))
     bits = max((len(keys) // CELL).bit_length(), 1)
     at = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
     save(folder, r, "at", at.astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
@@ -172,8 +173,7 @@ def write_array(folder: str, r: int, keys: np.ndarray, values: list[np.ndarray],
         save(folder, r, "keys", keys)
     else:
         rest = keys << U(bits) >> U(64 - REST)
-        save(folder, r, "low", rest.astype(np.uint16))
-        save(folder, r, "high", (rest >> U(16)).astype(np.uint8))
+        save(folder, r, "rest", rest.astype(np.uint32))
     write_values(folder, r, values)
 
 
@@ -184,25 +184,23 @@ def write_values(folder: str, r: int, values: list[np.ndarray], kind: str = "")
 
 
 def find(folder: str, r: int, keys: np.ndarray, kind: str = "", whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the range or -1, value rows or zeros) of keys of a range."""
+    """(place in the range or -1, value rows or zeros) of keys of a range. Every range has a directory, so a file that is lost or not yet seen raises."""
     path = f"{folder}/{r:08d}"
-    if not os.path.exists(f"{path}.at.npy"):
+    at = mapped(f"{path}.at.npy")
+    if not at[-1]:
         return np.full(len(keys), -1, np.int64), np.zeros((len(keys), 1), np.int64)
-    at, code, rows = (mapped(f"{path}.{x}.npy") for x in ("at", f"{kind}code", f"{kind}rows"))
+    code, rows = (mapped(f"{path}.{x}.npy") for x in (f"{kind}code", f"{kind}rows"))
     bits = (len(at) - 1).bit_length() - 1
     cell = (keys >> U(64 - bits)).astype(np.int64)
     if whole:
-        stored = [(mapped(f"{path}.keys.npy"), keys)]
+        stored, wanted = mapped(f"{path}.keys.npy"), keys
     else:
-        want = keys << U(bits) >> U(64 - REST)
-        stored = [(mapped(f"{path}.low.npy"), want.astype(np.uint16)), (mapped(f"{path}.high.npy"), (want >> U(16)).astype(np.uint8))]
+        stored, wanted = mapped(f"{path}.rest.npy"), (keys << U(bits) >> U(64 - REST)).astype(np.uint32)
     place, end = at[cell].astype(np.int64), at[cell + 1].astype(np.int64)
     out = np.full(len(keys), -1, np.int64)
     live = np.flatnonzero(place < end)
     while len(live):
-        hit = np.ones(len(live), dtype=bool)
-        for part, wanted in stored:
-            hit &= part[place[live]] == wanted[live]
+        hit = stored[place[live]] == wanted[live]
         out[live[hit]] = place[live[hit]]
         live = live[~hit]
         place[live] += 1
@@ -237,6 +235,12 @@ def merged(rows: DataFrame, ranges: int, work: Callable[[int, pa.Table], pa.Tabl
     return rows.repartition(4 * max(ranges, 1), "range").groupBy("range").applyInArrow(each, schema)
 
 
+def every_range(rows: DataFrame, ranges: int) -> DataFrame:
+    """rows and one without keys for each range, so that each range's task runs and leaves its directory."""
+    blank = {"range": "CAST(id AS int)", "kind": "0", "c": "X'01'"}
+    return rows.unionAll(rows.sparkSession.range(ranges).selectExpr(*[blank.get(c, "X''") for c in rows.columns]))
+
+
 def arrays(frame: pa.Table, column: str, read: Callable[[bytes], np.ndarray], empty: str = "<u8") -> np.ndarray:
     return np.concatenate([read(x.as_py()) for x in frame.column(column)] or [np.zeros(0, empty)])
 
@@ -354,7 +358,7 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         write_array(f"{folder}/word", r, within(keys, ranges), [c], whole=True)
         return pa.table({"range": pa.array([r], pa.int32()), "n": [len(keys)], "tokens": [int(c.sum())]})
 
-    got = merged(rows.mapInArrow(count_words, "range int, keys binary, c binary"), ranges, merge_words, "range int, n long, tokens long").collect()
+    got = merged(every_range(rows.mapInArrow(count_words, "range int, keys binary, c binary"), ranges), ranges, merge_words, "range int, n long, tokens long").collect()
     sizes = np.zeros(ranges + 1, np.int64)
     for r in got:
         sizes[r["range"] + 1] = r["n"]
@@ -365,6 +369,8 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
     model = Model(folder, ranges, sum(r["tokens"] for r in got), int(base[-1]))
     if model.vocabulary >= START - 1:
         raise ValueError("more distinct words than ids")
+    if not model.tokens:
+        return model
     pairs = model.pairs
 
     # trigrams, in the range of their first two words, and the pairs that texts start with
@@ -417,7 +423,9 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         k, w, c = arrays(tri, "keys", from_steps), arrays(tri, "w", lambda b: from_planes(b, "<u4"), "<u4"), arrays(tri, "c", unpacked)
         out: list[tuple] = []
         many = [0] * 4
-        if len(k):
+        if not len(k):
+            write_array(f"{folder}/triple", r, k, [])
+        else:
             order = np.lexsort((w, k))
             k, w, c = k[order], w[order], c[order]
             new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (w[1:] != w[:-1])]))
@@ -493,10 +501,8 @@ def fit(texts: DataFrame, text: str = "text", range_bytes: int = RANGE_BYTES) ->
         f = values[1]
         return pa.table({"range": pa.array([r], pa.int32()), "pairs": [int(told.column("own").to_numpy().sum())], "many": pa.array([[*many, *how_many(f), int((f >= 3).sum())]], pa.list_(pa.int64())), "start": pa.array([[int(v[0]) for v in values[2:]]], pa.list_(pa.int64()))})
 
-    triples = merged(rows.mapInArrow(count_triples, "range int, kind int, keys binary, w binary, c binary"), ranges, merge_triples, sent)
+    triples = merged(every_range(rows.mapInArrow(count_triples, "range int, kind int, keys binary, w binary, c binary"), ranges), ranges, merge_triples, sent)
     done = merged(merged(triples, ranges, merge_pairs, sent), ranges, merge_contexts, "range int, pairs long, many array<long>, start array<long>").collect()
-    if not done:
-        return model
     many = np.sum([r["many"] for r in done], axis=0)
     model.kinds = sum(r["pairs"] for r in done)
     model.start = next((list(r["start"]) for r in done if r["range"] == ranges), [0] * 4)
@@ -534,9 +540,17 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
     return out.withColumnsRenamed(dict(zip(names, keep)))
 
 
+def scored_once(docs: DataFrame, model: Model, **named) -> DataFrame:
+    """scored() as a table; the model's files are deleted then."""
+    try:
+        return written(scored(docs, model, **named), "scores")
+    finally:
+        shutil.rmtree(model.folder, ignore_errors=True)
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
     model = fit(docs.filter(~F.col("held_out")))
-    out = scored(docs, model, keep=("doc_id", "held_out"))
+    out = scored_once(docs, model, keep=("doc_id", "held_out"))
     return out.withColumn("train_tokens", F.lit(model.tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
