@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,14 +90,19 @@ def triple(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(mix(pair) ^ mix(word + U(0x5851F42D4C957F2D)))
 
 
+@functools.lru_cache(maxsize=1)
+def codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def planes(a: np.ndarray) -> bytes:
-    """The numbers with their first bytes together, then their second ones and so on: bytes that are all alike pack to nothing."""
-    return a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+    """The numbers with their first bytes together, then their second ones and so on, packed by frequency: few-valued bytes take few bits."""
+    return codec()[0].compress(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) if len(a) else b""
 
 
 def from_planes(data: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(dtype).ravel()
+    return np.frombuffer(codec()[1].decompress(data) if data else b"", np.uint8).reshape(size, -1).T.copy().view(dtype).ravel()
 
 
 def packed(a: np.ndarray) -> bytes:
