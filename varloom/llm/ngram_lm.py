@@ -29,7 +29,7 @@ from varloom.llm.common import shared_dir, table, written
 from varloom.llm.tokens import U, mix, slices, summed, with_ends
 
 #: Bytes of training text for one key range, and n-grams that a task sums before it sends them.
-RANGE_BYTES, FLUSH = 8 << 20, 1_500_000
+RANGE_BYTES, FLUSH = 8 << 20, 2_000_000
 #: Keys of a directory's cell, on average, and bits of an n-gram's key behind the directory's that are stored: pairs of up
 #: to 2^27 words are told apart exactly, and an n-gram that is not there is taken for another one in 500 million look-ups.
 #: Words are stored with whole keys, so which words training saw, and how often, is exact.
