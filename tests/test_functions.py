@@ -114,3 +114,14 @@ def test_four_digits_equal_exact_rounding(spark):
         assert r.d == want and r.t == repr(want), r.x
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(four_text(F.col("x")).alias("t"), four_digits(F.col("x")).alias("d")).collect()
     assert all(r.t is None and r.d is None for r in odd)
+
+
+def test_every_choice_of_a_reviewer_is_defined():
+    from varloom.operators import evidence, rubrics
+
+    for kind, keys in evidence.CHOICES.items():
+        assert {k: list(v) for k, v in rubrics.MEANINGS[kind].items()} == keys and rubrics.GUIDES[kind]
+        text = evidence.request(kind)
+        for key, choices in keys.items():
+            assert f"\n{key}: one of {' | '.join(choices)}." in text
+            assert all(f"\n- {c}: {m}." in text for c, m in rubrics.MEANINGS[kind][key].items())

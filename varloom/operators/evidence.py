@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from varloom.functions.values import clipped, four_text, let, number, shown
 from varloom.operators.ranks import joined_text
+from varloom.operators.rubrics import rubric
 
 # Keys of each reviewer's answer, with what stands for a missing one.
 DEFAULTS = {
@@ -47,9 +48,9 @@ def told(*parts) -> Column:
 
 
 def request(kind: str) -> str:
-    """What is asked of the reviewer: a JSON object with exactly the keys that parsed() reads."""
+    """What is asked of the reviewer: a JSON object with exactly the keys that parsed() reads, and what each choice means."""
     keys = ", ".join(f'"{k}"' for k in DEFAULTS[kind])
-    return f"\nAnswer with one JSON object with the keys {keys} and nothing else." + "".join(f"\n{k}: one of {' | '.join(v)}." for k, v in CHOICES[kind].items())
+    return f"\nAnswer with one JSON object with the keys {keys} and nothing else." + "".join(f"\n{k}: one of {' | '.join(v)}." for k, v in CHOICES[kind].items()) + f"\n{rubric(kind)}"
 
 
 def ask(kind: str, *blocks) -> Column:
@@ -95,6 +96,7 @@ def inheritance(recessive: Column, dominant: Column) -> Column:
 # Names of columns that the RNA prompts show.
 GENE_NUMBERS = ["gnomadGenePLI", "gnomadGeneOELof", "gnomadGeneOELofUpper"]
 EXPRESSION_NUMBERS = ["Outrider_RawZscore", "Outrider_zScore", "Outrider_pValue"]
+# Names of a junction's columns.
 JUNCTION = ["jaccard", "predictedMeans_jaccard", "delta_jaccard", "rawOtherCounts_jaccard", "psi5", "rawOtherCounts_psi5", "delta_psi5", "psi3", "rawOtherCounts_psi3", "delta_psi3", "rawCountsJnonsplit"]
 
 

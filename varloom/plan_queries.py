@@ -11,7 +11,7 @@ from varloom.functions import repeats
 from varloom.functions.keys import key_parts
 from varloom.operators import evidence, ranks, score, vote
 from varloom.plans import cohort
-from varloom.queries import GENE, PARTNERED, SAMPLE, SPANS, TIERED, VARIANT, VOTED, query
+from varloom.queries import GENE, PARTNERED, SAMPLE, SPANS, TIERED, VARIANT, VOTED, query, rubric_sql
 from varloom.sources import sinks, tables
 
 NL = "chr(10)"
@@ -58,6 +58,7 @@ ASKED = {
     "rna_gene": lines('Answer with one JSON object with the keys "Reasoning", "Event", "Conclusion" and nothing else.', "Event: one of No Signal | Abnormal Splicing | Moderately Decreased Expression | Largely Decreased Expression | Increased Expression.", RNA),
     "rna_variant": lines('Answer with one JSON object with the keys "Reasoning", "Event", "Conclusion" and nothing else.', "Event: one of No Signal | Exon Skipping | Intron Retention | Cryptic Splicing | Moderately Decreased Expression | Largely Decreased Expression | Increased Expression | Allele Imbalance (Alt High) | Allele Imbalance (Alt Low).", RNA),
 }
+ASKED = {kind: f"{asked} || {rubric_sql(kind)}" for kind, asked in ASKED.items()}
 
 
 def digest(df: DataFrame, *keys: str) -> DataFrame:

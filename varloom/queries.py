@@ -16,6 +16,7 @@ from varloom.functions import labels as L
 from varloom.functions.repeats import best_repeat
 from varloom.functions.values import clipped, four_digits, known, shown
 from varloom.operators import annotate, evidence, in_silico, nominate, phenotype, ranks, review, rna, score, vote
+from varloom.operators.rubrics import rubric
 from varloom.sources.sinks import todo
 
 QUERIES: dict = {}
@@ -44,6 +45,11 @@ def query(oracle: str, **adapters: str):
     return register
 
 
+def rubric_sql(kind: str) -> str:
+    """A reviewer's rubric as SQL text on a line of its own."""
+    return "chr(10) || '" + rubric(kind).replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 VARIANT = "cast(l_partkey % 24 + 1 as string) || '_' || cast(l_orderkey as string) || '_' || substr('ACGT', cast(l_linenumber % 4 + 1 as int), 1) || '_' || substr('CGTA', cast(l_linenumber % 4 + 1 as int), 1)"
 SAMPLE = "'S' || cast(l_suppkey as string)"
 GENE = "case when l_partkey % 41 = 0 then '-' else 'G' || cast(l_partkey % 400 as string) end"
@@ -361,7 +367,9 @@ def response_parse(a: DataFrame) -> DataFrame:
     """, t AS (SELECT varId, string_agg(CASE WHEN length(text) > 3000 THEN substr(text, 1, 3000) || '...' ELSE text END, chr(10) || '---' || chr(10) ORDER BY ord) AS submissions FROM s WHERE text IS NOT NULL GROUP BY varId),
 m AS (SELECT p.*, coalesce(t.submissions, 'No submissions were found.') AS submissions FROM p LEFT JOIN t USING (varId)),
 q AS (SELECT varId, 'Variant ' || varId || '; coding change ' || change || '.' || chr(10) || 'Submissions:' || chr(10) || submissions || chr(10) || 'Answer with one JSON object with the keys "reasoning", "conclusion", "zygosity" and nothing else.' || chr(10)
- || 'conclusion: one of Against | Neutral | Supporting | Convincing.' || chr(10) || 'zygosity: one of homozygous | compound_heterozygous | heterozygous | no_information.' AS prompt,
+ || 'conclusion: one of Against | Neutral | Supporting | Convincing.' || chr(10) || 'zygosity: one of homozygous | compound_heterozygous | heterozygous | no_information.' || """
+    + rubric_sql("database")
+    + """ AS prompt,
  CASE WHEN x IS NULL THEN 'NA' WHEN abs(x) >= 10 THEN printf('%.2f', x) ELSE regexp_replace(regexp_replace(printf('%.4f', x), '0+$', ''), '\\.$', '') END AS shown_x FROM m)
 SELECT varId, sha256(prompt) AS prompt_sha256, shown_x, '("' || varId || '"[Title/Abstract]) AND (variant[Title/Abstract] OR variants[Title/Abstract] OR mutation[Title/Abstract] OR mutations[Title/Abstract] OR diagnosis[Title/Abstract] OR mendelian[Title/Abstract] OR cause[Title/Abstract] OR causes[Title/Abstract])' AS search FROM q""",
     p="SELECT cast(p_partkey as string) AS varId, p_brand AS change, case when p_partkey % 6 = 0 then null when p_partkey % 6 < 4 then p_size / 8.0 else p_retailprice end AS x FROM {part}",
