@@ -20,7 +20,7 @@ def test_a_varying_fourth_token_meets_its_template(spark, documents):
 
 
 def test_every_template_of_a_crowded_leaf_is_found(spark, documents):
-    """Three common lines lead three rounds that take nothing in; the templates come after them."""
+    """Three common lines that take nothing in come before the templates."""
     kind = lambda k, end: " ".join(["one", "of", "them", *[f"{k}{c}" for c in "abcdefgh"], end])
     kind_of = dict(zip(range(9), "pqrstuvwx"))
     texts = ["\n".join(kind(kind_of[k], "same") for k in range(3))] + [f"{'uvw'[i]} x\n" + "\n".join(kind(kind_of[k], "same") for k in range(3)) for i in range(3)]
@@ -51,12 +51,31 @@ def test_templates_equal_one_leader_at_a_time(spark):
             want |= {x[1]: lead[1] for x in mine}
             left = [x for x in left if x not in mine]
     rest = spark.createDataFrame(rows, "leaf long, masked long, times long, tok array<long>")
-    got = {r.masked: r.template for r in line_dedup.settled(rest, 0.9).collect()}
     assert len(set(want.values())) > 24 and any(k != v for k, v in want.items())
-    assert got == {k: v for k, v in want.items() if k != v}
+    for spare, gain in ((line_dedup.SPARE, line_dedup.GAIN), (0, 0), (0.5, 0.2), (1e9, 0)):
+        got = {r.masked: r.template for r in line_dedup.settled(rest, 0.9, spare, gain).collect()}
+        assert got == {k: v for k, v in want.items() if k != v}, (spare, gain)
     assert line_dedup.settled(rest.filter(F.col("leaf") < 0), 0.9).count() == 0
 
 
+def test_compared_pairs_grow_with_the_kinds(spark, monkeypatch):
+    """Five templates in one leaf with a varying word: a kind is compared a few times, however many there are."""
+    compared = []
+    whole = line_dedup.meet
+
+    def counted(pairs, rest, similar):
+        compared.append(pairs.distinct().count())
+        return whole(pairs, rest, similar)
+
+    monkeypatch.setattr(line_dedup, "meet", counted)
+    for n in (200, 400, 800):
+        rows = [(1, t * n + i, 1 + (i == 0), [1, 2, 3, *range(100 * t + 10, 100 * t + 18), 10_000 + i]) for t in range(5) for i in range(n)]
+        compared.clear()
+        got = {r.masked: r.template for r in line_dedup.settled(spark.createDataFrame(rows, "leaf long, masked long, times long, tok array<long>"), 0.9).collect()}
+        assert got == {m: m // n * n for _, m, times, _ in rows if times == 1}
+        assert sum(compared) <= 4 * len(rows)
+
+
 def brute_tree(texts):
     """Drops per document by the tree as described, one line and one leader at a time."""
     import collections

@@ -12,7 +12,10 @@ FIELD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 BLANKS = " \t\n\v\f\r"
 #: White space that is not one space between words.
 UNEVEN = r"[\x09-\x0D]|\x20\x20"
-MIN_WORDS, LEADING, SIMILAR, ROUNDS = 3, 3, 0.9, 3
+MIN_WORDS, LEADING, SIMILAR = 3, 3, 0.9
+#: What follows changes the work, never the result: pairs a row that are compared at once, the
+#: share of pairs that an election must take away, and the most differing tokens at which runs are paired.
+SPARE, GAIN, PAIRED = 4, 0.05, 4
 
 
 def masked_line(line):
@@ -43,27 +46,72 @@ def misses(n, similar: float):
     return (n - F.ceil(F.lit(float(similar)) * n)).cast("int")
 
 
-def settled(rest: DataFrame, similar: float) -> DataFrame:
-    """(leaf, masked, template) of the kinds that others take in, as if every leaf had a round for each of its kinds.
+def shared_runs(similar: float):
+    """Hashes of which two token columns `tok` of one length share some if they agree on a share of `similar`.
 
-    Two kinds that differ at d tokens at most are equal on one of d + 1 runs of tokens, so only
-    kinds that share a run are compared. A kind leads if no kind met by more lines that leads takes it in.
+    Kinds that differ at d tokens at most are equal on two of d + 2 runs of tokens, and on one of d + 1.
+    Pairs of runs tell more, single ones are fewer; both find every kind that agrees.
     """
-    crowded = rest.groupBy("leaf").agg(F.count("*").alias("k")).filter("k > 1").select("leaf")
-    rest = written(rest.join(crowded, "leaf", "left_semi"), "crowded")
     n = F.size("tok")
     d = F.greatest(misses(n, similar), F.lit(0))
-    cut = lambda i: F.floor(i * n / (d + 1)).cast("int")
-    runs = F.transform(F.sequence(F.lit(0), d), lambda i: F.xxhash64(i, F.slice("tok", cut(i) + 1, cut(i + 1) - cut(i))))
-    keys = rest.select("leaf", "masked", "times", F.explode(runs).alias("run"))
-    shared = keys.groupBy("leaf", "run").agg(F.count("*").alias("k")).filter("k > 1").select("leaf", "run")
-    keys = written(keys.join(shared, ["leaf", "run"], "left_semi"), "runs")
-    a = keys.select("leaf", "run", F.struct("times", "masked").alias("a"))
-    b = keys.select("leaf", "run", F.struct("times", "masked").alias("b"))
-    pairs = a.join(b, ["leaf", "run"]).filter("a > b").select("leaf", "a", "b").distinct()
+    parts = F.when(d <= PAIRED, d + 2).otherwise(d + 1)
+    cut = lambda i: F.floor(i * n / parts).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64(i, F.slice("tok", cut(i) + 1, cut(i + 1) - cut(i))))
+    after = lambda x, i: F.transform(F.slice(runs, i + 2, parts), lambda y: F.xxhash64(x, y))
+    return F.when(d <= PAIRED, F.flatten(F.transform(runs, after))).otherwise(runs)
+
+
+def meet(pairs: DataFrame, rest: DataFrame, similar: float) -> DataFrame:
+    """The (leaf, a, b) of pairs whose tokens agree."""
     tokens = lambda x: rest.select("leaf", F.struct("times", "masked").alias(x), F.col("tok").alias(f"{x}_tok"))
-    pairs = pairs.join(tokens("a"), ["leaf", "a"]).join(tokens("b"), ["leaf", "b"])
-    pairs = written(pairs.filter(agree("b_tok", "a_tok") >= similar * F.size("b_tok")).select("leaf", "a", "b"), "pairs")
+    pairs = pairs.distinct().join(tokens("a"), ["leaf", "a"]).join(tokens("b"), ["leaf", "b"])
+    return pairs.filter(agree("b_tok", "a_tok") >= similar * F.size("b_tok")).select("leaf", "a", "b")
+
+
+def elected(runs: DataFrame, rest: DataFrame, similar: float, spare: float, gain: float) -> tuple[DataFrame, DataFrame | None]:
+    """(runs that are left, links of leads to kinds that agree with them): every run elects its foremost kind that no lead takes in.
+
+    A kind that all of its runs elect leads, as no kind before it is left to take it in. It is
+    compared with the kinds of its runs and leaves, so a round compares each row of `runs` once. Kinds taken
+    in elect no more and stay while a run may still elect a kind before their lead. Rounds end
+    when what is left has no more than `spare` pairs a row of the start, or when one takes away
+    less than a share `gain` of the pairs, as where kinds share runs and don't agree.
+    """
+    links, k, least, before = None, 0, None, None
+    while True:
+        per = runs.groupBy("leaf", "run").agg(F.count("*").alias("c"))
+        size = per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("c") * (F.col("c") - 1.0) / 2), F.lit(0.0)).alias("pairs")).first()
+        least = spare * size.rows if least is None else least
+        if size.pairs <= least or (before is not None and size.pairs > (1 - gain) * before):
+            return runs, links
+        before = size.pairs
+        tops = runs.groupBy("leaf", "run").agg(F.max(F.when(F.col("lead").isNull(), F.col("kind"))).alias("top"), F.count("*").alias("c")).filter("top is not null and c > 1")
+        met = runs.join(tops.drop("c"), ["leaf", "run"]).filter("lead is null or lead < top")
+        heads = met.filter("lead is null").groupBy("leaf", "kind").agg(F.min(F.col("kind") == F.col("top")).alias("leads")).filter("leads").select("leaf", "kind")
+        heads = written(heads, f"heads-{k}")
+        near = met.filter("kind < top").join(heads.select("leaf", F.col("kind").alias("top")), ["leaf", "top"], "left_semi")
+        now = written(meet(near.select("leaf", F.col("top").alias("a"), F.col("kind").alias("b")), rest, similar), f"links-{k}")
+        links = now if links is None else links.unionAll(now)
+        best = now.groupBy("leaf", F.col("b").alias("kind")).agg(F.max("a").alias("found"))
+        left = met.join(heads, ["leaf", "kind"], "left_anti").join(best, ["leaf", "kind"], "left")
+        runs = written(left.select("leaf", "run", "kind", F.greatest("lead", "found").alias("lead")), f"runs-{k}")
+        k += 1
+
+
+def settled(rest: DataFrame, similar: float, spare: float = SPARE, gain: float = GAIN) -> DataFrame:
+    """(leaf, masked, template) of the kinds that others take in, as if every leaf had a round for each of its kinds.
+
+    A kind leads if no kind met by more lines that leads takes it in. Elections find the leads of
+    common templates; the kinds they leave are compared in pairs where they share a run.
+    """
+    kinds = rest.select("leaf", F.struct("times", "masked").alias("kind"), F.explode(shared_runs(similar)).alias("run"))
+    shared = kinds.groupBy("leaf", "run").agg(F.count("*").alias("k")).filter("k > 1").select("leaf", "run")
+    runs = kinds.join(shared, ["leaf", "run"], "left_semi").withColumn("lead", F.lit(None).cast(kinds.schema["kind"].dataType))
+    runs, links = elected(written(runs, "runs"), rest, similar, spare, gain)
+    a = runs.filter("lead is null").select("leaf", "run", F.col("kind").alias("a"))
+    b = runs.select("leaf", "run", F.col("kind").alias("b"), "lead")
+    pairs = a.join(b, ["leaf", "run"]).filter("a > b and (lead is null or lead < a)").select("leaf", "a", "b")
+    pairs = written(meet(pairs, rest, similar), "pairs")
     live, taken, k = pairs, None, 0
     while not live.isEmpty():
         heads = live.select("leaf", "a").distinct().join(live.select("leaf", F.col("b").alias("a")), ["leaf", "a"], "left_anti")
@@ -73,10 +121,11 @@ def settled(rest: DataFrame, similar: float) -> DataFrame:
         live, k = written(live, f"live-{k}"), k + 1
     if taken is not None:
         pairs = pairs.join(taken.select("leaf", F.col("b").alias("a")), ["leaf", "a"], "left_anti")
-    return pairs.groupBy("leaf", F.col("b.masked").alias("masked")).agg(F.max("a").alias("lead")).select("leaf", "masked", F.col("lead.masked").alias("template"))
+    links = pairs if links is None else links.unionAll(pairs)
+    return links.groupBy("leaf", F.col("b.masked").alias("masked")).agg(F.max("a").alias("lead")).select("leaf", "masked", F.col("lead.masked").alias("template"))
 
 
-def templates(docs: DataFrame, rows: DataFrame, text: str, key: str, similar: float, rounds: int) -> DataFrame:
+def templates(docs: DataFrame, rows: DataFrame, text: str, key: str, similar: float) -> DataFrame:
     """(leaf, masked, template) of the lines that other lines of their leaf take in."""
     # where no token may differ, only equal lines agree, and these are one kind
     rows = rows.filter(misses(F.col("n"), similar) > 0)
@@ -91,28 +140,16 @@ def templates(docs: DataFrame, rows: DataFrame, text: str, key: str, similar: fl
     held = held.select(F.split("__t", "\n").alias("lines"), "__of").select("lines", F.explode("__of").alias("k")).select("k.*", F.get("lines", F.col("k.pos")).alias("line"))
     # rows that repeat an id and its text fetch the same line again
     rest = written(held.select("leaf", "masked", "times", F.transform(words(masked_line(F.col("line"))), lambda x: F.xxhash64(x)).alias("tok")).dropDuplicates(["leaf", "masked"]), "kinds")
-    named = None
-    for k in range(rounds):
-        lead = rest.groupBy("leaf").agg(F.max(F.struct("times", "masked")).alias("top")).select("leaf", F.col("top.masked").alias("masked"))
-        lead = rest.join(lead, ["leaf", "masked"]).select("leaf", F.col("masked").alias("lead"), F.col("tok").alias("lead_tok"))
-        met = rest.join(lead, "leaf").withColumn("template", F.when(agree("tok", "lead_tok") >= similar * F.size("tok"), F.col("lead"))).drop("lead", "lead_tok")
-        met = written(met, f"met-{k}")
-        now = met.filter("template is not null").select("leaf", "masked", "template")
-        named = now if named is None else named.unionAll(now)
-        rest = met.filter("template is null").drop("template")
-    rest = settled(rest, similar)
-    return rest if named is None else named.unionAll(rest)
-
-
-def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, leading: int = LEADING, similar: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
+    return settled(rest, similar)
+
+
+def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS, leading: int = LEADING, similar: float = SIMILAR) -> DataFrame:
     """(id, th, drop): positions of the lines to drop from the text with hash th of document id.
 
     A line descends by its token count and leading tokens (fields with digits as <*>) to a
     leaf. In a leaf that two different texts reach, the template met by the most lines takes
     in every line that agrees with it on a share of tokens of at least `similar`; what is
-    left over does the same until no line is left that another takes in. The first `rounds`
-    templates of the leaves are found round by round, the others at once; their number
-    changes no result.
+    left over does the same until no line is left that another takes in.
     A template that different texts hold recurs: it stays in the text with the smallest id
     and is dropped from all others. Exact copies of a document are one text here, so they
     are left to near-dedup. Lines of fewer than min_words tokens, null and empty texts are
@@ -121,7 +158,7 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words:
     rows = written(lines_of(docs, text, key, leading), "lines").filter(F.col("n") >= min_words)
     leaves = rows.groupBy("leaf").agg(F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("leaf")
     rows = rows.join(leaves, "leaf", "left_semi")
-    named = templates(docs, rows, text, key, similar, rounds)
+    named = templates(docs, rows, text, key, similar)
     rows = rows.join(named, ["leaf", "masked"], "left").withColumn("template", F.coalesce("template", "masked"))
     homes = rows.groupBy("leaf", "template").agg(F.min(F.struct("id", "th")).alias("home"), F.min("th").alias("a"), F.max("th").alias("b")).filter("a <> b").select("leaf", "template", F.col("home.th").alias("home"))
     out = rows.join(homes, ["leaf", "template"]).filter("th <> home")
