@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.values import known, yes
+from varloom.functions.values import known, let, yes
 from varloom.operators.ranks import running_totals
 
 
@@ -50,23 +52,51 @@ def burden(regions: DataFrame, points: DataFrame, by: list[str], start: str, end
     return out.withColumn("ratio", F.try_divide("n_harmful", "n_benign"))
 
 
+def support(rows: DataFrame, bases: DataFrame, shared: list[str]) -> DataFrame:
+    """rows with the reads that show each allele: maximum, mean and minimum over the allele's bases.
+
+    rows has shared, chrom, pos, ref, alt; bases has a row per read base (shared, chrom, pos,
+    base). A base that no read covers counts 0, and so does one that is not A, C, G or T.
+    Reads are counted first, and rows meet the counts of the place they start at. Longer alleles need
+    those of the following places too: a place gets them once, as far as its longest allele goes.
+    """
+    place = [*shared, "chrom", "__pos"]
+    at = F.col("pos").cast("long").alias("__pos")
+    counts = bases.groupBy(*shared, "chrom", at).agg(*[F.count(F.when(F.upper("base") == b, 1)).alias(f"__{b}") for b in "ACGT"])
+    size = lambda s: F.length(F.upper(s))
+    long = rows.select(*shared, "chrom", at, F.greatest(size("ref"), size("alt")).alias("__n")).filter("__n > 1").groupBy(*place).agg(F.max("__n").alias("__n"))
+    cells = long.select(*[F.col(c).alias(f"__at_{c}") for c in place], F.explode(F.sequence(F.lit(1), F.col("__n") - 1)).alias("__i"))
+    next_ = F.col("__at___pos") + F.col("__i")
+    met = cells.select("*", *[F.col(f"__at_{c}").alias(c) for c in place[:-1]], next_.alias("__pos")).join(counts, place, "left")
+    more = met.groupBy(*[F.col(f"__at_{c}").alias(c) for c in place]).agg(F.sort_array(F.collect_list(F.struct("__i", *[f"__{b}" for b in "ACGT"]))).alias("__more"))
+    df = rows.withColumn("__pos", F.col("pos").cast("long")).join(counts, place, "left").join(more, place, "left")
+
+    def seen(base: Column, reads: Callable[[str], Column]) -> Column:
+        n = F.lit(None).cast("long")
+        for b in "ACGT":
+            n = F.when(base == b, reads(f"__{b}")).otherwise(n)
+        return F.coalesce(n, F.lit(0)).cast("double")
+
+    def stats(s: str) -> Column:
+        three = lambda most, mean, least: F.struct(most.alias("max"), mean.alias("mean"), least.alias("min"))
+        one = seen(F.upper(s), F.col)
+        letters = F.filter(F.split(F.upper(s), ""), lambda x: x != "")
+        each = F.transform(letters, lambda x, i: F.when(i == 0, seen(x, F.col)).otherwise(seen(x, lambda c: F.get("__more", i - 1)[c])))
+        mean = lambda ns: F.try_divide(F.aggregate(ns, F.lit(0.0), lambda a, n: a + n), F.size(ns))
+        return F.when(size(s) == 1, three(one, one, one)).otherwise(let(each, lambda ns: three(F.array_max(ns), mean(ns), F.array_min(ns))))
+
+    df = df.withColumns({f"__{s}": stats(s) for s in ("ref", "alt")})
+    return df.select(*rows.columns, *[F.col(f"__{s}.{k}").alias(f"{s}_count_{k}") for s in ("ref", "alt") for k in ("max", "mean", "min")])
+
+
 def allele_support(variants: DataFrame, bases: DataFrame, by: list[str]) -> DataFrame:
-    """Reads that show the reference and the alternative allele: maximum, mean and minimum over the allele's bases.
+    """support() of each distinct variant; variants has by, chrom, pos, ref, alt, and bases the sample columns of by.
 
-    variants has by, chrom, pos, ref, alt; bases has a row per read base (sample columns of by,
-    chrom, pos, base). A base that no read covers counts 0, and so does one that is not A, C,
-    G or T. Counting comes before the join, so deep positions are one row each.
+    Variants are dealt by place before equal ones become one, so that they move once.
     """
     shared = [c for c in by if c in bases.columns]
-    counts = bases.groupBy(*shared, "chrom", "pos", F.upper("base").alias("base")).agg(F.count("*").alias("n"))
-    rows = variants.select(*by, "chrom", F.col("pos").alias("at"), "ref", "alt").distinct()
-    # both alleles go through one join and one aggregate
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.filter(F.split(F.upper(F.col(s)), ""), lambda x: x != "").alias("bases")) for s in ("ref", "alt")])
-    cells = rows.select("*", F.explode(sides).alias("s")).select(*rows.columns, "s.side", F.posexplode_outer("s.bases").alias("i", "base")).withColumn("pos", F.col("at") + F.coalesce("i", F.lit(0)))
-    seen = cells.join(counts, [*shared, "chrom", "pos", "base"], "left")
-    n = F.when(F.col("base").rlike("^[ACGT]$"), F.coalesce("n", F.lit(0))).when(F.col("base").isNotNull(), 0).cast("double")
-    stats = [f(F.when(F.col("side") == s, n)).alias(f"{s}_count_{k}") for s in ("ref", "alt") for k, f in (("max", F.max), ("mean", F.avg), ("min", F.min))]
-    return seen.groupBy(*by, "chrom", F.col("at").alias("pos"), "ref", "alt").agg(*stats)
+    rows = variants.select(*by, "chrom", "pos", "ref", "alt").repartition(*shared, "chrom", F.col("pos").cast("long"))
+    return support(rows.distinct(), bases, shared)
 
 
 def dosage_of(df: DataFrame, dosage: DataFrame, gene: str = "geneSymbol") -> DataFrame:
