@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.keys import genes_of, is_locus, key_parts, locus_contig
@@ -29,10 +29,15 @@ def nominated(df: DataFrame, hits: list[Column], gene: str = "geneSymbol", key:
     df = df.withColumns(dict(zip(names, hits)))
     hit = F.greatest(*names)
     df = df.withColumn("__hit", hit)
-    # one row per variant first, so that the counts of distinct variants are plain sums
-    variants = df.groupBy(sample, gene, key).agg(F.max("__hit").alias("h"), F.max(F.col("__hit") & yes(F.col(recessive) == 1)).alias("r"))
-    genes = variants.groupBy(sample, gene).agg(F.count(key).alias("__total"), F.count(F.when(F.col("h"), F.col(key))).alias("__strong"), F.max("r").alias("__rescue"))
-    df = df.join(genes, [sample, gene], "left")
+    # a variant counts with its first row, a hit if it has one; rows are dealt by gene and never joined back
+    variant, of_gene = Window.partitionBy(sample, gene, key).orderBy(F.desc("__hit")), Window.partitionBy(sample, gene)
+    named = F.col(sample).isNotNull() & F.col(gene).isNotNull()
+    df = df.withColumn("__first", named & F.col(key).isNotNull() & (F.row_number().over(variant) == 1))
+    df = df.withColumns({
+        "__total": F.count(F.when(F.col("__first"), 1)).over(of_gene),
+        "__strong": F.count(F.when(F.col("__first") & F.col("__hit"), 1)).over(of_gene),
+        "__rescue": F.max(named & F.col("__hit") & yes(F.col(recessive) == 1)).over(of_gene),
+    }).drop("__first")
     group = yes((F.col("__strong") >= 1) & (F.col("__total") - F.col("__strong") >= 1))
     label = F.concat_ws(", ", *[F.when(F.col(n), F.lit(r)) for n, r in zip(names, RULES)], F.when(F.col("is_compound_het_group"), F.lit(RULES[-1])))
     df = df.withColumn("is_compound_het_group", group).withColumn("evidence_rules", label)
@@ -80,9 +85,11 @@ def interval_hits(points: DataFrame, spans: DataFrame, by: list[str], at: str, s
 def best_junction(variants: DataFrame, junctions: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later."""
     known = junctions.filter(F.col(value).isNotNull())
-    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos").distinct(), known, ["sample_id", "Chromosome"], "Pos", "start", "end")
+    # a variant that comes with several genes meets its junctions as often, which the minimum takes in
+    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos"), known, ["sample_id", "Chromosome"], "Pos", "start", "end")
     others = [c for c in hits.columns if c not in (*by, "Chromosome", "Pos", value, "start", "end")]
-    best = hits.groupBy(*by).agg(F.min(F.struct(value, "start", "end", *others)).alias("b")).select(*by, "b.*")
+    # two minima that agree, so that the other columns stay behind where nobody uses them
+    best = hits.groupBy(*by).agg(F.min(F.struct(value, "start", "end")).alias("b"), F.min(F.struct(value, "start", "end", *others)).alias("o")).select(*by, "b.*", *[F.col(f"o.{c}").alias(c) for c in others])
     return best.withColumnRenamed("start", "Fraser_junction_start").withColumn("Fraser_junction_end", F.col("end") + 1).drop("end")
 
 
@@ -95,9 +102,9 @@ def enriched(df: DataFrame, expression: DataFrame, splicing: DataFrame, ase: Dat
     spl = splicing.withColumnsRenamed({"sampleID": "sample_id", "seqnames": "Chromosome"}).filter(F.col("hgnc_symbol").isNotNull())
     genes = min_per_name(spl, "hgnc_symbol", p, ["sample_id"], "geneSymbol", "Fraser_GenePvalue")
     values = [c for c in spl.columns if c not in ("sample_id", "Chromosome", "start", "end", "strand", "hgnc_symbol")]
-    # places come from the bare variants, so that expression is joined once
     df = located(df)
     best = best_junction(df.select("sample_id", "varId", "Chromosome", "Pos"), spl.drop("strand", "hgnc_symbol"), ["sample_id", "varId"], p).withColumnsRenamed({c: f"Fraser_{c}" for c in values})
-    df = df.join(exp, ["sample_id", "geneSymbol"], "left")
     counts = ase.select(F.col("sampleID").alias("sample_id"), "varId", *[F.col(c).alias(n) for c, n in {"REF": "ASE_REF", "ALT": "ASE_ALT", "REF_COUNT": "ASE_REF_COUNT", "ALT_COUNT": "ASE_ALT_COUNT", "ALT_RATIO": "ASE_ALT_RATIO", "PVAL": "ASE_PVAL", "IS_MAE": "IS_MAE"}.items()])
-    return df.join(genes, ["sample_id", "geneSymbol"], "left").join(best, ["sample_id", "varId"], "left").join(counts, ["sample_id", "varId"], "left")
+    # by variant first, then by gene, so that rows end where nominated() wants them
+    df = df.join(best, ["sample_id", "varId"], "left").join(counts, ["sample_id", "varId"], "left")
+    return df.join(exp, ["sample_id", "geneSymbol"], "left").join(genes, ["sample_id", "geneSymbol"], "left")
