@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.values import known, let, yes
-from varloom.operators.ranks import running_totals
+
+#: Places of a cell of counted(), as a power of two.
+CELL = 14
 
 
 def gated(df: DataFrame, variant_splice: str, gene_splice: str, z: str, ase: str, p: float = 0.1, outlier: float = 1.5) -> DataFrame:
@@ -29,25 +31,47 @@ def first_known(df: DataFrame, by: list[str], order, first: list[str], least: li
     return df.groupBy(*by).agg(*[F.min_by(known(F.col(c)), F.when(known(F.col(c)).isNotNull(), o)).alias(c) for c in first], *[F.min(c).alias(c) for c in least])
 
 
-def burden(regions: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, bad: str, benign: str, keys: list[str]) -> DataFrame:
-    """Per distinct region the counts of harmful and of benign points inside [start, end], and their ratio; null over none.
+def with_first_known(df: DataFrame, by: list[str], order: list[str], first: list[str], least: list[str]) -> DataFrame:
+    """All rows with first_known() of their group in place of their own values; needs no order of the rows, so a sort by more columns than by serves it."""
+    w, o = Window.partitionBy(*by), F.struct(*order)
+    return df.withColumns({c: F.min_by(known(F.col(c)), F.when(known(F.col(c)).isNotNull(), o)).over(w) for c in first} | {c: F.min(c).over(w) for c in least})
+
+
+def counted(regions: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, bad: str, benign: str, keys: list[str]) -> DataFrame:
+    """(keys, by, start, end, n_harmful, n_benign) of regions, in one or two rows whose sum is the count of points inside [start, end].
 
     Points and the edges of regions are one sorted sequence with running counts: a region's
     count is the one at its end less the one before its start, so no region meets its points.
-    A point counts once per row, null marks count as no; a region that ends before it starts holds none.
+    The sequence is dealt to cells of equal width; a cell counts its own rows and gets the total
+    of the cells before it, so no task holds a whole contig. A region moves to the cells of its
+    edges, mostly to one. A point counts once per row, null marks count as no; a region that
+    ends before it starts holds none and has no row, and repeated ones are one.
     """
-    asked = regions.select(*by, start, end).distinct()
-    # at one place: first the starts, then the points, then the ends
-    edges = F.array(F.struct(F.col(start).alias("at"), F.lit(0).alias("kind")), F.struct(F.greatest(start, end).alias("at"), F.lit(2).alias("kind")))
-    none = F.lit(0).cast("long")
-    # an edge adds nothing and keeps its region's name, so its own running count is all that is needed
-    stops = asked.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, F.col(start).alias("__start"), F.col(end).alias("__end"), F.explode(edges).alias("e")).select(*by, "__start", "__end", F.col("e.at").cast("long").alias("at"), "e.kind", none.alias("bad"), none.alias("benign"))
-    seen = points.filter(F.col(at).isNotNull()).groupBy(*by, F.col(at).cast("long").alias("at")).agg(F.count(F.when(F.col(bad), 1)).alias("bad"), F.count(F.when(F.col(benign), 1)).alias("benign")).select(*by, "at", F.lit(1).alias("kind"), "bad", "benign")
-    totals = running_totals(stops.unionByName(seen, allowMissingColumns=True), by, ["at", "kind"], ["bad", "benign"], "burden").filter("kind <> 1")
-    sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
-    per = totals.groupBy(*by, F.col("__start").alias(start), F.col("__end").alias(end)).agg(F.sum(sign * F.col("bad_so_far")).alias("n_harmful"), F.sum(sign * F.col("benign_so_far")).alias("n_benign"))
-    empty = F.col(start) > F.col(end)
-    per = per.withColumns({c: F.when(empty, 0).otherwise(F.col(c)) for c in ("n_harmful", "n_benign")})
+    none, cell = F.lit(0).cast("long"), lambda c: F.shiftright(F.col(c).cast("long"), CELL)
+    asked = regions.filter(F.col(start) <= F.col(end)).select(*keys, *by, F.col(start).alias("__start"), F.col(end).alias("__end"), F.explode(F.array_distinct(F.array(cell(start), cell(end)))).alias("__cell"))
+    seen = points.filter(F.col(at).isNotNull()).groupBy(*by, F.col(at).cast("long").alias("__at")).agg(F.count(F.when(F.col(bad), 1)).alias("bad"), F.count(F.when(F.col(benign), 1)).alias("benign")).withColumn("__cell", cell("__at"))
+    # at one place: first the starts, then the points, then the ends; an edge adds nothing and keeps its region's name
+    event = lambda c, kind, n=(none, none): F.struct(F.col(c).cast("long").alias("at"), F.lit(kind).alias("kind"), n[0].alias("bad"), n[1].alias("benign"))
+    edges = F.filter(F.array(event("__start", 0), event("__end", 2)), lambda e: F.shiftright(e["at"], CELL) == F.col("__cell"))
+    dealt = asked.unionByName(seen, allowMissingColumns=True).repartition(*by, "__cell")
+    rows = dealt.withColumn("e", F.explode(F.when(F.col("__at").isNull(), edges).otherwise(F.array(event("__at", 1, (F.col("bad"), F.col("benign"))))))).select(*keys, *by, "__start", "__end", "__cell", "e.*")
+    inside = Window.partitionBy(*by, "__cell").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.withColumns({f"__{c}": F.sum(c).over(inside) for c in ("bad", "benign")}).filter("kind <> 1")
+    edge = lambda c, kind: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    parts = totals.groupBy(*by, "__cell", *keys, "__start", "__end").agg(*[edge(f"__{c}", kind).alias(f"__{c}{kind}") for c in ("bad", "benign") for kind in (0, 2)])
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    ends = asked.select(*by, "__cell").distinct().withColumns({"bad": none, "benign": none})
+    heads = seen.select(*by, "__cell", "bad", "benign").unionByName(ends).groupBy(*by, "__cell").agg(F.sum("bad").alias("bad"), F.sum("benign").alias("benign"))
+    heads = heads.select(*by, "__cell", *[F.coalesce(F.sum(c).over(before), none).alias(f"__{c}") for c in ("bad", "benign")])
+    # the total before the cell adds to an end and takes off a start, so it counts where only one of them is here
+    part = lambda c: F.coalesce(F.col(f"__{c}2") + F.col(f"__{c}"), none) - F.coalesce(F.col(f"__{c}0") + F.col(f"__{c}"), none)
+    return parts.join(heads, [*by, "__cell"]).select(*keys, *by, F.col("__start").alias(start), F.col("__end").alias(end), part("bad").alias("n_harmful"), part("benign").alias("n_benign"))
+
+
+def burden(regions: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, bad: str, benign: str, keys: list[str]) -> DataFrame:
+    """Per row the counts of harmful and of benign points inside its region, as counted() has them, and their ratio; null over none."""
+    per = counted(regions.select(*by, start, end).distinct(), points, by, start, end, at, bad, benign, [])
+    per = per.groupBy(*by, start, end).agg(F.sum("n_harmful").alias("n_harmful"), F.sum("n_benign").alias("n_benign"))
     out = regions.select(*keys, *by, start, end).join(per, [*by, start, end], "left").fillna(0, ["n_harmful", "n_benign"])
     return out.withColumn("ratio", F.try_divide("n_harmful", "n_benign"))
 
@@ -100,6 +124,9 @@ def allele_support(variants: DataFrame, bases: DataFrame, by: list[str]) -> Data
 
 
 def dosage_of(df: DataFrame, dosage: DataFrame, gene: str = "geneSymbol") -> DataFrame:
-    """Adds haploinsufficiency and triplosensitivity of the upper-case gene; empty where unknown. Repeated genes count once."""
+    """Adds haploinsufficiency and triplosensitivity of the upper-case gene; empty where unknown. Repeated genes count once.
+
+    One row per gene is small however many samples there are, so it is sent to all tasks and df stays where it is.
+    """
     d = dosage.groupBy(F.col("GENE SYMBOL").alias("__g")).agg(F.min("HAPLOINSUFFICIENCY").alias("haploinsufficiency"), F.min("TRIPLOSENSITIVITY").alias("triplosensitivity"))
-    return df.join(d, F.upper(F.col(gene)) == F.col("__g"), "left").drop("__g").fillna("", ["haploinsufficiency", "triplosensitivity"])
+    return df.join(F.broadcast(d), F.upper(F.col(gene)) == F.col("__g"), "left").drop("__g").fillna("", ["haploinsufficiency", "triplosensitivity"])
