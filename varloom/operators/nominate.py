@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.keys import genes_of, is_locus, key_parts, locus_contig
 from varloom.functions.values import yes
+from varloom.operators.ranks import joined_in_place
 
 # Names of the rules in the order in which they are listed.
 RULES = ["Strong DNA Evidence", "Strong In-Silico Evidence", "Strong Database Evidence", "Strong Genetics Evidence", "Strong RNA Evidence", "Compound Heterozygous (Compound Het)"]
@@ -83,18 +84,38 @@ def interval_hits(points: DataFrame, spans: DataFrame, by: list[str], at: str, s
 
 
 def best_junction(variants: DataFrame, junctions: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later."""
-    known = junctions.filter(F.col(value).isNotNull())
-    # a variant that comes with several genes meets its junctions as often, which the minimum takes in
-    hits = interval_hits(variants.select("sample_id", "varId", "Chromosome", "Pos"), known, ["sample_id", "Chromosome"], "Pos", "start", "end")
-    others = [c for c in hits.columns if c not in (*by, "Chromosome", "Pos", value, "start", "end")]
-    # two minima that agree, so that the other columns stay behind where nobody uses them
-    best = hits.groupBy(*by).agg(F.min(F.struct(value, "start", "end")).alias("b"), F.min(F.struct(value, "start", "end", *others)).alias("o")).select(*by, "b.*", *[F.col(f"o.{c}").alias(c) for c in others])
+    """Per variant key the overlapping junction with the smallest value, then start and end; the end is reported one later.
+
+    Cells are those of interval_hits(), but a cell's junctions come to its points as a list, by
+    windows inside a sample, so that what is dealt by sample doesn't move.
+    """
+    place, levels = ["sample_id", "Chromosome"], [k for k in range(16) if GROWTH**k < 1 << 63]
+    known = junctions.filter(F.col(value).isNotNull() & (F.col("start") <= F.col("end")))
+    others = [c for c in known.columns if c not in (*by, "Chromosome", "Pos", value, "start", "end")]
+    level = sum((F.when(F.col("end") - F.col("start") + 1 > GROWTH**k, 1).otherwise(0) for k in levels), F.lit(0))
+    points = variants.select("sample_id", "varId", "Chromosome", "Pos").filter(F.col("sample_id").isNotNull() & F.col("Chromosome").isNotNull())
+    rows = points.withColumn("__level", F.lit(None).cast("int")).unionByName(known.withColumn("__level", level), allowMissingColumns=True)
+    is_point = F.col("__level").isNull()
+    # a point looks into the levels that its sample's contig has
+    rows = rows.withColumn("__used", F.collect_set("__level").over(Window.partitionBy(*place)))
+    wide = F.array(*[F.lit(float(GROWTH**k)) for k in levels])
+    cell = lambda c, k: F.struct(k.alias("level"), F.floor(F.col(c) / F.element_at(wide, k + 1)).cast("long").alias("cell"))
+    cells = F.when(is_point, F.transform("__used", lambda k: cell("Pos", k))).otherwise(F.array_distinct(F.array(cell("start", F.col("__level")), cell("end", F.col("__level")))))
+    rows = rows.withColumn("__at", F.explode(cells)).drop("__used")
+    here = Window.partitionBy(*place, "__at.level", "__at.cell")
+    # two lists that agree, so that the other columns stay behind where nobody uses them
+    near = lambda *c: F.collect_list(F.when(~is_point, F.struct(value, "start", "end", *c))).over(here)
+    rows = rows.withColumns({"__b": near(), "__o": near(*others)}).filter(is_point)
+    inside = lambda c: F.array_min(F.filter(c, lambda x: F.col("Pos").between(x["start"], x["end"])))
+    best = rows.groupBy(*by).agg(F.min(inside("__b")).alias("b"), F.min(inside("__o")).alias("o")).filter(F.col("b").isNotNull()).select(*by, "b.*", *[F.col(f"o.{c}").alias(c) for c in others])
     return best.withColumnRenamed("start", "Fraser_junction_start").withColumn("Fraser_junction_end", F.col("end") + 1).drop("end")
 
 
 def enriched(df: DataFrame, expression: DataFrame, splicing: DataFrame, ase: DataFrame) -> DataFrame:
-    """Left joins of expression by gene, splicing by gene and by place, and allele counts by variant."""
+    """Left joins of expression by gene, splicing by gene and by place, and allele counts by variant.
+
+    Tables that are dealt by sample, to as many tasks each, stay where they are; others move.
+    """
     p = "pvaluesBetaBinomial_jaccard"
     exp = expression.withColumnsRenamed({"sampleID": "sample_id", "GeneSymbol": "geneSymbol", "pValue": "Outrider_pValue", "padjust": "Outrider_padjust", "zScore": "Outrider_zScore", "l2fc": "Outrider_l2f", "rawcounts": "Outrider_rawcounts", "RawZscore": "Outrider_RawZscore"})
     if "Outrider_RawZscore" not in exp.columns:
@@ -105,6 +126,6 @@ def enriched(df: DataFrame, expression: DataFrame, splicing: DataFrame, ase: Dat
     df = located(df)
     best = best_junction(df.select("sample_id", "varId", "Chromosome", "Pos"), spl.drop("strand", "hgnc_symbol"), ["sample_id", "varId"], p).withColumnsRenamed({c: f"Fraser_{c}" for c in values})
     counts = ase.select(F.col("sampleID").alias("sample_id"), "varId", *[F.col(c).alias(n) for c, n in {"REF": "ASE_REF", "ALT": "ASE_ALT", "REF_COUNT": "ASE_REF_COUNT", "ALT_COUNT": "ASE_ALT_COUNT", "ALT_RATIO": "ASE_ALT_RATIO", "PVAL": "ASE_PVAL", "IS_MAE": "IS_MAE"}.items()])
-    # by variant first, then by gene, so that rows end where nominated() wants them
-    df = df.join(best, ["sample_id", "varId"], "left").join(counts, ["sample_id", "varId"], "left")
-    return df.join(exp, ["sample_id", "geneSymbol"], "left").join(genes, ["sample_id", "geneSymbol"], "left")
+    # windows inside a sample, so that rows stay where they are
+    df = joined_in_place(df, [best, counts], ["sample_id", "varId"])
+    return joined_in_place(df, [exp, genes], ["sample_id", "geneSymbol"])
